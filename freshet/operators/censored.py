@@ -211,23 +211,19 @@ def bootstrap_median_bounds(
         upper.alias("_upper"),
         F.max("n_total").alias("n"),
     )
-    small = ranked.filter(F.col("n_total") <= max_rows).select(
-        *by, value, "n_total",
-        F.explode(F.sequence(F.col("n_below"), F.col("n_below") + F.col("n") - 1)).alias("_rank"),
-    )
-    # each row also stands for one draw of every resample
-    name = F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col("_rep").cast("string"), F.col("_rank").cast("string"))
-    seed = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint")
-    picks = (
-        small.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .select(*by, "_rep", (seed % F.col("n_total")).alias("_rank"))
-        .groupBy(*by, "_rep", "_rank")
-        .agg(F.count(F.lit(1)).alias("_times"))
+    # a small group's sorted rows fit one array, so a resample is one row
+    sorted_rows = F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col(value), F.col("n").cast("int")))))
+    small = ranked.filter(F.col("n_total") <= max_rows).groupBy(*by).agg(sorted_rows.alias("_rows"))
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col("_rep").cast("string"))
+    picks = F.expr(
+        "array_sort(transform(sequence(0, size(_rows) - 1), i -> "
+        "_rows[CAST(CAST(conv(substr(md5(concat(_name, '|', i)), 1, 8), 16, 10) AS BIGINT) % size(_rows) AS INT)]))"
     )
     medians = (
-        picks.join(small.drop("n_total"), [*by, "_rank"], "inner")
-        .groupBy(*by, "_rep")
-        .agg(F.percentile(value, F.lit(0.5), F.col("_times")).alias("_median"))
+        small.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        .withColumn("_name", name)
+        .withColumn("_picks", picks)
+        .select(*by, F.expr("(_picks[(size(_picks) - 1) div 2] + _picks[size(_picks) div 2]) / 2").alias("_median"))
     )
     resampled = medians.groupBy(*by).agg(
         F.percentile("_median", F.lit(0.025)).alias("_boot_lower"),

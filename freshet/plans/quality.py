@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from freshet.functions import pollutants
 from freshet.functions.volumes import load
-from freshet.operators.lineage import cut
 
 BOUNDS = ("lower", "median", "upper")
 INFLUENT = tuple(f"influent_{b}" for b in BOUNDS)
@@ -100,9 +99,10 @@ def tidy_loads(
     all results of all types with their ``storm_number``; ``influent`` and
     ``effluent`` are per site (see :func:`assign_influent`). With ``keep_unmatched`` (default) the rows that fit no storm stay:
     samples outside storms, and medians no storm needs, which have no site.
+
+    ``storms`` and ``wq`` are read several times: pass stored tables, or cut
+    their lineage (:func:`freshet.operators.lineage.cut`).
     """
-    # both are read several times below
-    storms, wq = cut(storms), cut(wq)
     # parameters come from the dictionary, so a site has at most sixteen
     params = pollutants.keep_pollutants(wq).select("site", "parameter").distinct()
     base = (

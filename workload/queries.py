@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from freshet.functions import bins, pollutants, volumes
 from freshet.functions.numbers import sig_figs
 from freshet.operators import censored, hydro, samples, storms
+from freshet.operators.lineage import cut
+from freshet.operators.spread import quantiles
 from freshet.plans import charts, external, quality, reports, summaries
 from workload import oracle
 from workload.oracle import final
@@ -575,8 +577,6 @@ _INFLUENT = """SELECT parameter, season, units, quantile_cont(concentration, 0.2
 
 
 def _influent(v: Views) -> DataFrame:
-    from freshet.operators.spread import quantiles
-
     probs = {"influent_lower": 0.25, "influent_median": 0.5, "influent_upper": 0.75}
     return quantiles(v.wq.filter("sampletype = 'grab'"), ["parameter", "season", "units"], "concentration", probs)
 
@@ -609,7 +609,7 @@ _TIDY_LOADS = [f"load_{p}{s}" for p in ("runoff", "bypass", "inflow") for s in (
     v_influent=_INFLUENT,
 )
 def _(v: Views) -> DataFrame:
-    return quality.tidy_measured(v.matched_lab, v.storm_table, _influent(v)).select(
+    return quality.tidy_measured(v.matched_lab, v.kept_storms, _influent(v)).select(
         "site", "storm_number", "sample", "sampletype", "samplestart", "parameter", "units", "qualifier", "load_units",
         "concentration", "influent_median", "outflow_m3", "load_outflow", *_TIDY_LOADS,
     )
@@ -661,7 +661,7 @@ _TIDY_WQ = f"""SELECT *, {_TIDY_LOADS_SQL},
         factor * outflow_m3 * coalesce(concentration, effluent_median) AS load_outflow,
         factor * outflow_m3 * coalesce(concentration, effluent_upper) AS load_outflow_upper
     FROM (SELECT *, {_FACTOR} AS factor, CASE WHEN parameter = 'Escherichia coli' THEN 'CFU'
-            WHEN parameter IS NOT NULL THEN 'g' END AS load_units
+            WHEN parameter <> 'Mystery' THEN 'g' END AS load_units
         FROM (SELECT coalesce(b.site, w.site) AS site, coalesce(b.storm_number, w.storm_number) AS storm_number,
                 coalesce(b.year, w.year) AS year, coalesce(b.season, w.season) AS season,
                 coalesce(b.parameter, w.parameter) AS parameter, coalesce(b.units, w.units) AS units,
@@ -693,8 +693,6 @@ _TIDY_SUBQUERIES = dict(
 
 
 def _tidy_wq(v: Views) -> DataFrame:
-    from freshet.operators.spread import quantiles
-
     probs = {"lower": 0.25, "median": 0.5, "upper": 0.75}
     medians = quantiles(
         v.wq.filter("sampletype <> 'unsampled'").withColumnRenamed("sampletype", "source"),
@@ -702,8 +700,8 @@ def _tidy_wq(v: Views) -> DataFrame:
     )
     sources = v.sites.selectExpr(
         "site", "CASE WHEN CAST(site AS BIGINT) % 2 = 0 THEN 'grab' ELSE 'composite' END AS source"
-    ).join(v.storm_table.select("site").distinct(), "site", "left_semi")
-    return quality.tidy_loads(v.matched_lab, v.storm_table, quality.assign_influent(medians, sources), _effluent(v))
+    ).join(v.kept_storms.select("site").distinct(), "site", "left_semi")
+    return quality.tidy_loads(cut(v.matched_lab), v.kept_storms, quality.assign_influent(medians, sources), _effluent(v))
 
 
 @query("tidy_loads", final("v_tidy_wq", _TIDY_KEYS, _TIDY_DOUBLES, 4), digits=4, **_TIDY_SUBQUERIES)

@@ -13,8 +13,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.functions.clock import with_time_groups
+from freshet.functions.clock import season, with_time_groups
+from freshet.functions.volumes import linear_volume, net_volume, power_volume
 from freshet.operators import hydro, samples, storms
+from freshet.operators.lineage import cut
 from freshet.operators.samples import wq_results
 
 PARAMETERS = {
@@ -137,7 +139,7 @@ class Views:
             "CAST(user_id AS STRING) AS site",
             "ts",
             "CASE WHEN event_type IN ('error', 'signup') THEN value / 0.43D END AS level_mm",
-            "CASE WHEN event_type IN ('view', 'click') THEN value / 7.0D END AS precip_mm",
+            "CASE WHEN event_type IN ('view', 'click') THEN value / 7.13D END AS precip_mm",
         )
 
     @cached_property
@@ -171,8 +173,6 @@ class Views:
 
     @cached_property
     def storm_table(self) -> DataFrame:
-        from freshet.functions.volumes import linear_volume, net_volume, power_volume
-
         return storms.storm_table(
             self.storm_stats,
             self.sites,
@@ -182,6 +182,11 @@ class Views:
             period_minutes=GRID_MINUTES,
         )
 
+    @cached_property
+    def kept_storms(self) -> DataFrame:
+        """The storm table, computed once for the queries that read it often."""
+        return cut(self.storm_table)
+
     @cached_property
     def raw_samples(self) -> DataFrame:
         return self.table("events").filter("event_type = 'purchase'").selectExpr(
@@ -221,7 +226,7 @@ class Views:
 
     @cached_property
     def matched_lab(self) -> DataFrame:
-        return samples.match_storms(self.lab, self.storm_stats, lookback_hours=LOOKBACK_HOURS)
+        return samples.match_storms(self.lab, self.kept_storms, lookback_hours=LOOKBACK_HOURS)
 
     @cached_property
     def standards(self) -> DataFrame:
@@ -248,8 +253,6 @@ class Views:
             f"{CONCENTRATION} AS res",
             f"{QUALIFIER} AS qual",
         )
-        from freshet.functions.clock import season
-
         return df.withColumn("season", season("start_date"))
 
     @cached_property
@@ -313,7 +316,7 @@ CTES = {
     "v_readings": """
         SELECT CAST(user_id AS VARCHAR) AS site, ts,
             CASE WHEN event_type IN ('error', 'signup') THEN value / CAST(0.43 AS DOUBLE) END AS level_mm,
-            CASE WHEN event_type IN ('view', 'click') THEN value / CAST(7 AS DOUBLE) END AS precip_mm
+            CASE WHEN event_type IN ('view', 'click') THEN value / CAST(7.13 AS DOUBLE) END AS precip_mm
         FROM events WHERE event_type <> 'purchase'""",
     "v_curve": """
         SELECT CAST(c_custkey AS VARCHAR) AS site, k * CAST(25 AS DOUBLE) AS head_mm,
