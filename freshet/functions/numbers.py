@@ -77,13 +77,13 @@ def normal_quantile(p: str) -> Column:
 def _sig_figs(v: str, n: int, expthresh: int) -> str:
     if n < 1:
         raise ValueError("n must be at least 1")
-    arms = []
-    for order in range(-expthresh, expthresh + 1):
-        digits = n - 1 - order
-        arms.append(f"WHEN {order} THEN format_number(round({v}, {digits}), {max(digits, 0)})")
+    order = f"floor(log10(abs({v})))"
+    up, down = f"pow(10D, {n - 1} - {order})", f"pow(10D, {order} - {n - 1})"
     return (
-        f"CASE WHEN {v} = 0 THEN '0.0' ELSE CASE floor(log10(abs({v}))) {' '.join(arms)} "
-        f"ELSE CASE WHEN {v} IS NOT NULL THEN format_string('%.{n - 1}e', {v}) END END END"
+        f"CASE WHEN {v} = 0 THEN '0.0' WHEN {order} NOT BETWEEN {-expthresh} AND {expthresh} "
+        f"THEN format_string('%.{n - 1}e', {v}) WHEN {order} < {n} "
+        f"THEN format_number(round({v} * {up}) / {up}, CAST({n - 1} - {order} AS INT)) "
+        f"WHEN {v} IS NOT NULL THEN format_number(round({v} / {down}) * {down}, 0) END"
     )
 
 

@@ -214,6 +214,9 @@ def bootstrap_median_bounds(
     # a small group's sorted rows fit one array, so a resample is one row
     sorted_rows = F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col(value), F.col("n").cast("int")))))
     small = ranked.filter(F.col("n_total") <= max_rows).groupBy(*by).agg(sorted_rows.alias("_rows"))
+    # resampling multiplies the work, not the bytes, by which AQE would merge partitions
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = small.repartition(parts, *by)
     name = F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col("_rep").cast("string"))
     picks = F.expr(
         "array_sort(transform(sequence(0, size(_rows) - 1), i -> "

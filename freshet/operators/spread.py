@@ -76,7 +76,8 @@ class Running:
     """One running value: ``kind`` of ``column`` over the rows on one side.
 
     ``sum_before`` and ``max_upto`` look back (excluding / including the row),
-    ``sum_after`` and ``min_after`` look ahead (excluding the row).
+    ``sum_after`` and ``min_after`` look ahead (excluding the row), and
+    ``sum_overall`` takes the whole group.
     """
 
     name: str
@@ -84,8 +85,18 @@ class Running:
     column: Column
 
 
-_START, _END = Window.unboundedPreceding, Window.unboundedFollowing
-_FRAMES = {"before": (_START, -1), "upto": (_START, 0), "after": (1, _END)}
+def _frame(keys: list[str], order: str, side: str):
+    """Window frame of one side. Looking ahead is looking back in descending
+    order: Spark extends a frame that starts unbounded, but recomputes one
+    that ends unbounded for every row."""
+    rows = Window.partitionBy(*keys)
+    if side == "overall":
+        return rows
+    if side == "after":
+        return rows.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if side == "upto" else -1)
+
+
 _AGGS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -103,17 +114,22 @@ def running(df: DataFrame, by: Sequence[str], value: str, specs: Sequence[Runnin
     by = list(by)
     parts = [(s, *s.kind.split("_")) for s in specs]
     in_cells = CELL in df.columns
-    window = Window.partitionBy(*by, *([CELL] if in_cells else [])).orderBy(value)
-    inner = {
-        s.name: _AGGS[agg](s.column).over(window.rowsBetween(*_FRAMES[side])) for s, agg, side in parts
-    }
+    keys = [*by, CELL] if in_cells else by
+    inner = {s.name: _AGGS[agg](s.column).over(_frame(keys, value, side)) for s, agg, side in parts}
     if not in_cells:
         return df.withColumns(
             {s.name: F.coalesce(inner[s.name], F.lit(0)) if agg == "sum" else inner[s.name] for s, agg, _ in parts}
         )
 
-    cell_window = Window.partitionBy(*by).orderBy(CELL)
-    # a whole cell before this one counts, so "upto" reads the cells like "before"
+    # the row's own cell is counted inside it, so "upto" and "overall" leave it out here
+    def outer(agg: str, side: str, name: str) -> Column:
+        def over(s: str) -> Column:
+            return _AGGS[agg](name).over(_frame(by, CELL, s))
+
+        if side == "overall":
+            return _merge(agg, over("before"), over("after"))
+        return over("before" if side == "upto" else side)
+
     edges = (
         df.filter(F.col(CELL) >= 0)
         .groupBy(*by, CELL)
@@ -122,9 +138,7 @@ def running(df: DataFrame, by: Sequence[str], value: str, specs: Sequence[Runnin
             *by,
             CELL,
             *[
-                _AGGS[agg](f"_whole_{s.name}")
-                .over(cell_window.rowsBetween(*_FRAMES["after" if side == "after" else "before"]))
-                .alias(f"_outer_{s.name}")
+                outer(agg, side, f"_whole_{s.name}").alias(f"_outer_{s.name}")
                 for s, agg, side in parts
             ],
         )
@@ -161,13 +175,12 @@ def ranked_values(
             *[F.sum(c).alias(name) for name, c in (counters or {}).items()],
         )
     )
-    ranked = running(
+    return running(
         cut_groups(cut(counted), by, value, group_rows),
         by,
         value,
-        [Running("n_below", "sum_before", F.col("n")), Running("_above", "sum_after", F.col("n"))],
+        [Running("n_below", "sum_before", F.col("n")), Running("n_total", "sum_overall", F.col("n"))],
     )
-    return ranked.withColumn("n_total", F.expr("n_below + n + _above")).drop("_above")
 
 
 def _value_at(rank: str, value: str) -> str:
