@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.numbers import normal_quantile
-from freshet.operators.lineage import cut
+from freshet.operators.lineage import cut, join_small
 from freshet.operators.spread import (
     GROUP_ROWS,
     Running,
@@ -123,7 +123,7 @@ def ros_values(
     estimate = (
         F.when(~F.col("censored"), F.col(rescol)).when(usable, fitted).otherwise(F.col(rescol) * 0.5)
     )
-    return placed.join(fits, by, "inner").select(
+    return join_small(placed, fits, by).select(
         *by, rescol, "censored", "position", estimate.alias(f"ros_{rescol}")
     )
 

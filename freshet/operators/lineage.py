@@ -1,10 +1,15 @@
-"""Cutting the lineage of a plan that is read more than once."""
+"""Cutting the lineage of a plan that is read more than once, and checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,3 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="freshet-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def join_small(
+    df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join per-group results back to the rows of the groups.
+
+    The right side is computed and counted first. Up to ``limit`` rows it is
+    broadcast, so the rows are not shuffled by a key that may be hot; beyond
+    that it is an ordinary join, whose hot partitions AQE splits.
+    """
+    small = cut(small)
+    if small.count() <= limit:
+        small = F.broadcast(small)
+    return df.join(small, list(keys), how)

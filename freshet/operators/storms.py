@@ -21,6 +21,7 @@ from freshet.functions.clock import (
     with_time_groups,
 )
 from freshet.operators.intervals import join_on_grid
+from freshet.operators.lineage import cut, join_small
 from freshet.operators.spread import GROUP_ROWS, ranked_values, value_at
 
 # --- fixed values: column order of the storm table ---
@@ -80,7 +81,8 @@ def label_wet_bins(
     if edits is not None:
         wet = wet.unionByName(_edit_marks(edits), allowMissingColumns=True)
     wet = wet.withColumns({"_wet": F.col("_order") == 1, "_month": month_index("ts")})
-    wet = wet.withColumn("_wet", F.col("_wet") & is_wet())
+    # read twice below; wet bins are a small part of a record
+    wet = cut(wet.withColumn("_wet", F.col("_wet") & is_wet()))
 
     gap = F.lit(int(round((interevent_hours * 60 + period_minutes) * 60_000_000)))
 
@@ -297,14 +299,14 @@ def winsorize(
     are raised to the smallest, and lowered to the largest, value kept.
     """
     by = list(by)
-    ranked = ranked_values(df, by, column, group_rows=group_rows).join(limits, by, "inner")
+    ranked = join_small(ranked_values(df, by, column, group_rows=group_rows), limits, by)
     bounds = ranked.groupBy(*by).agg(
         value_at("floor(low * n_total)", column).alias("_low"),
         value_at("(n_total - 1 - floor(high * n_total))", column).alias("_high"),
     )
     clamped = F.least(F.greatest(F.col(column), F.col("_low")), F.col("_high"))
     return (
-        df.join(bounds, by, "left")
+        join_small(df, bounds, by, "left")
         .withColumn(column, F.when(F.col(column).isNotNull(), clamped))
         .select(*df.columns)
     )

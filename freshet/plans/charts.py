@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from freshet.functions.bins import bin_index
+from freshet.operators.lineage import join_small
 from freshet.operators.spread import GROUP_ROWS, interpolated, ranked_values
 
 # --- fixed values: sideways shift of each site's error bars ---
@@ -146,7 +147,7 @@ def box_stats(
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return (
-        ranked.join(quartiles, by, "inner")
+        join_small(ranked, quartiles, by)
         .groupBy(*by)
         .agg(
             F.sum("n").alias("count"),

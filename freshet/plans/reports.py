@@ -13,7 +13,7 @@ VERSIONS = ("draft", "final")
 
 def file_stem(name: Column) -> Column:
     """A name with the characters that file names avoid taken out."""
-    return F.regexp_replace(name, "[^A-Za-z0-9_.\\-]", "")
+    return F.regexp_replace(name, "[^A-Za-z0-9.\\-]", "")
 
 
 def _stamp(ts: str) -> Column:

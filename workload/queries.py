@@ -1116,7 +1116,7 @@ def _(v: Views) -> DataFrame:
 @query(
     "report_worklist",
     """SELECT site, sample, storm_number, stem || '-1-General' AS general_table, stem || '-2-Hydro' AS hydro_table,
-        stem || '-3-WQ_Composite' AS wq_table, stem || '-Composite' AS storm_figure,
+        stem || '-3-WQComposite' AS wq_table, stem || '-Composite' AS storm_figure,
         site || '-' || strftime(samplestart, '%Y%m%d-%H%M') || '-Composite-ISR-draft' AS document
     FROM (SELECT *, site || '-' || strftime(samplestart, '%Y-%m-%d-%H%M') AS stem FROM v_matched_samples
         WHERE sampletype = 'composite' AND storm_number IS NOT NULL)""",

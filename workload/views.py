@@ -160,7 +160,8 @@ class Views:
 
     @cached_property
     def record(self) -> DataFrame:
-        rated = hydro.rate_flow(self.gauged, self.curve)
+        binned = hydro.gauged_record(self.readings, self.sites, GRID_MINUTES)
+        rated = hydro.rate_flow(binned, self.curve)
         return rated.withColumn("inflow_lps", F.lit(None).cast("double"))
 
     @cached_property
