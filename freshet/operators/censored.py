@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from freshet.functions.numbers import normal_quantile
 from freshet.operators.lineage import cut, join_small
 from freshet.operators.spread import (
+    CELL,
     GROUP_ROWS,
     Running,
     drop_null_keys,
@@ -62,7 +63,7 @@ def ros_positions(
     ranked = ranked_values(df, by, rescol, counters, group_rows)
     has_limit = F.col("_c") > 0
     below = F.col("n_below").cast("double")
-    scanned = cut(running(
+    scanned = running(
         ranked,
         by,
         rescol,
@@ -71,7 +72,9 @@ def ros_positions(
             Running("_next", "min_after", F.when(has_limit, F.col("n_below"))),
             Running("_logs", "sum_after", F.when(has_limit & (below > 0), F.log(1 + F.col("_c") / F.nullif(below, F.lit(0.0)))).otherwise(0.0)),
         ],
-    ))
+    )
+    if CELL in scanned.columns:  # a long plan that the callers read twice
+        scanned = cut(scanned)
     base = F.coalesce("_base", F.lit(0)).cast("double")
     detects = F.coalesce("_next", "n_total").cast("double") - base
     scale = F.exp("_logs") / F.col("n_total")

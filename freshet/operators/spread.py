@@ -27,6 +27,7 @@ from freshet.operators.lineage import cut
 CELL = "_cell"
 GROUP_ROWS = 1_000_000
 SLOTS = 256
+STEP = 16
 
 
 def drop_null_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -62,12 +63,15 @@ def cut_groups(
         .agg(F.sort_array(F.collect_list("_pick")).alias("_cuts"), F.sum("_rows").alias("_rows"))
         .filter(F.col("_rows") > group_rows)
         .drop("_rows")
+        .withColumn("_steps", F.expr(f"filter(_cuts, (c, i) -> (i + 1) % {STEP} = 0)"))
     )
-    position = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
+    # search the coarse steps, then the cuts of one step
+    whole = f"{STEP} * size(filter(_steps, c -> c <= {value}))"
+    position = f"{whole} + size(filter(slice(_cuts, {whole} + 1, {STEP}), c -> c <= {value}))"
     return (
         values.join(cuts, by, "left")
-        .withColumn(CELL, F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(position))
-        .drop("_cuts")
+        .withColumn(CELL, F.expr(f"CASE WHEN _cuts IS NULL THEN -1 ELSE {position} END"))
+        .drop("_cuts", "_steps")
     )
 
 
