@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.functions import pollutants
+from freshet.functions import options, pollutants
 from freshet.functions.volumes import load
+from freshet.operators import censored
+from freshet.operators.lineage import cut, join_small
 
 BOUNDS = ("lower", "median", "upper")
 INFLUENT = tuple(f"influent_{b}" for b in BOUNDS)
 EFFLUENT = tuple(f"effluent_{b}" for b in BOUNDS)
 _SUFFIX = {"lower": "_lower", "median": "", "upper": "_upper"}
 _MATCH = ("site", "storm_number", "year", "season", "grouped_season")
+# --- fixed values: column order of the tidy tables (below and in tidy_measured) ---
 _SAMPLE_COLUMNS = (
     "sample", "sampletype", "samplestart", "samplestop", "interval_minutes",
     "detectionlimit", "qualifier", "concentration",
@@ -74,17 +75,6 @@ def tidy_measured(matched: DataFrame, storms: DataFrame, influent: DataFrame | N
     )
 
 
-def _outer_small(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer join with a right side keyed by ``keys``.
-
-    Written as a left join plus the unmatched right rows: unlike a full outer
-    join, each half may be broadcast or split when a key is hot.
-    """
-    keys = list(keys)
-    unmatched = right.join(left.select(*keys).distinct(), keys, "left_anti")
-    return left.join(right, keys, "left").unionByName(unmatched, allowMissingColumns=True)
-
-
 def tidy_loads(
     wq: DataFrame,
     storms: DataFrame,
@@ -103,30 +93,31 @@ def tidy_loads(
     ``storms`` and ``wq`` are read several times: pass stored tables, or cut
     their lineage (:func:`freshet.operators.lineage.cut`).
     """
+    if "site" not in influent.columns:
+        raise ValueError("influent medians need a site column; see assign_influent")
     # parameters come from the dictionary, so a site has at most sixteen
-    params = pollutants.keep_pollutants(wq).select("site", "parameter").distinct()
-    base = (
-        storms.join(params, "site", "inner")
+    params = (
+        pollutants.keep_pollutants(wq)
+        .select("site", "parameter")
+        .distinct()
         .withColumn("units", pollutants.attribute("parameter", "conc_units"))
-        .withColumn("_owner", F.col("site"))
     )
-    keys = ["_owner", "parameter", "season", "units"]
-    if "site" not in influent.columns:
-        raise ValueError("influent medians need a site column; see assign_influent")
-    influent = influent.withColumnRenamed("site", "_owner")
-    influent = influent.select(*keys, *INFLUENT)
-    effluent = effluent.withColumnRenamed("site", "_owner").select(*keys, *EFFLUENT)
+    keys = ["site", "parameter", "season", "units"]
+    medians = cut(
+        influent.select(*keys, *INFLUENT).join(effluent.select(*keys, *EFFLUENT), keys, "full")
+    )
+    estimated = join_small(storms.join(params, "site", "inner"), medians, keys, "left")
     composite = wq.filter(F.col("sampletype") == "composite").select(
         *_MATCH, "parameter", "units", *_SAMPLE_COLUMNS
     )
     in_storm = composite.filter(F.col("storm_number").isNotNull())
-    on = [*_MATCH, "parameter", "units"]
+    df = estimated.join(in_storm, [*_MATCH, "parameter", "units"], "full" if keep_unmatched else "left")
     if keep_unmatched:
-        df = _outer_small(_outer_small(base, influent, keys), effluent, keys)
+        needed = storms.select("site", "season").distinct().join(params, "site", "inner")
+        unused = medians.join(needed, keys, "left_anti").drop("site")
         outside = composite.filter(F.col("storm_number").isNull())
-        df = df.join(in_storm, on, "full").unionByName(outside, allowMissingColumns=True)
-    else:
-        df = base.join(influent, keys, "left").join(effluent, keys, "left").join(in_storm, on, "left")
+        for rest in (unused, outside):
+            df = df.unionByName(rest, allowMissingColumns=True)
     df = _with_load_terms(df).withColumns(
         {
             **_influent_loads(),
@@ -144,6 +135,39 @@ def tidy_loads(
     )
 
 
+def _effluent_groups(wq: DataFrame, rescol: str, sampletype: str, groupby_col: str | None) -> tuple[DataFrame, list[str]]:
+    rescol, unitscol = options.result_column(rescol)
+    extra = options.time_group(groupby_col)
+    rows = wq.filter(F.col("sampletype") == options.sample_type(sampletype))
+    return rows, ["site", "parameter", unitscol, *([extra] if extra else [])]
+
+
+def site_medians(
+    wq: DataFrame, rescol: str = "concentration", sampletype: str = "composite", groupby_col: str | None = None
+) -> DataFrame:
+    """Median with bounds per site, parameter, units [and time], non-detects estimated."""
+    rows, by = _effluent_groups(wq, rescol, sampletype, groupby_col)
+    medians = censored.median_bounds(rows, by, rescol.lower())
+    return medians.select(*by, *[F.col(b).alias(f"effluent_{b}") for b in BOUNDS])
+
+
+def site_effluent(
+    wq: DataFrame,
+    samples: DataFrame,
+    rescol: str = "concentration",
+    sampletype: str = "composite",
+    groupby_col: str | None = None,
+) -> DataFrame:
+    """Characteristic effluent per site, parameter, units [and time].
+
+    ``samples`` decides which sites have enough composite samples (see
+    :func:`freshet.operators.censored.characteristic_effluent`).
+    """
+    rows, by = _effluent_groups(wq, rescol, sampletype, groupby_col)
+    composites = samples.filter(F.col("sampletype") == "composite")
+    return censored.characteristic_effluent(rows, by[1:], composites, rescol.lower())
+
+
 def rename_influent(medians: DataFrame) -> DataFrame:
     """Use a table of medians as influent: ``median`` -> ``influent_median``..."""
     names = {}

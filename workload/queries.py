@@ -632,11 +632,7 @@ _LAB_ROS = oracle.ros(_LAB_COMPOSITES, "site parameter units season", "concentra
 
 
 def _effluent(v: Views) -> DataFrame:
-    return censored.characteristic_effluent(
-        v.lab.filter("sampletype = 'composite'"),
-        ["parameter", "units", "season"],
-        v.samples.filter("sampletype = 'composite'"),
-    )
+    return quality.site_effluent(v.lab, v.samples, groupby_col="season")
 
 
 @query(
@@ -837,6 +833,29 @@ def _(v: Views) -> DataFrame:
     return censored.bootstrap_median_bounds(_composites(v), _BOOT_BY.split(), draws=100, max_rows=60)
 
 
+_SITE_SEASON_ROS = oracle.ros(_WQ_COMPOSITES, "site parameter units season", "concentration", "qualifier = '<'")
+_SITE_LOAD_ROS = oracle.ros(_WQ_COMPOSITES, "site parameter load_units year", "load_outflow", "qualifier = '<'")
+
+
+def _site_medians_sql(by: str) -> str:
+    return final(
+        f"""(SELECT * EXCLUDE (lower, median, upper, n), lower AS effluent_lower, median AS effluent_median,
+            upper AS effluent_upper FROM ({oracle.order_bounds("ros", by, "r")}))""",
+        by,
+        "effluent_lower effluent_median effluent_upper",
+    )
+
+
+@query("site_medians_by_season", _site_medians_sql("site parameter units season"), **_SITE_SEASON_ROS)
+def _(v: Views) -> DataFrame:
+    return quality.site_medians(v.wq, groupby_col="season")
+
+
+@query("site_medians_loads_by_year", _site_medians_sql("site parameter load_units year"), **_SITE_LOAD_ROS)
+def _(v: Views) -> DataFrame:
+    return quality.site_medians(v.wq, "load_outflow", groupby_col="year")
+
+
 # --- external data --------------------------------------------------------------------------------
 
 _RENAME_LANDUSE = "CASE parameter " + " ".join(f"WHEN '{p[2]}' THEN '{p[0]}'" for p in PARAMETERS.values()) + " END"
