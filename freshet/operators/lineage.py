@@ -31,16 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def join_small(
-    df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
-) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, computed and counted; marked for broadcast up to ``limit`` rows."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
+def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-group results back to the rows of the groups.
 
-    The right side is computed and counted first. Up to ``limit`` rows it is
-    broadcast, so the rows are not shuffled by a key that may be hot; beyond
-    that it is an ordinary join, whose hot partitions AQE splits.
+    The right side is broadcast where its counted rows allow it, so that the
+    rows are not shuffled by a key that may be hot; else this is an ordinary
+    join, whose hot partitions AQE splits.
     """
-    small = cut(small)
-    if small.count() <= limit:
-        small = F.broadcast(small)
-    return df.join(small, list(keys), how)
+    return df.join(broadcast_if_small(small), list(keys), how)

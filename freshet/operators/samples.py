@@ -110,6 +110,13 @@ def unknown_sites(requested: DataFrame, sites: DataFrame) -> DataFrame:
     return requested.select("site").distinct().join(sites, "site", "left_anti")
 
 
+def require_sites(requested: DataFrame, sites: DataFrame) -> None:
+    """Raise an error that names the first requested sites that do not exist."""
+    missing = [r["site"] for r in unknown_sites(requested, sites).orderBy("site").limit(20).collect()]
+    if missing:
+        raise ValueError(f"unknown sites: {missing}")
+
+
 def bad_sample_types(samples: DataFrame) -> DataFrame:
     """Samples whose type is neither grab nor composite."""
     known = F.lower("sampletype").isin(*options.SAMPLE_TYPES)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from freshet.functions import options, pollutants
 from freshet.functions.volumes import load
 from freshet.operators import censored
-from freshet.operators.lineage import cut, join_small
+from freshet.operators.lineage import broadcast_if_small
 
 BOUNDS = ("lower", "median", "upper")
 INFLUENT = tuple(f"influent_{b}" for b in BOUNDS)
@@ -96,17 +96,17 @@ def tidy_loads(
     if "site" not in influent.columns:
         raise ValueError("influent medians need a site column; see assign_influent")
     # parameters come from the dictionary, so a site has at most sixteen
-    params = (
+    params = broadcast_if_small(
         pollutants.keep_pollutants(wq)
         .select("site", "parameter")
         .distinct()
         .withColumn("units", pollutants.attribute("parameter", "conc_units"))
     )
     keys = ["site", "parameter", "season", "units"]
-    medians = cut(
+    medians = broadcast_if_small(
         influent.select(*keys, *INFLUENT).join(effluent.select(*keys, *EFFLUENT), keys, "full")
     )
-    estimated = join_small(storms.join(params, "site", "inner"), medians, keys, "left")
+    estimated = storms.join(params, "site", "inner").join(medians, keys, "left")
     composite = wq.filter(F.col("sampletype") == "composite").select(
         *_MATCH, "parameter", "units", *_SAMPLE_COLUMNS
     )

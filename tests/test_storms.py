@@ -225,3 +225,10 @@ def test_results_keep_regular_samples_and_known_parameters(spark):
     assert [x["sampledate"] for x in samples.sample_dates(samples.regular_samples(s), "composite", "stop").collect()] == [at(5)]
     with pytest.raises(ValueError):
         samples.sample_dates(s, "grab", "middle")
+
+
+def test_unknown_sites_are_named(spark):
+    known = spark.createDataFrame([("a",), ("b",)], "site string")
+    samples.require_sites(known, known)
+    with pytest.raises(ValueError, match="zz"):
+        samples.require_sites(spark.createDataFrame([("a",), ("zz",)], "site string"), known)

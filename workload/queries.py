@@ -1076,7 +1076,7 @@ def _(v: Views) -> DataFrame:
     "reduction_bars",
     final(
         f"""(SELECT parameter, site, season, load_red AS y, load_red - load_red_lower AS err_low, load_red_upper - load_red AS err_high,
-            row_number() OVER (PARTITION BY parameter, site ORDER BY season) - 1 + CASE site WHEN 'S0' THEN 0.0 WHEN 'S1' THEN -0.2 WHEN 'S2' THEN 0.2 END AS x
+            row_number() OVER (PARTITION BY parameter, site ORDER BY season) - 1 + CAST(CASE site WHEN 'S0' THEN 0.0 WHEN 'S1' THEN -0.2 WHEN 'S2' THEN 0.2 END AS DOUBLE) AS x
         FROM {_PCT_SEASON} WHERE parameter IN {_IN_METALS})""",
         "parameter site season",
         "y err_low err_high x",
