@@ -22,11 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.operators.lineage import cut
+from freshet.operators.lineage import broadcast_if_small, cut
 
 CELL = "_cell"
 GROUP_ROWS = 1_000_000
 SLOTS = 256
+OVERSAMPLE = 16
 STEP = 16
 
 
@@ -53,23 +54,25 @@ def cut_groups(
     if largest_group(values, by) <= group_rows:
         return values
     picks = (
-        values.withColumn("_slot", F.pmod(F.xxhash64(value), F.lit(slots)))
+        values.withColumn("_slot", F.pmod(F.xxhash64(value), F.lit(slots * OVERSAMPLE)))
         .groupBy(*by, "_slot")
         .agg(F.min_by(value, F.xxhash64(F.col(value), F.lit(17))).alias("_pick"), F.count(F.lit(1)).alias("_rows"))
     )
-    # at most `slots` values per group
+    # a group has at most slots * OVERSAMPLE picks; cuts are evenly spaced among them
     cuts = (
         picks.groupBy(*by)
-        .agg(F.sort_array(F.collect_list("_pick")).alias("_cuts"), F.sum("_rows").alias("_rows"))
+        .agg(F.sort_array(F.collect_list("_pick")).alias("_picks"), F.sum("_rows").alias("_rows"))
         .filter(F.col("_rows") > group_rows)
-        .drop("_rows")
+        .withColumn("_cuts", F.expr(f"filter(_picks, (c, i) -> (i + 1) % greatest(1, size(_picks) div {slots}) = 0)"))
+        .drop("_rows", "_picks")
         .withColumn("_steps", F.expr(f"filter(_cuts, (c, i) -> (i + 1) % {STEP} = 0)"))
     )
     # search the coarse steps, then the cuts of one step
     whole = f"{STEP} * size(filter(_steps, c -> c <= {value}))"
     position = f"{whole} + size(filter(slice(_cuts, {whole} + 1, {STEP}), c -> c <= {value}))"
+    # one row of cuts per large group
     return (
-        values.join(cuts, by, "left")
+        values.join(broadcast_if_small(cuts, 10_000), by, "left")
         .withColumn(CELL, F.expr(f"CASE WHEN _cuts IS NULL THEN -1 ELSE {position} END"))
         .drop("_cuts", "_steps")
     )
@@ -157,36 +160,54 @@ def running(df: DataFrame, by: Sequence[str], value: str, specs: Sequence[Runnin
     return merged.drop(*[f"_{p}_{s.name}" for s in specs for p in ("inner", "outer")])
 
 
-def ranked_values(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    counters: dict[str, Column] | None = None,
-    group_rows: int = GROUP_ROWS,
+def count_values(
+    df: DataFrame, by: Sequence[str], value: str, counters: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Each distinct value of each group with its rank.
+    """Each distinct value of each group with its rows ``n``, computed once.
 
-    Gives ``by``, ``value``, ``n`` (rows with the value), ``n_below`` (rows of
-    the group with a smaller value), ``n_total`` (rows of the group) and one
-    column per counter (a sum over the rows with the value). Rows are counted
-    before they are shuffled; null values and null keys are left out.
+    ``counters`` adds sums over the rows with the value. Rows with a null key
+    are left out; a null value is kept, as a value of its own.
     """
-    counted = (
-        drop_null_keys(df, [*by, value])
+    return cut(
+        drop_null_keys(df, by)
         .groupBy(*by, value)
         .agg(
             F.count(F.lit(1)).alias("n"),
             *[F.sum(c).alias(name) for name, c in (counters or {}).items()],
         )
     )
+
+
+def rank_counted(
+    counted: DataFrame, by: Sequence[str], value: str, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """Add ranks to counted values without nulls (see :func:`ranked_values`)."""
     return running(
-        cut_groups(cut(counted), by, value, group_rows),
+        cut_groups(counted, by, value, group_rows),
         by,
         value,
         [Running("n_below", "sum_before", F.col("n")), Running("n_total", "sum_overall", F.col("n"))],
     )
 
 
+def ranked_values(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    counters: dict[str, Column] | None = None,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """Each distinct value of each group with its rank.
+
+    Gives ``by``, ``value``, ``n`` (rows with the value), ``n_below`` (rows of
+    the group with a smaller value), ``n_total`` (rows of the group) and one
+    column per counter (a sum over the rows with the value). Rows are counted
+    before they are shuffled; null values and null keys are left out.
+    """
+    counted = count_values(df.na.drop(subset=[value]), by, value, counters)
+    return rank_counted(counted, by, value, group_rows)
+
+
 def _value_at(rank: str, value: str) -> str:
     return f"max(CASE WHEN n_below <= {rank} AND {rank} < n_below + n THEN {value} END)"
 

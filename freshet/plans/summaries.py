@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.functions import options
 from freshet.functions.numbers import pct_reduction, ratio, sig_figs
-from freshet.operators.spread import GROUP_ROWS, drop_null_keys, quantiles
+from freshet.operators.lineage import broadcast_if_small
+from freshet.operators.spread import (
+    GROUP_ROWS,
+    count_values,
+    drop_null_keys,
+    interpolated,
+    quantiles,
+    rank_counted,
+)
 from freshet.operators.storms import as_dates, exclude_storms
 
 LOADS = tuple(
@@ -233,18 +241,44 @@ def storm_stats(
 
 
 def _describe(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float], group_rows: int, extra: Iterable = ()
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    probs: dict[str, float],
+    group_rows: int,
+    counters: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Count, mean, sd, min, percentiles and max of ``value`` per group."""
-    basic = df.groupBy(*by).agg(
-        F.count(value).alias("count"),
-        *extra,
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    """Count, mean, sd, min, percentiles and max of ``value`` per group.
+
+    The rows are read once, into counts of distinct values; every statistic
+    comes from those. Deviations are taken from the mean before squaring.
+    """
+    counted = count_values(df, by, value, counters)
+    known = F.when(F.col(value).isNotNull(), F.col("n"))
+    basic = broadcast_if_small(
+        counted.groupBy(*by).agg(
+            F.coalesce(F.sum(known), F.lit(0)).alias("count"),
+            *[F.sum(c).alias(c) for c in counters or {}],
+            ratio(F.sum(F.col(value) * F.col("n")), F.sum(known).cast("double")).alias("mean"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+        )
+    )
+    ranked = rank_counted(counted.filter(F.col(value).isNotNull()), by, value, group_rows)
+    deviation = F.col(value) - F.col("mean")
+    spread = (
+        ranked.join(basic.select(*by, "mean"), by, "inner")
+        .groupBy(*by)
+        .agg(
+            F.sum(F.col("n") * deviation * deviation).alias("_squares"),
+            *[interpolated(p, value).alias(name) for name, p in probs.items()],
+        )
+    )
+    return (
+        basic.join(spread, by, "left")
+        .withColumn("std", F.when(F.col("count") > 1, F.sqrt(F.col("_squares") / (F.col("count") - 1))))
+        .drop("_squares")
     )
-    return basic.join(quantiles(df, by, value, probs, group_rows), by, "left")
 
 
 def wq_summary(
@@ -261,9 +295,9 @@ def wq_summary(
     rescol, unitscol = options.result_column(rescol)
     by = _by(["site", "parameter", unitscol], groupby_col)
     rows = drop_null_keys(wq.filter(F.col("sampletype") == options.sample_type(sampletype)), by)
-    nondetects = F.count_if(~F.col("qualifier").eqNullSafe(F.lit("="))).alias("count_nds")
+    nondetects = {"count_nds": (~F.col("qualifier").eqNullSafe(F.lit("="))).cast("bigint")}
     probs = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    stats = _describe(rows, by, rescol, probs, group_rows, [nondetects])
+    stats = _describe(rows, by, rescol, probs, group_rows, nondetects)
     return stats.withColumn("cov", ratio(F.col("std"), F.col("mean"))).select(*by, *WQ_SUMMARY_HEADINGS)
 
 
