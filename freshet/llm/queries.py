@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import line_dedup, simhash
+from freshet.llm import language, line_dedup, simhash
 from freshet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+@query("op10_language_id")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = docs.select("doc_id", language.held_out().alias("held_out"), language.predicted(language.train(docs)).alias("told"))
+    return told.select("doc_id", "held_out", F.col("told.lang").alias("lang_pred"), "told.score")
