@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import language, line_dedup, simhash
+from freshet.llm import language, line_dedup, pieces, simhash
 from freshet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_sentencepiece")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded, decoded = pieces.codec_columns(docs, pieces.load())
+    coded = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), encoded().alias("ids"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
+        F.sha2(decoded("ids"), 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"),
+    )
+
+
 @query("op2_simhash")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
