@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import language, line_dedup, pieces, simhash
+from freshet.llm import language, line_dedup, mixing, pieces, simhash
 from freshet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,71 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The mixture: domains are thirds of the sources by number; weights of what is not named are 1.
+DOMAIN = "concat('d', coalesce(try_cast(regexp_extract(source, '[0-9]+', 0) AS INT), 0) % 3)"
+DOMAIN_WEIGHTS, LANG_WEIGHTS = {"d0": 5, "d1": 3, "d2": 2}, {"en": 6, "fr": 2, "de": 2}
+TOKEN_PERCENT, MAX_EPOCHS = 90, 2
+
+
+def mixed(docs: DataFrame, max_epochs: int) -> DataFrame:
+    """The mixture of the queries and the pipeline."""
+    return mixing.mix(
+        docs,
+        {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")},
+        {
+            "domain": mixing.weight_of("domain", DOMAIN_WEIGHTS),
+            "lang": mixing.weight_of("lang", LANG_WEIGHTS),
+            "source": mixing.weight_of("source", {}),
+        },
+        F.expr(f"total * {TOKEN_PERCENT} div 100"),
+        max_epochs,
+    )
+
+
+def _dealt(name: str, above: str, parents: str, child: str, weights: dict[str, int]) -> str:
+    """SQL of one level: ``name`` has the nodes of the level with their budgets."""
+    cases = " ".join(f"WHEN '{v}' THEN {w}" for v, w in weights.items())
+    weight = f"CASE {child} {cases} ELSE 1 END" if cases else "1"
+    keys = ", ".join(k for k in (parents, child) if k)
+    family = f"PARTITION BY {parents}" if parents else ""
+    parent = f"JOIN {above} USING ({parents})" if parents else f"CROSS JOIN {above}"
+    return f"""{name}_n AS (SELECT {keys}, sum(tokens)::HUGEINT * {MAX_EPOCHS} AS capacity, ({weight})::HUGEINT AS weight
+        FROM leaves GROUP BY ALL),
+    {name}_s AS (SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+            (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS weight_left
+        FROM {name}_n {parent} WINDOW o AS ({family} ORDER BY capacity::DOUBLE / weight::DOUBLE, {child})),
+    {name}_f AS (SELECT *, before * weight + capacity * weight_left <= budget * weight AS fills FROM {name}_s),
+    {name} AS (SELECT {keys}, CASE WHEN fills THEN capacity ELSE
+            ((budget - coalesce(sum(capacity) FILTER (fills) OVER ({family}), 0))::HUGEINT * weight)
+                // (sum(weight) FILTER (NOT fills) OVER ({family}))::HUGEINT END::HUGEINT AS budget FROM {name}_f)"""
+
+
+_MIX_SQL = f"""WITH items AS (SELECT doc_id,
+        'd' || (coalesce(try_cast(regexp_extract(source, '[0-9]+') AS INT), 0) % 3) AS domain,
+        coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+    leaves AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens FROM items GROUP BY ALL),
+    root AS (SELECT (sum(tokens) * {TOKEN_PERCENT}) // 100 AS budget FROM leaves),
+    {_dealt("domains", "root", "", "domain", DOMAIN_WEIGHTS)},
+    {_dealt("langs", "domains", "domain", "lang", LANG_WEIGHTS)},
+    {_dealt("sources", "langs", "domain, lang", "source", {})},
+    plan AS (SELECT domain, lang, source, tokens AS leaf_tokens,
+        CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, budget FROM leaves JOIN sources USING (domain, lang, source)),
+    placed AS (SELECT *, budget - whole * leaf_tokens AS rest,
+        md5('{mixing.SEED}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS place
+        FROM items JOIN plan USING (domain, lang, source)),
+    summed AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed)
+    SELECT doc_id, domain, lang, source, tokens AS n_tokens, unnest(range(times))::INT AS epoch
+    FROM (SELECT *, (whole + (rest > 0 AND before < rest)::INT)::BIGINT AS times FROM summed)"""
+
+
+@query("op8_mixing", _MIX_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs, MAX_EPOCHS).select("row.doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 @query("op10_language_id")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
