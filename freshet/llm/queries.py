@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import language, line_dedup, mixing, pieces, simhash
+from freshet.llm import exact_dedup, language, line_dedup, mixing, pieces, simhash
 from freshet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,20 @@ _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 
+@query(
+    "op5_exact_dedup",
+    f"""WITH marked AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_UPPER}, {_LOWER})) AS text_sha256 FROM documents)
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+    FROM marked WINDOW same AS (PARTITION BY text_sha256)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha256")).alias("text_sha256")
+    )
+
+
 @query(
     "op7_line_dedup",
     f"""WITH lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
