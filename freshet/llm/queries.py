@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import exact_dedup, language, line_dedup, mixing, pieces, simhash
-from freshet.llm.common import table
+from freshet.llm import exact_dedup, language, line_dedup, mixing, pieces, quality, simhash
+from freshet.llm.common import WORD, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,35 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
+POLICY = "v1"
+
+
+@query(
+    "op4_quality",
+    f"""WITH split AS (SELECT doc_id, text, {_WORDS} AS words, string_split(coalesce(text, ''), chr(10)) AS all_lines,
+        row_number() OVER () AS r FROM documents),
+    lined AS (SELECT *, list_filter(all_lines, lambda x: regexp_matches(x, '{WORD}')) AS lines FROM split),
+    windows AS (SELECT r, unnest(range(1, len(words) - 1)) AS k, words FROM split),
+    named AS (SELECT r, k, words[k:k + 2] AS w FROM windows),
+    again AS (SELECT r, k FROM named QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+    covered AS (SELECT r, count(DISTINCT k + j) AS n FROM again, range(3) t(j) GROUP BY r),
+    measured AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
+        length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+        FROM lined LEFT JOIN covered USING (r))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT (base_failed OR 2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines) AS kept
+    FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = written(quality.ledger(table(spark, sf_dir, "documents")))
+    return book.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality.fails("base").alias("base_failed"), (~quality.fails(POLICY)).alias("kept"),
+    )
+
+
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
@@ -126,7 +155,7 @@ def _dealt(name: str, above: str, parents: str, child: str, weights: dict[str, i
 _MIX_SQL = f"""WITH items AS (SELECT doc_id,
         'd' || (coalesce(try_cast(regexp_extract(source, '[0-9]+') AS INT), 0) % 3) AS domain,
         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
-        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+        len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS tokens FROM documents),
     leaves AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens FROM items GROUP BY ALL),
     root AS (SELECT (sum(tokens) * {TOKEN_PERCENT}) // 100 AS budget FROM leaves),
     {_dealt("domains", "root", "", "domain", DOMAIN_WEIGHTS)},
