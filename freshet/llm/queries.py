@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import exact_dedup, language, line_dedup, mixing, pieces, quality, simhash
+from freshet.llm import exact_dedup, language, line_dedup, mixing, pieces, quality, simhash, substring_dedup
 from freshet.llm.common import WORD, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,26 @@ _WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
 POLICY = "v1"
 
 
+@query(
+    "op3_substring_dedup",
+    f"""WITH split AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+    windows AS (SELECT doc_id, k, array_to_string(words[k:k + 12], ' ') AS w
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS k FROM split)),
+    again AS (SELECT doc_id, k FROM windows JOIN (SELECT w, min(doc_id) AS owner FROM windows GROUP BY w) USING (w)
+        WHERE owner < doc_id),
+    gone AS (SELECT DISTINCT doc_id, k + j AS pos FROM again, range(13) t(j)),
+    placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split),
+    judged AS (SELECT placed.*, gone.pos IS NOT NULL AS removed FROM placed LEFT JOIN gone USING (doc_id, pos)),
+    counted AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed,
+        string_agg(word, ' ' ORDER BY pos) FILTER (NOT removed) AS kept FROM judged GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents LEFT JOIN counted USING (doc_id)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query(
     "op4_quality",
     f"""WITH split AS (SELECT doc_id, text, {_WORDS} AS words, string_split(coalesce(text, ''), chr(10)) AS all_lines,
