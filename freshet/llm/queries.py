@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import exact_dedup, language, line_dedup, mixing, pieces, quality, simhash, substring_dedup
+from freshet.llm import chat, exact_dedup, language, line_dedup, mixing, pieces, quality, simhash, substring_dedup
 from freshet.llm.common import WORD, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,25 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs, MAX_EPOCHS).select("row.doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+_SAID = f"""'{chat.START}' || coalesce(role, '') || chr(10)
+    || replace(replace(coalesce(text, ''), '{chat.START}', '< |im_start|>'), '{chat.STOP}', '< |im_end|>') || '{chat.STOP}' || chr(10)"""
+
+
+@query(
+    "op6_chat_format",
+    f"""WITH turns AS (SELECT DISTINCT * FROM conversations),
+    logged AS (SELECT conv_id, list([role, text] ORDER BY turn) AS said, string_agg({_SAID}, '' ORDER BY turn) AS chat
+        FROM turns GROUP BY conv_id),
+    prefixes AS (SELECT DISTINCT said[1:k] AS said FROM (SELECT said, unnest(range(1, len(said))) AS k FROM logged)),
+    kept AS (SELECT logged.* FROM logged ANTI JOIN prefixes USING (said))
+    SELECT min(conv_id) AS conv_id, 0 AS part, len(said) AS n_turns, count(*) AS n_logged, any_value(chat) AS chat
+    FROM kept GROUP BY said""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chats.withColumnRenamed("conv", "conv_id")
+
+
 @query("op10_language_id")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
