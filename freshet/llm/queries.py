@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, exact_dedup, language, line_dedup, mixing, pieces, quality, simhash, substring_dedup
+from freshet.llm import chat, exact_dedup, html_text, language, line_dedup, mixing, pieces, quality, simhash, substring_dedup
 from freshet.llm.common import WORD, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,6 +217,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.withColumnRenamed("conv", "conv_id")
 
 
+@query("op9_html_text")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extracted("html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op10_language_id")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
