@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import LAST_ID, shared_folder, text_bytes, written
+from freshet.llm.common import LAST_ID, shared_folder, text_bytes, unused, written
 
 #: Keys with fewer code points are never dropped.
 MIN_POINTS = 10
@@ -178,13 +178,14 @@ def drop_repeated_lines(
     gives an empty table.
     """
     lines = written(document_lines(docs, id_col, text_col))
-    drops = repeated_lines(lines, batches, fanout).toDF("_drop_id", "_drop_keys")
+    drop_id, drop_keys, made = (unused(docs, name) for name in ("drop_id", "drop_keys", "made"))
+    drops = repeated_lines(lines, batches, fanout).toDF(drop_id, drop_keys)
     own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
-    joined = docs.join(drops, own == F.col("_drop_id"), "left")
-    made = joined.withColumn("_made", _strip(text_bytes(text_col), F.col("_drop_keys")))
+    joined = docs.join(drops, own == F.col(drop_id), "left")
+    stripped = joined.withColumn(made, _strip(text_bytes(text_col), F.col(drop_keys)))
     columns = [
-        F.col("_made.text").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns
+        F.col(f"{made}.text").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns
     ]
     if stats:
-        columns.append(F.struct("_made.n_lines", "_made.n_dropped").alias(stats))
-    return made.select(*columns)
+        columns.append(F.struct(f"{made}.n_lines", f"{made}.n_dropped").alias(stats))
+    return stripped.select(*columns)

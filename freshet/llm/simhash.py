@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import text_bytes, written
+from freshet.llm.common import text_bytes, unused, written
 from freshet.llm.components import connected
 
 SHINGLE = 3
@@ -119,6 +119,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one row stays. Rows without an id cannot be told apart and all stay.
     """
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("id") == F.col("component")).select(F.col("id").alias("_kept_id")).distinct()
-    named = docs.join(kept, F.col(f"`{id_col}`") == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    kept_id = unused(docs, "kept_id")
+    kept = found.where(F.col("id") == F.col("component")).select(F.col("id").alias(kept_id)).distinct()
+    named = docs.join(kept, F.col(f"`{id_col}`") == F.col(kept_id), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
