@@ -195,9 +195,13 @@ def _first_label(block: Block) -> str:
 
 def main_blocks(html: bytes | None) -> list[Block]:
     """The blocks of the main text, in page order."""
-    parser = _Blocks()
     # A marked section is a comment in HTML; the parser would stop at one that it does not know.
-    parser.feed((html or b"").decode("utf-8", "replace").replace("<![", "<! ["))
+    page = (html or b"").decode("utf-8", "replace").replace("<![", "<! [")
+    last = page.rfind("<")
+    if last > page.rfind(">") and re.match("[a-zA-Z/!]", page[last + 1 : last + 2]):
+        page = page[:last]  # a tag that the end of the page cuts off
+    parser = _Blocks()
+    parser.feed(page)
     parser.close()
     blocks = [b for b in parser.blocks if b.region or not parser.regions]
     for block in blocks:
@@ -214,9 +218,10 @@ def main_blocks(html: bytes | None) -> list[Block]:
                 last = blocks[k].label
     kept = []
     for block, a, b in zip(blocks, before, after):
-        if block.label == "good" or block.label == "short" and (a == b == "good" or block.heading and b == "good"):
+        either = block.label == "near" or block.label == "short" and block.region
+        if block.label == "good" or either and "good" in (a, b):
             kept.append(block)
-        elif block.label == "near" and "good" in (a, b):
+        elif block.label == "short" and b == "good" and (a == "good" or block.heading):
             kept.append(block)
     return kept
 
