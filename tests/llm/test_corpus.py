@@ -1,0 +1,142 @@
+"""Mixing and the pipeline against plain Python."""
+
+import hashlib
+import random
+from collections import defaultdict
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from freshet.llm import language, mixing, pieces, queries
+from corpus_brute import brute_classes, brute_fingerprint, brute_lines
+
+SF = "/root/testdata/sf0.001"
+
+
+def dealt(children, budget):
+    """(name, weight, capacity) -> tokens: fill whoever is full at the common level, share the rest by weight."""
+    got, left = {}, sorted(children, key=lambda c: (c[2] / c[1], c[0]))
+    while left:
+        name, weight, capacity = left[0]
+        if Fraction(budget * weight, sum(c[1] for c in left)) < capacity:
+            break
+        got[name], budget, left = capacity, budget - capacity, left[1:]
+    total = sum(c[1] for c in left)
+    return got | {name: budget * weight // total for name, weight, _ in left}
+
+
+def brute_mix(rows, weights, percent, epochs, levels=("domain", "lang", "source")):
+    """``rows``: dicts with id, tokens and the levels; returns (id, epoch) as often as taken."""
+    budgets = {(): sum(r["tokens"] for r in rows) * percent // 100}
+    for depth, level in enumerate(levels):
+        held = defaultdict(int)
+        for r in rows:
+            held[tuple(r[x] for x in levels[: depth + 1])] += r["tokens"] * epochs
+        below = {}
+        for parent, budget in budgets.items():
+            family = [(k[-1], weights.get(level, {}).get(k[-1], 1), n) for k, n in held.items() if k[:-1] == parent]
+            below |= {parent + (name,): n for name, n in dealt(family, budget).items()}
+        budgets = below
+    out = []
+    for leaf, budget in budgets.items():
+        mine = [r for r in rows if tuple(r[x] for x in levels) == leaf]
+        tokens = sum(r["tokens"] for r in mine)
+        full = budget // tokens if tokens else 0
+        rest = budget - full * tokens
+        out += [(r["id"], e) for r in mine for e in range(full)]
+        by_place = defaultdict(list)
+        for r in mine:
+            place = hashlib.md5(f"{mixing.SEED}:{full}:{'' if r['id'] is None else r['id']}".encode()).hexdigest()
+            by_place[place].append(r)
+        for place in sorted(by_place):
+            if rest <= 0:
+                break
+            out += [(r["id"], full) for r in by_place[place]]
+            rest -= sum(r["tokens"] for r in by_place[place])
+    return out
+
+
+def items(rows):
+    def domain(source):
+        digits = "".join(c if c.isdigit() else " " for c in source or "").split()
+        return f"d{int(digits[0]) % 3 if digits else 0}"
+
+    return [
+        {"id": i, "tokens": len((t or "").encode().split()), "domain": domain(s), "lang": lang or "(none)", "source": s or "(none)"}
+        for i, t, lang, s in rows
+    ]
+
+
+WEIGHTS = {"domain": queries.DOMAIN_WEIGHTS, "lang": queries.LANG_WEIGHTS}
+
+
+@pytest.mark.parametrize("epochs, cell_rows", [(1, 10_000), (2, 7), (5, 1)])
+def test_mixing(spark, monkeypatch, epochs, cell_rows):
+    """A hot source, an empty one, repeated rows and nulls, at several cell sizes."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell_rows)
+    r = random.Random(epochs)
+    rows = [(k, "w " * r.randrange(0, 60), r.choice(["en", "fr", None]), r.choice(["src0"] * 5 + ["src1", "src2", "x", None])) for k in range(300)]
+    rows += [(None, "a b c", "en", "src1"), (None, "a", "en", "src1"), (900, None, "xx", "src9"), (901, "", "xx", "src9"), *rows[:9]]
+    docs = spark.createDataFrame([(*x, "c", 1, 2) for x in rows], "doc_id long, text string, lang string, source string, id string, tokens int, epoch int")
+    found = queries.mixed(docs, epochs)
+    got = sorted(((x["row"]["doc_id"], x["epoch"]) for x in found.collect()), key=repr)
+    assert got == sorted(brute_mix(items(rows), WEIGHTS, queries.TOKEN_PERCENT, epochs), key=repr)
+    assert found.select("row.*").columns == docs.columns
+
+
+def test_shortages_go_to_siblings_first(spark):
+    """A poor language's part goes to the other language of its domain, not to the other domain."""
+    rows = [(k, "w " * 10, "en", "src0") for k in range(100)] + [(200, "w " * 10, "fr", "src0")] + [(300 + k, "w " * 10, "en", "src1") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    levels = {"domain": F.expr(queries.DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
+    weights = {level: mixing.weight_of(level, {}) for level in levels}
+    found = mixing.mix(docs, levels, weights, F.lit(1000).cast("long")).groupBy("domain", "lang").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {(x["domain"], x["lang"]): x["n"] for x in found} == {("d0", "fr"): 10, ("d0", "en"): 490, ("d1", "en"): 500}
+
+
+def test_mixing_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    assert queries.mixed(docs, 2).collect() == []
+    for bad in ({"en": 0}, {"en": 1.5}):
+        with pytest.raises(ValueError):
+            mixing.weight_of("lang", bad)
+
+
+def test_pipeline(spark):
+    """Every stage in plain Python, with the model and the tokenizer of the run."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs)
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    told = [(r, model.predict(None if r[1] is None else r[1].encode())) for r in rows]
+    rows = [(i, t, lang, s) for (i, t, _, s), (lang, score) in told if lang != "und" and score >= language.MIN_SCORE]
+    texts = {i: text for i, text, _, _ in brute_lines([r[:2] for r in rows])}
+    rows = [(i, texts[i], lang, s) for i, _, lang, s in rows]
+    fps = {i: brute_fingerprint(t.encode()) for i, t, _, _ in rows}
+    cls, least = brute_classes(set(fps.values())), {}
+    for i, f in fps.items():
+        least[cls[f]] = min(least.get(cls[f], i), i)
+    rows = [r for r in rows if r[0] in set(least.values())]
+    kept = {i for i, _ in brute_mix(items(rows), WEIGHTS, queries.TOKEN_PERCENT, 1)}
+    codec = pieces.Codec(pieces.load())
+    expected = {r[0]: (r[2], r[3], codec.encode(r[1].encode()).tolist(), hashlib.sha256(r[1].encode()).hexdigest()) for r in rows if r[0] in kept}
+    found = corpus_pipeline.run(spark, SF).collect()
+    assert {x["doc_id"]: (x["lang"], x["source"], x["ids"], x["decoded_sha256"]) for x in found} == expected
+    assert len(found) == len(expected) and 100 < len(found) < docs.count()
+    assert all(x["n_ids"] == len(x["ids"]) for x in found)
+
+
+def test_stages_keep_the_columns_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes and out.collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect() == []
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "mixing", "sentencepiece"]
+
+
+def test_queries_are_registered_once_per_operator():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
+    assert numbers == list(range(1, 11))
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
