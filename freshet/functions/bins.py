@@ -8,22 +8,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# --- fixed values: edges of storm depth bins, mm ---
 DEPTH_EDGES = (0, 5, 10, 15, 20, 25, math.inf)
 
 
+def interval_label(low: float | None, high: float | None, units: str | None = None) -> str:
+    """The text of an interval; an end that is None is open, as in ``<5`` and ``>25``."""
+    ends = [f"{end}" for end in (low, high) if end is not None]
+    sign = "<" if low is None else ">" if high is None else ""
+    return " ".join([sign + " - ".join(ends), *([units] if units else [])])
+
+
 def bin_labels(edges: Sequence[float], units: str | None = None) -> list[str]:
-    """Labels of consecutive bins: ``<5``, ``5 - 10``, ``>25``, with units."""
-    suffix = "" if units is None else f" {units}"
-    labels = []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        if lo == 0:
-            text = f"<{hi}"
-        elif math.isinf(hi):
-            text = f">{lo}"
-        else:
-            text = f"{lo} - {hi}"
-        labels.append(text + suffix)
-    return labels
+    """Labels of consecutive bins; a bin from zero or to infinity has an open end."""
+    ends = [None if edge == 0 or math.isinf(edge) else edge for edge in edges]
+    return [interval_label(*pair, units) for pair in zip(ends, ends[1:])]
 
 
 def _arms(value: str, edges: Sequence[float], results: Sequence[str]) -> str:

@@ -5,8 +5,12 @@ Text arguments are column names or SQL expressions.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: coefficients of algorithm AS241 (Wichura 1988), PPND16 ---
 AS241_CENTRE_NUM = (
@@ -99,3 +103,45 @@ def sig_figs(x: str, n: int = 3, expthresh: int = 5) -> Column:
 def with_units(x: str, units: str, n: int = 3) -> Column:
     """``'0.120 mg/L'``; a missing value is written ``'--'``."""
     return F.expr(f"CASE WHEN {x} IS NULL THEN '--' ELSE concat_ws(' ', {_sig_figs(x, n, 5)}, {units}) END")
+
+
+def _chance_at_least(n: int, r: int, p: float) -> float:
+    """P(Bin(n, p) >= r), by the continued fraction of the incomplete beta function."""
+    if p >= 1 or r <= 0:
+        return 1.0
+    a, b, x = float(r), float(n - r + 1), p
+    swapped = x > (a + 1) / (a + b + 2)
+    if swapped:
+        a, b, x = b, a, 1 - x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    total, m = d, 0
+    while True:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + step * d), 1 + step / c
+            total *= c * d
+        if abs(c * d - 1) < 1e-15 or m > 1_000_000:
+            return 1 - front * total if swapped else front * total
+
+
+def bootstrap_rank(n: int, r: int, level: float) -> int:
+    """The smallest 0-based rank that the r-th smallest of n redrawn rows reaches with a chance of ``level``."""
+    low, high = 1, n
+    while low < high:
+        k = (low + high) // 2
+        low, high = (low, k) if _chance_at_least(n, r, k / n) >= level else (k + 1, high)
+    return low - 1
+
+
+def median_ranks(size: str, tail: float) -> Column:
+    """``struct<low, high>``: 0-based ranks of the rows that bound the median of ``size`` redrawn rows."""
+
+    @F.arrow_udf(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
+    def ranks(sizes: pa.Array) -> pa.Array:
+        ns = sizes.to_pylist()
+        low = [bootstrap_rank(n, (n + 1) // 2, tail) for n in ns]
+        high = [bootstrap_rank(n, n // 2 + 1, 1 - tail) for n in ns]
+        return pa.StructArray.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["low", "high"])
+
+    return ranks(F.col(size).cast("long"))

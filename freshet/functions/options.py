@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# --- fixed values: names of time groups, sample types and result columns ---
 TIME_GROUPS = ("season", "grouped_season", "year", "storm_bin", "samplestart")
 SAMPLE_TYPES = ("grab", "composite")
 RESULT_UNITS = {"concentration": "units", "load_outflow": "load_units"}

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.functions.numbers import normal_quantile
+from freshet.functions.numbers import median_ranks, normal_quantile
 from freshet.operators.lineage import cut, join_small
 from freshet.operators.spread import (
     CELL,
@@ -32,6 +32,7 @@ from freshet.operators.spread import (
     Running,
     drop_null_keys,
     interpolated,
+    numbered,
     quantiles,
     ranked_values,
     running,
@@ -83,7 +84,7 @@ def ros_positions(
     i = F.col("_i")
     nondetect = scale * (F.col("n_below") + F.col("_c")) * i / (F.col("_c") + 1)
     detect = scale * (base + detects * (first + i - F.col("_c")) / (detects + 1))
-    each = scanned.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    each = numbered(scanned, [*by, rescol], "n", "_i")
     return each.select(
         *by,
         rescol,
@@ -99,11 +100,14 @@ def ros_values(
     qualcol: str = "qualifier",
     ndvals: Sequence[str] = ("<",),
     group_rows: int = GROUP_ROWS,
+    min_detects: int = MIN_DETECTS,
+    max_censored: float = MAX_CENSORED,
 ) -> DataFrame:
     """Every observation with its estimate ``ros_<rescol>``.
 
-    Detects keep their value. Non-detects take the fitted value, or half
-    their limit in groups with fewer than two detects or more than 80 % non-detects.
+    Detects keep their value. Non-detects take the fitted value, or half their
+    limit in groups with fewer than ``min_detects`` detects or a larger share
+    of non-detects than ``max_censored``.
     """
     by = list(by)
     placed = ros_positions(df, by, rescol, qualcol, ndvals, group_rows).withColumn(
@@ -119,8 +123,8 @@ def ros_values(
     )
     fitted = F.exp(F.col("_intercept") + F.col("_slope") * F.col("_z"))
     usable = (
-        (F.col("_detects") >= MIN_DETECTS)
-        & (F.col("_share") <= MAX_CENSORED)
+        (F.col("_detects") >= min_detects)
+        & (F.col("_share") <= max_censored)
         & F.col("_slope").isNotNull()
     )
     estimate = (
@@ -190,57 +194,32 @@ def bootstrap_median_bounds(
     rescol: str = "concentration",
     qualcol: str = "qualifier",
     ndvals: Sequence[str] = ("<",),
-    draws: int = 1000,
-    max_rows: int = 1000,
-    z: float = 1.96,
+    tail: float = 0.025,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """ROS median per group with bounds from resampling.
-
-    Each of ``draws`` resamples has as many draws as the group has rows; the
-    bounds are the 2.5 and 97.5 percentiles of the resampled medians. Draws
-    are a hash of (group, resample, draw), so results repeat. Groups of more
-    than ``max_rows`` rows take the order-statistic bounds that resampling
-    tends to (see :func:`median_bounds`).
+    """ROS median per group with the percentile bounds of its bootstrap.
+
+    A resample of n rows draws n ranks; its median is at or below the k-th
+    smallest row if enough of them are k or less, which has a binomial
+    chance. So the bounds over all resamples are the rows at which that chance
+    reaches ``tail`` and ``1 - tail``: ranks that depend on n alone, for groups
+    of every size. Of the two middle rows of an even n the lower bound looks
+    at the lower one, the upper bound at the upper one.
     """
     by, value = list(by), f"ros_{rescol}"
     ranked = ranked_values(
         ros_values(df, by, rescol, qualcol, ndvals, group_rows), by, value, group_rows=group_rows
     )
-    lower, upper = _order_bounds(value, z)
-    centre = ranked.groupBy(*by).agg(
-        interpolated(0.5, value).alias("median"),
-        lower.alias("_lower"),
-        upper.alias("_upper"),
-        F.max("n_total").alias("n"),
-    )
-    # a small group's sorted rows fit one array, so a resample is one row
-    sorted_rows = F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col(value), F.col("n").cast("int")))))
-    small = ranked.filter(F.col("n_total") <= max_rows).groupBy(*by).agg(sorted_rows.alias("_rows"))
-    # resampling multiplies the work, not the bytes, by which AQE would merge partitions
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = small.repartition(parts, *by)
-    name = F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col("_rep").cast("string"))
-    picks = F.expr(
-        "array_sort(transform(sequence(0, size(_rows) - 1), i -> "
-        "_rows[CAST(CAST(conv(substr(md5(concat(_name, '|', i)), 1, 8), 16, 10) AS BIGINT) % size(_rows) AS INT)]))"
-    )
-    medians = (
-        small.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_name", name)
-        .withColumn("_picks", picks)
-        .select(*by, F.expr("(_picks[(size(_picks) - 1) div 2] + _picks[size(_picks) div 2]) / 2").alias("_median"))
-    )
-    resampled = medians.groupBy(*by).agg(
-        F.percentile("_median", F.lit(0.025)).alias("_boot_lower"),
-        F.percentile("_median", F.lit(0.975)).alias("_boot_upper"),
-    )
-    return centre.join(resampled, by, "left").select(
-        *by,
-        F.coalesce("_boot_lower", "_lower").alias("lower"),
-        "median",
-        F.coalesce("_boot_upper", "_upper").alias("upper"),
-        "n",
+    sizes = ranked.select("n_total").distinct().select("n_total", median_ranks("n_total", tail).alias("_ranks"))
+    return (
+        ranked.join(sizes, "n_total")
+        .groupBy(*by)
+        .agg(
+            value_at("_ranks.low", value).alias("lower"),
+            interpolated(0.5, value).alias("median"),
+            value_at("_ranks.high", value).alias("upper"),
+            F.max("n_total").alias("n"),
+        )
     )
 
 

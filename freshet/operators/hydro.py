@@ -19,6 +19,11 @@ def head_above_weir(readings: DataFrame, sites: DataFrame, keys: tuple[str, ...]
     )
 
 
+def _bin_start(period_minutes: int | None, ts: str) -> Column:
+    """The start of a reading's bin; bins are counted from 1970-01-01 whatever their length."""
+    return F.col(ts) if period_minutes is None else F.window(F.col(ts), f"{period_minutes} minutes")["start"]
+
+
 def resample(
     readings: DataFrame,
     period_minutes: int | None = 10,
@@ -34,57 +39,56 @@ def resample(
     """
     if period_minutes is None:
         return readings.select(*by, ts, *means, *sums)
-    bin_start = F.window(F.col(ts), f"{period_minutes} minutes")["start"]
-    return readings.groupBy(*by, bin_start.alias(ts)).agg(
+    return readings.groupBy(*by, _bin_start(period_minutes, ts).alias(ts)).agg(
         *[F.avg(c).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums]
     )
 
 
 def fill_bins(
-    binned: DataFrame, period_minutes: int = 10, ts: str = "ts", by: tuple[str, ...] = ("site",)
+    binned: DataFrame, period_minutes: int = 10, ts: str = "ts", by: tuple[str, ...] = ("site",), chunk: int = 1000
 ) -> DataFrame:
-    """Add empty bins (null values) between each site's first and last bin."""
-    # days first, then bins of the day: no array holds a whole record
-    step = F.make_dt_interval(mins=F.lit(period_minutes))
-    spans = binned.groupBy(*by).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
-    days = spans.withColumn(
-        "_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"), F.expr("interval 1 day")))
-    )
-    day_start = F.col("_day").cast("timestamp_ntz")
-    last_of_day = day_start + F.make_dt_interval(days=F.lit(1), mins=F.lit(-period_minutes))
-    spine = (
-        days.withColumn(ts, F.explode(F.sequence(day_start, last_of_day, step)))
-        .filter(F.col(ts).between(F.col("_from"), F.col("_to")))
-        .select(*by, ts)
+    """Add empty bins (null values) between each site's first and last bin.
+
+    The bins are numbered from 1970-01-01 as :func:`resample` does, so every
+    given bin is met at any period, also one that does not divide a day.
+    """
+    minute = F.timestamp_diff("MINUTE", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    number = F.floor(minute / period_minutes)
+    spans = binned.groupBy(*by).agg(F.min(number).alias("_from"), F.max(number).alias("_to"))
+    # chunks of bins first, then the bins of a chunk: no array holds a whole record
+    chunks = spans.withColumn(
+        "_chunk", F.explode(F.sequence(F.floor(F.col("_from") / chunk), F.floor(F.col("_to") / chunk)))
     )
+    first = F.greatest("_from", F.col("_chunk") * chunk)
+    last = F.least("_to", F.col("_chunk") * chunk + (chunk - 1))
+    start = F.expr(f"TIMESTAMP_NTZ'1970-01-01' + make_dt_interval(0, 0, CAST(_bin * {period_minutes} AS INT))")
+    spine = chunks.withColumn("_bin", F.explode(F.sequence(first, last))).select(*by, start.alias(ts))
     return spine.join(binned, [*by, ts], "left")
 
 
 def gauged_record(
-    readings: DataFrame, sites: DataFrame, period_minutes: int = 10, ts: str = "ts"
+    readings: DataFrame, sites: DataFrame, period_minutes: int | None = 10, ts: str = "ts"
 ) -> DataFrame:
     """Regular bins of each site's own head and of the rain at its gauge.
 
     The same rows as binning heads and rain apart and joining them (see
-    :func:`join_gauge`), from one scan and one shuffle: every reading goes to
-    its own site as a head and to the sites of its gauge as rain, and is
-    summed up per bin before it is shuffled.
+    :func:`join_gauge`), from one scan: readings are binned by the site that
+    took them, and the bins, not the readings, go to that site as heads and to
+    the sites of its gauge as rain. ``period_minutes=None`` merges readings of
+    the same time only.
     """
+    bins = readings.groupBy(F.col("site").alias("_source"), _bin_start(period_minutes, ts).alias(ts)).agg(
+        F.avg("level_mm").alias("_level"), F.sum("precip_mm").alias("_precip")
+    )
     heads = sites.select(F.col("site").alias("_source"), "site", "weir_height_mm", F.lit(False).alias("_rain"))
     rains = sites.select(
         F.col("raingauge").alias("_source"), "site", F.lit(None).cast("int").alias("weir_height_mm"), F.lit(True).alias("_rain")
     )
-    routed = (
-        readings.withColumnRenamed("site", "_source")
-        .join(heads.unionByName(rains), "_source", "inner")
-        .select(
-            "site",
-            ts,
-            (F.col("level_mm") - F.col("weir_height_mm")).alias("head_mm"),
-            F.when(F.col("_rain"), F.col("precip_mm")).alias("precip_mm"),
-        )
+    routed = bins.join(heads.unionByName(rains), "_source", "inner")
+    return routed.groupBy("site", ts).agg(
+        F.max(F.col("_level") - F.col("weir_height_mm")).alias("head_mm"),
+        F.max(F.when(F.col("_rain"), F.col("_precip"))).alias("precip_mm"),
     )
-    return resample(routed, period_minutes, ts)
 
 
 def join_gauge(

@@ -73,13 +73,17 @@ def match_storms(
 
 
 def storms_with_samples(storms: DataFrame, matched: DataFrame, sampletype: str = "composite") -> DataFrame:
-    """Storms in which a sample of the type was taken."""
-    return storms.join(_sampled_keys(matched, sampletype), ["site", "storm_number"], "left_semi")
+    """Storms in which a sample of the type was taken, in order."""
+    return _listed(storms.join(_sampled_keys(matched, sampletype), ["site", "storm_number"], "left_semi"))
 
 
 def storms_without_samples(storms: DataFrame, matched: DataFrame, sampletype: str = "composite") -> DataFrame:
-    """Storms in which no sample of the type was taken."""
-    return storms.join(_sampled_keys(matched, sampletype), ["site", "storm_number"], "left_anti")
+    """Storms in which no sample of the type was taken, in order."""
+    return _listed(storms.join(_sampled_keys(matched, sampletype), ["site", "storm_number"], "left_anti"))
+
+
+def _listed(storms: DataFrame) -> DataFrame:
+    return storms.orderBy("site", "storm_number")
 
 
 def _sampled_keys(matched: DataFrame, sampletype: str) -> DataFrame:
@@ -111,10 +115,15 @@ def unknown_sites(requested: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def require_sites(requested: DataFrame, sites: DataFrame) -> None:
-    """Raise an error that names the first requested sites that do not exist."""
-    missing = [r["site"] for r in unknown_sites(requested, sites).orderBy("site").limit(20).collect()]
+    """Raise an error if requested sites do not exist: how many, and the first of them.
+
+    :func:`unknown_sites` has them all.
+    """
+    found = unknown_sites(requested, sites).select("site", F.count("*").over(Window.partitionBy()).alias("n"))
+    missing = found.orderBy("site").limit(20).collect()
     if missing:
-        raise ValueError(f"unknown sites: {missing}")
+        names, n = [r["site"] for r in missing], missing[0]["n"]
+        raise ValueError(f"{n} unknown sites: {names}" + (f" and {n - len(names)} more" if n > len(names) else ""))
 
 
 def bad_sample_types(samples: DataFrame) -> DataFrame:

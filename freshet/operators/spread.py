@@ -28,6 +28,7 @@ CELL = "_cell"
 GROUP_ROWS = 1_000_000
 SLOTS = 256
 OVERSAMPLE = 16
+BLOCK_ROWS = 10_000
 STEP = 16
 
 
@@ -208,6 +209,19 @@ def ranked_values(
     return rank_counted(counted, by, value, group_rows)
 
 
+def numbered(df: DataFrame, keys: Sequence[str], count: str, number: str, block: int = BLOCK_ROWS) -> DataFrame:
+    """Each row as often as ``count`` says, numbered from 1.
+
+    Blocks of numbers are dealt out before they are expanded, so the copies of
+    a row with a large count are made by several tasks and never sit in one array.
+    """
+    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / block) - 1)))
+    # copies of one row are spread by their block; AQE merges what is small
+    dealt = blocks.repartition(*keys, "_block")
+    first, last = F.col("_block") * block + 1, F.least(F.col(count), (F.col("_block") + 1) * block)
+    return dealt.withColumn(number, F.explode(F.sequence(first, last))).drop("_block")
+
+
 def _value_at(rank: str, value: str) -> str:
     return f"max(CASE WHEN n_below <= {rank} AND {rank} < n_below + n THEN {value} END)"
 

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.functions.bins import bin_index
+from freshet.functions.bins import bin_index, interval_label
 from freshet.operators.lineage import join_small
-from freshet.operators.spread import GROUP_ROWS, interpolated, ranked_values
+from freshet.operators.spread import GROUP_ROWS, interpolated, numbered, ranked_values
 
 # --- fixed values: sideways shift of each site's error bars ---
 SITE_OFFSETS = {"ED-1": 0.0, "LV-2": -0.2, "LV-4": 0.2}
@@ -78,6 +78,35 @@ def pair_correlations(
     return wide.select("site", "hue", F.explode(rows).alias("_p")).select("site", "hue", "_p.*")
 
 
+def pair_bins(
+    hydro: DataFrame, steps: dict[str, float], hues: Sequence[str] = tuple(PAIR_HUES)
+) -> DataFrame:
+    """Storms per cell of every pair of quantities, by site and hue, in one pass.
+
+    ``steps`` has the cell width of each quantity. Rows name the hue and the
+    pair they belong to; storms without one of the two quantities are left out.
+    """
+    names = list(steps)
+    cells = {q: F.floor(F.col(q) / F.lit(float(s))) * F.lit(float(s)) for q, s in steps.items()}
+    pairs = F.array(
+        *[
+            F.struct(F.lit(a).alias("xcol"), F.lit(b).alias("ycol"), cells[a].alias("x_from"), cells[b].alias("y_from"))
+            for i, a in enumerate(names)
+            for b in names[i + 1 :]
+        ]
+    )
+    tints = F.array(*[F.struct(F.lit(h).alias("hue_name"), F.col(PAIR_HUES[h]).cast("string").alias("hue")) for h in hues])
+    paired = hydro.select("site", tints.alias("_hues"), F.explode(pairs).alias("_pair")).filter(
+        "_pair.x_from IS NOT NULL AND _pair.y_from IS NOT NULL"
+    )
+    counted = paired.groupBy("site", "_hues", "_pair").agg(F.count(F.lit(1)).alias("storms"))
+    return (
+        counted.select("site", F.explode("_hues").alias("_hue"), "_pair", "storms")
+        .groupBy("site", "_hue.hue_name", "_hue.hue", "_pair.xcol", "_pair.ycol", "_pair.x_from", "_pair.y_from")
+        .agg(F.sum("storms").alias("storms"))
+    )
+
+
 def storm_histogram(
     hydro: DataFrame,
     valuecol: str = "total_precip_depth",
@@ -87,11 +116,11 @@ def storm_histogram(
 ) -> DataFrame:
     """Storms per value bin and facet; the outer bins are open."""
     v = F.col(valuecol)
-    labels = [f"<{edges[0]}", *[f"{a} - {b}" for a, b in zip(edges[:-1], edges[1:], strict=True)], f">{edges[-1]}"]
+    labels = [interval_label(*pair, units) for pair in zip([None, *edges], [*edges, None])]
     idx = F.when(v <= edges[0], 0).otherwise(bin_index(valuecol, (*edges, math.inf)) + 1)
     label = F.lit(None).cast("string")
     for i, text in enumerate(labels):
-        label = F.when(F.col("bin_idx") == i, text + (f" {units}" if units else "")).otherwise(label)
+        label = F.when(F.col("bin_idx") == i, text).otherwise(label)
     return (
         hydro.withColumn("bin_idx", idx)
         .filter("bin_idx is not null")
@@ -181,10 +210,8 @@ def probability_positions(
     others ``(i - 0.3175) / (n + 0.365)``. Equal values take successive positions.
     """
     by = list(by)
-    each = ranked_values(df, by, value, group_rows=group_rows).withColumn(
-        "_i", F.explode(F.sequence(F.col("n_below") + 1, F.col("n_below") + F.col("n")))
-    )
-    i, n = F.col("_i"), F.col("n_total")
+    each = numbered(ranked_values(df, by, value, group_rows=group_rows), [*by, value], "n", "_i")
+    i, n = F.col("n_below") + F.col("_i"), F.col("n_total")
     tail = F.pow(F.lit(0.5), F.lit(1.0) / n)
     position = F.when(i == n, tail).when(i == 1, 1 - tail).otherwise((i - 0.3175) / (n + 0.365))
     return each.select(*by, value, (position * 100).alias("probability"))

@@ -80,19 +80,25 @@ def _by(fixed: Sequence[str], groupby_col: str | None) -> list[str]:
     return [*fixed, *([extra] if extra else [])]
 
 
+def prevalence_counts(wq: DataFrame, rescol: str = "concentration", groupby_col: str | None = None) -> DataFrame:
+    """Composite results per site [and time] and parameter, whatever parameters there are."""
+    by = _by(["site"], groupby_col)
+    composite = drop_null_keys(wq.filter(F.col("sampletype") == "composite"), [*by, "parameter"])
+    return composite.groupBy(*by, "parameter").agg(F.count(rescol).alias("n"))
+
+
 def prevalence_table(
     wq: DataFrame,
     rescol: str = "concentration",
     groupby_col: str | None = None,
     parameters: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Count of composite results per site [and time], one column per parameter.
+    """:func:`prevalence_counts` with one column per parameter.
 
-    Naming the ``parameters`` spares the pass that finds them.
+    Naming the ``parameters`` spares the pass that finds them; others then have no column.
     """
     by = _by(["site"], groupby_col)
-    composite = drop_null_keys(wq.filter(F.col("sampletype") == "composite"), [*by, "parameter"])
-    counts = composite.groupBy(*by, "parameter").agg(F.count(rescol).alias("n"))
+    counts = prevalence_counts(wq, rescol, groupby_col)
     pivoted = counts.groupBy(*by).pivot("parameter", list(parameters) if parameters else None)
     return pivoted.agg(F.first("n"))
 

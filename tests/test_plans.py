@@ -282,3 +282,19 @@ def test_report_names(spark):
     assert r["document"] == "TestSite-20130224-1659-Composite-ISR-draft"
     with pytest.raises(ValueError):
         reports.report_worklist(df, "composite", "wrong")
+
+
+def test_sites_are_stacked(spark):
+    one = spark.createDataFrame([("a", 1)], "site string, x int")
+    two = spark.createDataFrame([("b", 2, "s")], "site string, x int, season string")
+    got = summaries.collect_sites([one, two]).orderBy("site").collect()
+    assert [tuple(r) for r in got] == [("a", 1, None), ("b", 2, "s")]
+
+
+def test_pair_bins(spark):
+    hydro = spark.createDataFrame(
+        [("a", "2020", "winter", 1.0, 11.0), ("a", "2020", "winter", 4.9, 12.0), ("a", "2021", "winter", 5.0, None)],
+        "site string, year string, season string, p double, q double",
+    )
+    got = {tuple(r) for r in charts.pair_bins(hydro, {"p": 5, "q": 10}, ("season", "year")).collect()}
+    assert got == {("a", "season", "winter", "p", "q", 0.0, 10.0, 2), ("a", "year", "2020", "p", "q", 0.0, 10.0, 2)}

@@ -1,12 +1,15 @@
 """Ranks and running values must not depend on how groups are cut."""
 
+import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from freshet.functions import numbers
 from freshet.operators import censored
-from freshet.operators.spread import CELL, cut_groups, quantiles, ranked_values
+from freshet.operators.spread import CELL, cut_groups, numbered, quantiles, ranked_values
 
 
 @pytest.fixture(scope="module")
@@ -130,11 +133,38 @@ def test_median_bounds_bracket_the_median(hot):
     for bounds in ("order", "notch"):
         for r in censored.median_bounds(hot, ["g"], "v", "q", bounds=bounds, group_rows=200).collect():
             assert r["lower"] <= r["median"] <= r["upper"]
-    boot = {r["g"]: r for r in censored.bootstrap_median_bounds(hot, ["g"], "v", "q", draws=200, max_rows=100).collect()}
-    order = {r["g"]: r for r in censored.median_bounds(hot, ["g"], "v", "q").collect()}
-    assert (boot["hot"]["lower"], boot["hot"]["upper"]) == (order["hot"]["lower"], order["hot"]["upper"])
-    assert boot["cold"]["lower"] <= boot["cold"]["median"] <= boot["cold"]["upper"]
+
+
+def test_bootstrap_bounds(hot):
+    """One rule for groups of every size, whatever the size of a cell; close to actual resampling."""
+    boot = {r["g"]: r for r in censored.bootstrap_median_bounds(hot, ["g"], "v", "q").collect()}
+    cut = {r["g"]: r for r in censored.bootstrap_median_bounds(hot, ["g"], "v", "q", group_rows=100).collect()}
+    for g, r in boot.items():
+        assert r["lower"] <= r["median"] <= r["upper"]
+        assert [cut[g][c] for c in ("lower", "median", "upper")] == pytest.approx([r[c] for c in ("lower", "median", "upper")])
     assert boot["single"]["lower"] == boot["single"]["upper"] == 4.0
+    rng = random.Random(1)
+    for n in (1, 2, 9, 60, 61, 301):
+        medians = sorted(statistics.median(rng.randrange(n) for _ in range(n)) for _ in range(1500))
+        low, high = numbers.bootstrap_rank(n, (n + 1) // 2, 0.025), numbers.bootstrap_rank(n, n // 2 + 1, 0.975)
+        assert abs(low - medians[37]) <= 2 + n / 60 and abs(high - medians[1462]) <= 2 + n / 60
+    exact = next(k for k in range(1, 62) if sum(math.comb(61, j) * (k / 61) ** j * (1 - k / 61) ** (61 - j) for j in range(31, 62)) >= 0.025)
+    assert numbers.bootstrap_rank(61, 31, 0.025) == exact - 1
+    big = numbers.bootstrap_rank(10**8, 50_000_000, 0.025)
+    assert big == pytest.approx(10**8 / 2 - 1.959964 * 10**4 / 2, abs=30)
+
+
+def test_equal_values_are_numbered_in_several_tasks(spark):
+    df = spark.createDataFrame([("a", 1.0, 25_000), ("a", 2.0, 1), ("b", 1.0, 3)], "g string, v double, n long")
+    each = numbered(df, ["g", "v"], "n", "i", block=1000).withColumn("task", F.spark_partition_id())
+    assert {(r["g"], r["v"]): (r["n"], r["least"], r["most"], r["distinct"]) for r in each.groupBy("g", "v").agg(
+        F.count("*").alias("n"), F.min("i").alias("least"), F.max("i").alias("most"), F.countDistinct("i").alias("distinct")
+    ).collect()} == {("a", 1.0): (25_000, 1, 25_000, 25_000), ("a", 2.0): (1, 1, 1, 1), ("b", 1.0): (3, 1, 3, 3)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert each.where("v = 1").select("task").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_first_per_key(spark):

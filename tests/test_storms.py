@@ -232,3 +232,43 @@ def test_unknown_sites_are_named(spark):
     samples.require_sites(known, known)
     with pytest.raises(ValueError, match="zz"):
         samples.require_sites(spark.createDataFrame([("a",), ("zz",)], "site string"), known)
+
+
+@pytest.mark.parametrize("minutes", [7, 10, 25, 60])
+def test_dense_bins_keep_every_reading(spark, minutes):
+    """Also at periods that do not divide a day, and before 1970."""
+    times = [dt.datetime(1969, 12, 31, 23, 50), dt.datetime(1970, 1, 1, 0, 3), dt.datetime(1970, 1, 3, 5, 1)]
+    rows = [("a", t, 1.0, float(k)) for k, t in enumerate(times)] + [("b", dt.datetime(2024, 2, 29, 12, 1), None, 8.0)]
+    rows += [("b", dt.datetime(2024, 2, 29, 12, 2) + dt.timedelta(minutes=13 * k), 2.0, 1.0) for k in range(300)]
+    readings = spark.createDataFrame(rows, "site string, ts timestamp_ntz, head_mm double, precip_mm double")
+    dense = hydro.fill_bins(hydro.resample(readings, minutes), minutes, chunk=50)
+    got = {r["site"]: r for r in dense.groupBy("site").agg(
+        F.sum("precip_mm").alias("rain"), F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")
+    ).collect()}
+    assert (got["a"]["rain"], got["b"]["rain"]) == (3.0, 308.0)
+    for r in got.values():
+        assert r["n"] == (r["last"] - r["first"]) / dt.timedelta(minutes=minutes) + 1
+
+
+def test_raw_gauge_join_merges_readings(spark):
+    readings = spark.createDataFrame(
+        [("a", dt.datetime(2024, 1, 1), 5.0, 1.0), ("b", dt.datetime(2024, 1, 1), 9.0, 7.0)],
+        "site string, ts timestamp_ntz, level_mm double, precip_mm double",
+    )
+    sites = spark.createDataFrame([("a", 1, "a"), ("b", 2, "a")], "site string, weir_height_mm int, raingauge string")
+    got = {(r["site"], r["head_mm"], r["precip_mm"]) for r in hydro.gauged_record(readings, sites, None).collect()}
+    assert got == {("a", 4.0, 1.0), ("b", 7.0, 1.0)}
+
+
+def test_all_unknown_sites_are_counted(spark):
+    wanted = spark.createDataFrame([(f"x{k:02}",) for k in range(33)], "site string")
+    with pytest.raises(ValueError, match="33 unknown sites: .*x19.* and 13 more"):
+        samples.require_sites(wanted, spark.createDataFrame([("a",)], "site string"))
+    samples.require_sites(wanted, wanted)
+
+
+def test_storm_lists_are_sorted(spark):
+    storm_rows = spark.createDataFrame([("b", 2), ("a", 10), ("a", 9), ("b", 1), ("c", 1)], "site string, storm_number int")
+    matched = spark.createDataFrame([("b", 2, "composite"), ("b", 1, "composite"), ("a", 10, "composite")], "site string, storm_number int, sampletype string")
+    assert [tuple(r) for r in samples.storms_with_samples(storm_rows, matched).collect()] == [("a", 10), ("b", 1), ("b", 2)]
+    assert [tuple(r) for r in samples.storms_without_samples(storm_rows, matched).collect()] == [("a", 9), ("c", 1)]

@@ -25,6 +25,7 @@ PARAMS = [p[0] for p in PARAMETERS.values()]
 METALS = ["Cadmium (Cd)", "Copper (Cu)", "Zinc (Zn)"]
 SEASONS = ["winter", "spring", "summer", "autumn"]
 EXCLUDED = ["1998-07-08", "1999-03-02"]
+_TEMPLATE = [(p[0], p[3]) for p in pollutants.POLLUTANTS]
 _IN_METALS = "('Cadmium (Cd)', 'Copper (Cu)', 'Zinc (Zn)')"
 
 
@@ -80,21 +81,33 @@ def _(v: Views) -> DataFrame:
     return summaries.load_totals(v.wq, "season")
 
 
+_TIMES = ("year", "season", "grouped_season", "storm_bin")
+_DEPTH_BIN = "CASE " + " ".join(
+    f"WHEN total_precip_depth > {low} AND total_precip_depth <= {high if high != float('inf') else '1e300'} THEN '{label}'"
+    for low, high, label in zip(bins.DEPTH_EDGES, bins.DEPTH_EDGES[1:], bins.bin_labels(bins.DEPTH_EDGES, "mm"))
+) + " END"
+_SIZED = f"(SELECT *, {_DEPTH_BIN} AS storm_bin FROM v_wq)"
+
+
+def _sized(v: Views) -> DataFrame:
+    """The tidy rows with the bin of their storm's depth."""
+    return bins.classify_storms(v.wq, "total_precip_depth", "storm_bin").drop("storm_bin_idx")
+
+
 def _grouped_totals() -> str:
     parts = []
-    for tag, extra in (("overall", ""), ("year", "year"), ("season", "season"), ("grouped_season", "grouped_season")):
-        nulls = " ".join(t if t == extra else "" for t in ("year", "season", "grouped_season"))
-        cols = ", ".join(
-            t if t in nulls.split() else f"CAST(NULL AS VARCHAR) AS {t}" for t in ("year", "season", "grouped_season")
-        )
+    for tag in ("overall", *_TIMES):
+        cols = ", ".join(t if t == tag else f"CAST(NULL AS VARCHAR) AS {t}" for t in _TIMES)
         rounds = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _TOTALS.split())
-        parts.append(f"SELECT '{tag}' AS grouping, {', '.join(_LOAD_BY.split())}, {cols}, {rounds} FROM {_totals(extra)}")
+        totals = _totals("" if tag == "overall" else tag).replace("FROM v_wq", f"FROM {_SIZED}")
+        known = "" if tag == "overall" else f" WHERE {tag} IS NOT NULL"
+        parts.append(f"SELECT '{tag}' AS grouping, {', '.join(_LOAD_BY.split())}, {cols}, {rounds} FROM {totals}{known}")
     return " UNION ALL ".join(parts)
 
 
 @query("load_totals_at_groupings", _grouped_totals())
 def _(v: Views) -> DataFrame:
-    return summaries.load_totals_at_groupings(v.wq, ["year", "season", "grouped_season"])
+    return summaries.load_totals_at_groupings(_sized(v), list(_TIMES))
 
 
 _PCT = """(SELECT {keys}, 100 * (sum(load_inflow) - sum(load_outflow)) / nullif(sum(load_inflow), 0) AS load_red,
@@ -225,22 +238,18 @@ def _(v: Views) -> DataFrame:
 
 
 def _prevalence(extra: str) -> str:
-    cells = ", ".join(
-        f"CASE WHEN count(*) FILTER (parameter = '{p}') > 0 THEN count(concentration) FILTER (parameter = '{p}') END AS \"{p}\""
-        for p in PARAMS
-    )
-    return f"""SELECT site, {extra}, {cells} FROM v_wq WHERE sampletype = 'composite' AND parameter IS NOT NULL
-        GROUP BY ALL"""
+    return f"""SELECT site, {extra}, parameter, count(concentration) AS n FROM v_wq
+        WHERE sampletype = 'composite' AND parameter IS NOT NULL AND {extra} IS NOT NULL GROUP BY ALL"""
 
 
-@query("prevalence_by_season", _prevalence("season") + " HAVING count(*) > 0")
+@query("prevalence_by_season", _prevalence("season"))
 def _(v: Views) -> DataFrame:
-    return summaries.prevalence_table(v.wq, groupby_col="season", parameters=PARAMS)
+    return summaries.prevalence_counts(v.wq, groupby_col="season")
 
 
 @query("prevalence_by_sample", _prevalence("samplestart"))
 def _(v: Views) -> DataFrame:
-    return summaries.prevalence_table(v.wq, groupby_col="samplestart", parameters=PARAMS)
+    return summaries.prevalence_counts(v.wq, groupby_col="samplestart")
 
 
 _QUANTITIES = ("duration_hours", "total_precip_depth", "peak_precip_intensity", "outflow_mm", "antecedent_days")
@@ -361,20 +370,53 @@ def _(v: Views) -> DataFrame:
     return v.bins
 
 
+def _dense(minutes: int) -> dict[str, str]:
+    """SQL of the dense record: every bin from a site's first to its last."""
+    return dict(
+        sql=final(
+            f"""(SELECT s.site, s.ts, b.head_mm, b.precip_mm FROM (
+                SELECT site, unnest(generate_series(min(ts), max(ts), INTERVAL '{minutes} minutes')) AS ts FROM v_sparse GROUP BY 1) s
+            LEFT JOIN v_sparse b ON s.site = b.site AND s.ts = b.ts)""",
+            "site ts",
+            "head_mm precip_mm",
+        ),
+        v_sparse=f"""SELECT r.site, time_bucket(INTERVAL '{minutes} minutes', ts, TIMESTAMP '1970-01-01') AS ts,
+            avg(level_mm - weir_height_mm) AS head_mm, sum(precip_mm) AS precip_mm
+            FROM v_readings r JOIN v_sites s ON r.site = s.site GROUP BY 1, 2""",
+    )
+
+
+def _dense_bins(v: Views, minutes: int) -> DataFrame:
+    return hydro.fill_bins(hydro.resample(hydro.head_above_weir(v.readings, v.sites), minutes), minutes)
+
+
+@query("resample_dense", **_dense(60))
+def _(v: Views) -> DataFrame:
+    return _dense_bins(v, 60)
+
+
+@query("resample_dense_10min", **_dense(10))
+def _(v: Views) -> DataFrame:
+    return _dense_bins(v, 10)
+
+
+@query("resample_dense_7min", **_dense(7))
+def _(v: Views) -> DataFrame:
+    """A period that does not divide a day."""
+    return _dense_bins(v, 7)
+
+
 @query(
-    "resample_dense",
-    final(
-        """(SELECT s.site, s.ts, b.head_mm, b.precip_mm FROM (
-            SELECT site, unnest(generate_series(min(ts), max(ts), INTERVAL '60 minutes')) AS ts FROM v_hourly GROUP BY 1) s
-        LEFT JOIN v_hourly b ON s.site = b.site AND s.ts = b.ts)""",
-        "site ts",
-        "head_mm precip_mm",
-    ),
-    v_hourly="""SELECT r.site, time_bucket(INTERVAL '60 minutes', ts) AS ts, avg(level_mm - weir_height_mm) AS head_mm,
-        sum(precip_mm) AS precip_mm FROM v_readings r JOIN v_sites s ON r.site = s.site GROUP BY 1, 2""",
+    "gauged_raw",
+    final("v_raw_gauged", "site ts", "precip_mm head_mm"),
+    v_raw_bins="SELECT site, ts, avg(level_mm) AS level_mm, sum(precip_mm) AS precip_mm FROM v_readings GROUP BY 1, 2",
+    v_raw_gauged="""SELECT coalesce(p.site, h.site) AS site, coalesce(p.ts, h.ts) AS ts, p.precip_mm, h.head_mm
+        FROM (SELECT s.site, b.ts, b.precip_mm FROM v_raw_bins b JOIN v_sites s ON b.site = s.raingauge) p
+        FULL JOIN (SELECT b.site, b.ts, level_mm - weir_height_mm AS head_mm FROM v_raw_bins b JOIN v_sites s ON b.site = s.site) h
+        ON p.site = h.site AND p.ts = h.ts""",
 )
 def _(v: Views) -> DataFrame:
-    return hydro.fill_bins(hydro.resample(hydro.head_above_weir(v.readings, v.sites), 60), 60)
+    return hydro.gauged_record(v.readings, v.sites, None)
 
 
 @query("gauge_join", final("v_gauged", "site ts", "precip_mm head_mm"))
@@ -728,7 +770,9 @@ def _(v: Views) -> DataFrame:
     "influent_template",
     final(
         """(SELECT p.parameter, p.units, s.season, m.median AS influent_median
-        FROM (SELECT DISTINCT parameter, units FROM v_wq WHERE parameter NOT IN ('Mystery')) p, (SELECT DISTINCT season FROM v_wq) s
+        FROM (VALUES """
+        + ", ".join(f"('{p[0]}', '{p[1]}')" for p in _TEMPLATE)
+        + """) p(parameter, units), (VALUES ('winter'), ('spring'), ('summer'), ('autumn')) s(season)
         LEFT JOIN """
         + _MEDIANS
         + " m ON p.parameter = m.parameter AND p.units = m.units AND s.season = m.season)",
@@ -738,10 +782,8 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     medians = summaries.plain_medians(v.wq.filter("sampletype = 'composite'"))
-    used = v.wq.select("parameter", "units").distinct()
     return (
         pollutants.influent_template(v.spark).drop("influent_median")
-        .join(used, ["parameter", "units"], "left_semi")
         .join(medians, ["parameter", "units", "season"], "left")
         .withColumnRenamed("median", "influent_median")
     )
@@ -808,29 +850,29 @@ def _(v: Views) -> DataFrame:
     return censored.median_bounds(_composites(v), ["site", "parameter", "units"], bounds="notch")
 
 
-_BOOT_BY = "site parameter season year"
+_BOOT_BY = "site parameter season"
 _BOOT_ROS = oracle.ros(_WQ_COMPOSITES, _BOOT_BY, "concentration", "qualifier = '<'")
-_BOOT = """SELECT o.* EXCLUDE (lower, upper), coalesce(b.lo, o.lower) AS lower, coalesce(b.hi, o.upper) AS upper
-    FROM ({order}) o LEFT JOIN (
-        SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (
-            SELECT {by}, rep, quantile_cont(x.r, 0.5) AS m FROM (
-                SELECT {by}, n, rep, CAST('0x' || substr(md5(concat_ws('|', {by}, CAST(rep AS VARCHAR), CAST(rank0 AS VARCHAR))), 1, 8) AS BIGINT) % n AS pick
-                FROM boot_ranked, range(0, 100) t(rep) WHERE n <= 60) d
-            JOIN (SELECT {by}, rank0 AS pick, r FROM boot_ranked) x USING ({by}, pick)
-            GROUP BY {by}, rep)
-        GROUP BY {by}) b USING ({by})"""
+_BOOT_KEYS = ", ".join(_BOOT_BY.split())
 
 
 @query(
     "median_bounds_bootstrap",
     final("v_boot", f"{_BOOT_BY} n", "lower median upper"),
     **_BOOT_ROS,
-    boot_ranked=f"""SELECT {", ".join(_BOOT_BY.split())}, r, row_number() OVER (PARTITION BY {", ".join(_BOOT_BY.split())} ORDER BY r) - 1 AS rank0,
-        count(*) OVER (PARTITION BY {", ".join(_BOOT_BY.split())}) AS n FROM ros""",
-    v_boot=_BOOT.format(by=", ".join(_BOOT_BY.split()), order=oracle.order_bounds("ros", _BOOT_BY, "r")),
+    boot_ranked=f"""SELECT {_BOOT_KEYS}, r, row_number() OVER (PARTITION BY {_BOOT_KEYS} ORDER BY r) AS k,
+        count(*) OVER (PARTITION BY {_BOOT_KEYS}) AS n FROM ros""",
+    boot_sizes="SELECT DISTINCT n, (n + 1) // 2 AS low_r, n // 2 + 1 AS high_r FROM boot_ranked",
+    boot_chances="""SELECT n, k, sum(chance) FILTER (j >= low_r) AS low, sum(chance) FILTER (j >= high_r) AS high
+        FROM (SELECT n, low_r, high_r, k, j, exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / n)
+                + CASE WHEN k = n THEN CASE WHEN j = n THEN 0 ELSE -1e9 END ELSE (n - j) * ln(1 - k / n) END) AS chance
+            FROM (SELECT *, unnest(range(low_r, n + 1)) AS j FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM boot_sizes)))
+        GROUP BY n, k""",
+    boot_ranks="SELECT n, min(k) FILTER (low >= 0.025) AS low_k, min(k) FILTER (high >= 0.975) AS high_k FROM boot_chances GROUP BY n",
+    v_boot=f"""SELECT {_BOOT_KEYS}, n, max(r) FILTER (k = low_k) AS lower, quantile_cont(r, 0.5) AS median,
+        max(r) FILTER (k = high_k) AS upper FROM boot_ranked JOIN boot_ranks USING (n) GROUP BY {_BOOT_KEYS}, n""",
 )
 def _(v: Views) -> DataFrame:
-    return censored.bootstrap_median_bounds(_composites(v), _BOOT_BY.split(), draws=100, max_rows=60)
+    return censored.bootstrap_median_bounds(_composites(v), _BOOT_BY.split())
 
 
 _SITE_SEASON_ROS = oracle.ros(_WQ_COMPOSITES, "site parameter units season", "concentration", "qualifier = '<'")
@@ -961,6 +1003,18 @@ def _(v: Views) -> DataFrame:
     return external.standards_with_medians(v.standards, landuse=external.landuse_medians(_landuse(v)))
 
 
+@query(
+    "standards_with_facility_medians",
+    f"""SELECT s.parameter, s.units, round(lower_limit, 6) AS lower_limit, round(upper_limit, 6) AS upper_limit, m.category,
+        m.lower AS facility_lower, m.median AS facility_median, m.upper AS facility_upper
+    FROM v_standards s JOIN ({_FM_SQL}) m ON s.parameter = m.parameter AND s.units = m.units""",
+    **_FM_PARTS,
+)
+def _(v: Views) -> DataFrame:
+    medians = external.facility_medians(external.facility_data(v.facility_raw))
+    return external.standards_with_medians(v.standards, facility=medians)
+
+
 _COMBINED_PARTS = dict(
     **_FM_PARTS,
     v_combined="""SELECT parameter, units, site, concentration FROM v_wq UNION ALL
@@ -1072,6 +1126,24 @@ def _(v: Views) -> DataFrame:
     return charts.pair_correlations(v.storms)
 
 
+_PAIR_STEPS = {"antecedent_days": 5, "duration_hours": 12, "peak_precip_intensity": 5, "total_precip_depth": 5, "outflow_mm": 2}
+
+
+@query(
+    "pair_bins",
+    " UNION ALL ".join(
+        f"SELECT site, '{by}' AS hue_name, {hue} AS hue, '{a}' AS xcol, '{b}' AS ycol, "
+        f"floor({a} / {_PAIR_STEPS[a]}) * {_PAIR_STEPS[a]} AS x_from, floor({b} / {_PAIR_STEPS[b]}) * {_PAIR_STEPS[b]} AS y_from, "
+        f"count(*) AS storms FROM v_storms WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL"
+        for by, hue in charts.PAIR_HUES.items()
+        for i, a in enumerate(charts.PAIR_QUANTITIES)
+        for b in charts.PAIR_QUANTITIES[i + 1 :]
+    ),
+)
+def _(v: Views) -> DataFrame:
+    return charts.pair_bins(v.storms, _PAIR_STEPS)
+
+
 @query(
     "reduction_bars",
     final(
