@@ -29,7 +29,7 @@ GROUP_ROWS = 1_000_000
 SLOTS = 256
 OVERSAMPLE = 16
 BLOCK_ROWS = 10_000
-STEP = 16
+STEP = 64
 
 
 def drop_null_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -52,8 +52,10 @@ def cut_groups(
     up to ``group_rows`` values are one cell, -1.
     """
     by = list(by)
-    if largest_group(values, by) <= group_rows:
+    largest = largest_group(values, by)
+    if largest <= group_rows:
         return values
+    slots = max(slots, -(-largest // group_rows))  # a cell stays as large however the data grow
     picks = (
         values.withColumn("_slot", F.pmod(F.xxhash64(value), F.lit(slots * OVERSAMPLE)))
         .groupBy(*by, "_slot")

@@ -172,3 +172,13 @@ def test_first_per_key(spark):
         [("a", 2, None, "x"), ("a", 1, None, "y"), ("a", 3, 5.0, "z"), (None, 1, 1.0, "w")], "k string, i int, v double, s string"
     )
     assert [tuple(r) for r in censored.first_per_key(df, ["k"], ["i"]).select("k", "v", "s").collect()] == [("a", 5.0, "y")]
+
+
+def test_cells_stay_as_large_when_rows_quadruple(spark):
+    largest = {}
+    for n in (3000, 12_000):
+        values = spark.range(n).select(F.lit("g").alias("g"), (F.xxhash64("id") / 1e9).alias("v"))
+        cells = cut_groups(values, ["g"], "v", group_rows=200, slots=4).groupBy(CELL).count().collect()
+        largest[n] = max(r["count"] for r in cells)
+        assert len(cells) >= n // 200
+    assert largest[12_000] < 1.7 * largest[3000]
