@@ -104,7 +104,8 @@ def epochs_of_leaves(items: DataFrame, leaves: DataFrame, levels: Sequence[str])
         .select(*levels, "rest", "cell", "place", "tokens")
     )
     by_cell = Window.partitionBy(*levels).orderBy("cell")
-    ends = (
+    # Written, or its partitioning by leaf would decide how the documents are dealt out below.
+    ends = written(
         placed.groupBy(*levels, "rest", "cell").agg(F.sum("tokens").alias("cell_tokens"))
         .withColumn("upto", F.sum("cell_tokens").over(by_cell))
         .withColumn("before", F.col("upto") - F.col("cell_tokens"))
