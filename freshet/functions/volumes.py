@@ -86,10 +86,11 @@ def net_volume(runoff, bypass) -> Column:
 
 def by_site(expressions: dict[str, Column], sitecol: str = "site", default: Column | None = None) -> Column:
     """One expression per site; sites without one take ``default`` (null)."""
-    out = F.lit(None).cast("double") if default is None else default
+    rest = F.lit(None).cast("double") if default is None else default
+    cases = F
     for site, expr in expressions.items():
-        out = F.when(F.col(sitecol) == F.lit(site), expr).otherwise(out)
-    return out
+        cases = cases.when(F.col(sitecol) == F.lit(site), expr)
+    return cases.otherwise(rest) if expressions else rest
 
 
 def flow_volume_m3(flow_sum, period_minutes: float) -> Column:

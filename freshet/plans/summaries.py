@@ -75,14 +75,17 @@ GROUPINGS = {
 }
 
 
-def _by(fixed: Sequence[str], groupby_col: str | None) -> list[str]:
-    extra = options.time_group(groupby_col)
-    return [*fixed, *([extra] if extra else [])]
+def _by(fixed: Sequence[str], groupby_col: str | None, extra: Sequence[str] = ()) -> list[str]:
+    """Group keys of a report: its own, a time group, and those that :func:`at_groupings` adds."""
+    time = options.time_group(groupby_col)
+    return [*fixed, *([time] if time else []), *extra]
 
 
-def prevalence_counts(wq: DataFrame, rescol: str = "concentration", groupby_col: str | None = None) -> DataFrame:
+def prevalence_counts(
+    wq: DataFrame, rescol: str = "concentration", groupby_col: str | None = None, extra: Sequence[str] = ()
+) -> DataFrame:
     """Composite results per site [and time] and parameter, whatever parameters there are."""
-    by = _by(["site"], groupby_col)
+    by = _by(["site"], groupby_col, extra)
     composite = drop_null_keys(wq.filter(F.col("sampletype") == "composite"), [*by, "parameter"])
     return composite.groupBy(*by, "parameter").agg(F.count(rescol).alias("n"))
 
@@ -132,13 +135,14 @@ def load_reduction_pct(
     load_inflow_upper: str = "load_inflow_upper",
     load_outflow_lower: str = "load_outflow_lower",
     load_outflow_upper: str = "load_outflow_upper",
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Percent load reduction of summed loads.
 
     The lower bound sets the low influent against the high effluent, the
     upper bound the reverse. Groups without all three values are left out.
     """
-    by = _by(["site", "parameter", "load_units"], groupby_col)
+    by = _by(["site", "parameter", "load_units"], groupby_col, extra)
     cols = {
         "_in": load_inflow, "_in_lo": load_inflow_lower, "_in_hi": load_inflow_upper,
         "_out": load_outflow, "_out_lo": load_outflow_lower, "_out_hi": load_outflow_upper,
@@ -222,13 +226,14 @@ def storm_stats(
     groupby_col: str | None = None,
     exclude_keys: Sequence[str] = ("storm_number",),
     group_rows: int = GROUP_ROWS,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Descriptive statistics of every numeric storm quantity, one row each.
 
     Storms must exceed ``minprecip``. A ``year`` kept as a number is described
     like any other quantity; the storm number is not.
     """
-    by = _by(["site"], groupby_col)
+    by = _by(["site"], groupby_col, extra)
     numeric = [
         f.name
         for f in hydro.schema.fields
@@ -293,13 +298,14 @@ def wq_summary(
     sampletype: str = "composite",
     groupby_col: str | None = None,
     group_rows: int = GROUP_ROWS,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Concentration or load statistics per site, parameter [and time].
 
     Any qualifier but ``=`` counts as a non-detect, a missing one included.
     """
     rescol, unitscol = options.result_column(rescol)
-    by = _by(["site", "parameter", unitscol], groupby_col)
+    by = _by(["site", "parameter", unitscol], groupby_col, extra)
     rows = drop_null_keys(wq.filter(F.col("sampletype") == options.sample_type(sampletype)), by)
     nondetects = {"count_nds": (~F.col("qualifier").eqNullSafe(F.lit("="))).cast("bigint")}
     probs = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
@@ -308,14 +314,14 @@ def wq_summary(
 
 
 def load_totals(
-    wq: DataFrame, groupby_col: str | None = None, na_value: float | None = 0.0
+    wq: DataFrame, groupby_col: str | None = None, na_value: float | None = 0.0, extra: Sequence[str] = ()
 ) -> DataFrame:
     """Summed loads with reductions in mass and percent, and their bounds.
 
     Sums without any load become ``na_value``; None leaves them null. A
     reduction of a zero influent load has no percentage.
     """
-    by = _by(["site", "parameter", "sampletype", "has_outflow", "load_units"], groupby_col)
+    by = _by(["site", "parameter", "sampletype", "has_outflow", "load_units"], groupby_col, extra)
     total = (lambda c: F.sum(c)) if na_value is None else (lambda c: F.coalesce(F.sum(c), F.lit(float(na_value))))
     sums = drop_null_keys(wq, by).groupBy(*by).agg(*[total(c).alias(c) for c in LOADS])
     return load_reductions(sums).select(*by, *LOAD_TOTAL_HEADINGS)
@@ -324,18 +330,20 @@ def load_totals(
 def at_groupings(
     report: Callable[..., DataFrame], df: DataFrame, groupings: dict[str, str | None] | None = None, **options
 ) -> DataFrame:
-    """One report at several temporal groupings, tagged by ``grouping``.
+    """One report at several temporal groupings, from one scan.
 
-    Each part keeps its own time column; the others are null in it.
+    The report gets the keys ``grouping`` and ``group_value``: a row counts in
+    every grouping whose value it has, under that value as text ("All" overall).
     """
-    parts = [
-        report(df, groupby_col=col, **options).withColumn("grouping", F.lit(name))
-        for name, col in (groupings or GROUPINGS).items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    cells = F.array(
+        *[
+            F.struct(F.lit(name).alias("grouping"), (F.lit("All") if c is None else F.col(c).cast("string")).alias("group_value"))
+            for name, c in (groupings or GROUPINGS).items()
+        ]
+    )
+    grouped = df.withColumn("_cell", F.explode(F.filter(cells, lambda c: c["group_value"].isNotNull())))
+    keyed = grouped.select(*df.columns, "_cell.grouping", "_cell.group_value")
+    return report(keyed, extra=("grouping", "group_value"), **options)
 
 
 def load_totals_at_groupings(

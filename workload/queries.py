@@ -208,7 +208,7 @@ def _(v: Views) -> DataFrame:
 _STATS = "mean std cov min p10 p25 p50 p75 p90 max"
 
 
-def _wq_summary_sql(res: str, units: str, extra: str = "") -> str:
+def _wq_summary_sql(res: str, units: str, extra: str = "", source: str = "v_wq") -> str:
     keys = f"site parameter {units} {extra}"
     return final(
         f"""(SELECT {", ".join(keys.split())}, count({res}) AS count,
@@ -216,7 +216,7 @@ def _wq_summary_sql(res: str, units: str, extra: str = "") -> str:
             stddev_samp({res}) AS std, stddev_samp({res}) / nullif(avg({res}), 0) AS cov, min({res}) AS min,
             quantile_cont({res}, 0.1) AS p10, quantile_cont({res}, 0.25) AS p25, quantile_cont({res}, 0.5) AS p50,
             quantile_cont({res}, 0.75) AS p75, quantile_cont({res}, 0.9) AS p90, max({res}) AS max
-        FROM v_wq WHERE sampletype = 'composite' AND parameter IS NOT NULL AND {units} IS NOT NULL GROUP BY ALL)""",
+        FROM {source} WHERE sampletype = 'composite' AND parameter IS NOT NULL AND {units} IS NOT NULL GROUP BY ALL)""",
         f"{keys} count count_nds",
         _STATS,
     )
@@ -255,16 +255,17 @@ def _(v: Views) -> DataFrame:
 _QUANTITIES = ("duration_hours", "total_precip_depth", "peak_precip_intensity", "outflow_mm", "antecedent_days")
 
 
-def _storm_stats_sql(source: str) -> str:
-    parts = " UNION ALL ".join(f"SELECT site, season, '{q}' AS quantity, {q} AS value FROM kept" for q in _QUANTITIES)
+def _storm_stats_sql(source: str, time: str = "season") -> str:
+    keys = ", ".join(time.split())
+    parts = " UNION ALL ".join(f"SELECT site, {keys}, '{q}' AS quantity, {q} AS value FROM kept" for q in _QUANTITIES)
     return final(
         f"""(WITH kept AS (SELECT * FROM {source} WHERE total_precip_depth > 1.9999 AND storm_number NOT IN
                 (SELECT storm_number FROM {source} WHERE CAST(start_date AS DATE) IN ('1998-07-08', '1999-03-02')))
-            SELECT site, season, quantity, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std,
+            SELECT site, {keys}, quantity, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std,
                 min(value) AS min, max(value) AS max, quantile_cont(value, 0.25) AS p25,
                 quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75
             FROM ({parts}) GROUP BY ALL)""",
-        "site season quantity count",
+        f"site {time} quantity count",
         "mean std min max p25 p50 p75",
     )
 
@@ -274,6 +275,56 @@ def _(v: Views) -> DataFrame:
     return summaries.storm_stats(v.storms, 1.9999, EXCLUDED, "season")
 
 
+def _all_groupings(source: str) -> str:
+    """SQL of the rows of every grouping, with its name and value."""
+    parts = ["SELECT *, 'Overall' AS grouping, 'All' AS group_value FROM sized"]
+    for name, column in summaries.GROUPINGS.items():
+        if column:
+            parts.append(f"SELECT *, '{name}' AS grouping, CAST({column} AS VARCHAR) AS group_value FROM sized WHERE {column} IS NOT NULL")
+    return f"WITH sized AS (SELECT *, {_DEPTH_BIN} AS storm_bin FROM {source}) {' UNION ALL '.join(parts)}"
+
+
+_GROUPED = {"v_grouped": _all_groupings("v_wq")}
+_GROUP_KEYS = "grouping group_value"
+
+
+@query(
+    "prevalence_at_groupings",
+    """SELECT site, grouping, group_value, parameter, count(concentration) AS n FROM v_grouped
+        WHERE sampletype = 'composite' AND parameter IS NOT NULL GROUP BY ALL""",
+    **_GROUPED,
+)
+def _(v: Views) -> DataFrame:
+    return summaries.at_groupings(summaries.prevalence_counts, _sized(v))
+
+
+@query(
+    "load_reduction_at_groupings",
+    final(
+        _PCT.format(keys=f"site, parameter, load_units, {', '.join(_GROUP_KEYS.split())}", src="v_grouped"),
+        f"site parameter load_units {_GROUP_KEYS} count", "load_red load_red_lower load_red_upper",
+    ),
+    **_GROUPED,
+)
+def _(v: Views) -> DataFrame:
+    return summaries.at_groupings(summaries.load_reduction_pct, _sized(v))
+
+
+@query("wq_summary_at_groupings", _wq_summary_sql("concentration", "units", _GROUP_KEYS, "v_grouped"), **_GROUPED)
+def _(v: Views) -> DataFrame:
+    return summaries.at_groupings(summaries.wq_summary, _sized(v))
+
+
+@query(
+    "storm_stats_at_groupings",
+    _storm_stats_sql("v_grouped_storms", _GROUP_KEYS),
+    v_grouped_storms=_all_groupings("v_storms"),
+)
+def _(v: Views) -> DataFrame:
+    sized = bins.classify_storms(v.storms, "total_precip_depth", "storm_bin").drop("storm_bin_idx")
+    return summaries.at_groupings(summaries.storm_stats, sized, minprecip=1.9999, excluded_dates=EXCLUDED)
+
+
 _WINSOR = """SELECT * REPLACE (least(greatest(duration_hours, lo), hi) AS duration_hours) FROM (SELECT s.*, b.lo, b.hi
     FROM v_storms s JOIN (
         SELECT site, min(CASE WHEN i = floor(low * n) THEN duration_hours END) AS lo,
@@ -455,6 +506,21 @@ _STORM_KEYS = "site storm_number year season grouped_season start_date end_date
 _STORM_DOUBLES = " ".join(c for c in storms.STORM_COLUMNS if c not in _STORM_KEYS.split())
 
 
+_RUNOFF = "CASE WHEN CAST(site AS INT) % 2 = 0 THEN pow(10, CAST(1.58 AS DOUBLE) + CAST(0.0169 AS DOUBLE) * total_precip_depth) ELSE greatest(0.0, CAST(12.05 AS DOUBLE) + CAST(2.873 AS DOUBLE) * total_precip_depth + CAST(0.863 AS DOUBLE) * duration_hours) END"
+
+
+@query(
+    "storm_volumes_by_site",
+    final(f"(SELECT site, storm_number, {_RUNOFF} AS runoff_m3 FROM v_stats WHERE CAST(site AS INT) BETWEEN 1 AND 8)", "site storm_number", "runoff_m3"),
+)
+def _(v: Views) -> DataFrame:
+    """Each site with the regression of its own kind."""
+    kinds = (volumes.power_volume(1.58, depth=0.0169), volumes.linear_volume(12.05, depth=2.873, duration=0.863))
+    equations = {str(site): kinds[site % 2] for site in range(1, 9)}
+    stats = v.storm_stats.where(F.col("site").isin(*equations))
+    return stats.select("site", "storm_number", volumes.by_site(equations).alias("runoff_m3"))
+
+
 @query("storm_table", final("v_storm_table", _STORM_KEYS, _STORM_DOUBLES))
 def _(v: Views) -> DataFrame:
     return v.storm_table
