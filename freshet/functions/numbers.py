@@ -8,10 +8,12 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freshet import workers
+
 # --- fixed values: coefficients of algorithm AS241 (Wichura 1988), PPND16 ---
 AS241_CENTRE_NUM = (
     3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
@@ -136,6 +138,7 @@ def bootstrap_rank(n: int, r: int, level: float) -> int:
 
 def median_ranks(size: str, tail: float) -> Column:
     """``struct<low, high>``: 0-based ranks of the rows that bound the median of ``size`` redrawn rows."""
+    workers.ship(SparkSession.active())
 
     @F.arrow_udf(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
     def ranks(sizes: pa.Array) -> pa.Array:
