@@ -50,7 +50,7 @@ def test_load_reduction(spark):
         summaries.load_reduction_pct(df, "month")
 
 
-# influent lower/mid/upper, effluent lower/mid/upper -> mass reductions, percent reductions
+# --- fixed values: influent lower/mid/upper, effluent lower/mid/upper -> mass reductions, percent reductions ---
 KNOWN_TOTALS = [
     ((0.42678037048985024, 0.6940836130687156, 0.9493757832564462), (0.07128497999999951,) * 3,
      (0.35549539048985074, 0.6227986330687161, 0.8780908032564467), (83.29703404161256, 89.72962642284105, 92.49138420663255)),
@@ -61,6 +61,78 @@ KNOWN_TOTALS = [
 ]
 
 
+# --- fixed values: known totals overall and by season; keys, influent, effluent, mass and percent reductions ---
+TOTALS_OVERALL = """
+ED-1,Cadmium (Cd),composite,Yes,g,0.42678037048985024,0.6940836130687156,0.9493757832564462,0.07128497999999951,0.07128497999999951,0.07128497999999951,0.35549539048985074,0.6227986330687161,0.8780908032564467,83.29703404161256,89.72962642284105,92.49138420663255
+ED-1,Cadmium (Cd),unsampled,No,g,0.2138278561152297,0.4023559987438976,0.6557226365027932,0.0,0.0,0.0,0.2138278561152297,0.4023559987438976,0.6557226365027932,100.0,100.0,100.0
+ED-1,Cadmium (Cd),unsampled,Yes,g,0.06995494326635211,0.09520358173003549,0.11026010925425037,0.005001664499999981,0.010529819999999959,0.014215256999999946,0.055739686266352166,0.08467376173003553,0.10525844475425039,79.67941029431526,88.93968083064469,95.46375880286263
+ED-1,Total Suspended Solids,composite,Yes,g,123601.06322356258,159471.0768342024,191580.675282516,18687.451199999876,18687.451199999876,18687.451199999876,104913.6120235627,140783.62563420253,172893.22408251613,84.88083296969778,88.28160468281739,90.24564916454008
+ED-1,Total Suspended Solids,unsampled,No,g,50112.37494150074,79215.6106621978,96228.36681316557,0.0,0.0,0.0,50112.37494150074,79215.6106621978,96228.36681316557,100.0,100.0,100.0
+ED-1,Total Suspended Solids,unsampled,Yes,g,18994.388569009516,21820.38296586215,25480.2773486713,895.0346999999966,1368.8765999999948,3975.007049999984,15019.381519009532,20451.506365862155,24585.242648671305,79.0727296350805,93.72661514629878,96.48734318016884
+LV-2,Cadmium (Cd),composite,Yes,g,0.24844570644823777,0.36603426520919535,0.5040091867915034,0.14513180699999997,0.14513180699999997,0.14513180699999997,0.1033138994482378,0.22090245820919538,0.35887737979150347,41.58409534429312,60.35021286407313,71.20453142453582
+LV-2,Cadmium (Cd),unsampled,No,g,0.10385957534451207,0.1299766412177881,0.16771651377806024,0.0,0.0,0.0,0.10385957534451207,0.1299766412177881,0.16771651377806024,100.0,100.0,100.0
+LV-2,Cadmium (Cd),unsampled,Yes,g,0.033489655269159466,0.033489655269159466,0.033489655269159466,0.0,0.0,0.0,0.033489655269159466,0.033489655269159466,0.033489655269159466,100.0,100.0,100.0
+LV-2,Total Suspended Solids,composite,Yes,g,48293.14580742403,114904.69153784378,140542.58277252968,69076.16189999998,69076.16189999998,69076.16189999998,-20783.01609257595,45828.52963784381,71466.4208725297,-43.03512588608591,39.88394992797157,50.85036823906901
+LV-2,Total Suspended Solids,unsampled,No,g,10668.03293588521,30706.666153907085,42254.26161117458,0.0,0.0,0.0,10668.03293588521,30706.666153907085,42254.26161117458,100.0,100.0,100.0
+LV-2,Total Suspended Solids,unsampled,Yes,g,8439.393127828185,8439.393127828185,8439.393127828185,0.0,0.0,0.0,8439.393127828185,8439.393127828185,8439.393127828185,100.0,100.0,100.0
+"""
+TOTALS_BY_SEASON = """
+ED-1,Cadmium (Cd),composite,Yes,g,autumn,0.023910645158061808,0.07377558035948985,0.11240046869174354,0.0028159379999998712,0.0028159379999998712,0.0028159379999998712,0.021094707158061936,0.07095964235948998,0.10958453069174368,88.22307812530755,96.18310288271742,97.49472752847453
+ED-1,Cadmium (Cd),composite,Yes,g,spring,0.09290340767669406,0.19012790408253671,0.28627212830609217,0.025977953999999935,0.025977953999999935,0.025977953999999935,0.06692545367669411,0.16414995008253677,0.26029417430609225,72.03767369825248,86.33659055710065,90.9254337284895
+ED-1,Cadmium (Cd),composite,Yes,g,summer,0.27095021271026914,0.3687435014037107,0.42706060016585473,0.034405631999999714,0.034405631999999714,0.034405631999999714,0.23654458071026943,0.334337869403711,0.392654968165855,87.30186197093333,90.66949468423813,91.94361830928963
+ED-1,Cadmium (Cd),composite,Yes,g,winter,0.03901610494482519,0.061436627222978275,0.12364258609275593,0.008085455999999994,0.008085455999999994,0.008085455999999994,0.0309306489448252,0.05335117122297828,0.11555713009275594,79.2766192026752,86.83935566538406,93.46062205951084
+ED-1,Cadmium (Cd),unsampled,No,g,autumn,0.03598764468236801,0.11103880111397307,0.16917268867779833,0.0,0.0,0.0,0.03598764468236801,0.11103880111397307,0.16917268867779833,100.0,100.0,100.0
+ED-1,Cadmium (Cd),unsampled,No,g,spring,0.044697726273299945,0.09147441655931154,0.13773136584214518,0.0,0.0,0.0,0.044697726273299945,0.09147441655931154,0.13773136584214518,100.0,100.0,100.0
+ED-1,Cadmium (Cd),unsampled,No,g,summer,0.04589986038870872,0.06246636629059364,0.07234547531465346,0.0,0.0,0.0,0.04589986038870872,0.06246636629059364,0.07234547531465346,100.0,100.0,100.0
+ED-1,Cadmium (Cd),unsampled,No,g,winter,0.08724262477085301,0.13737641478001927,0.2764731066681962,0.0,0.0,0.0,0.08724262477085301,0.13737641478001927,0.2764731066681962,100.0,100.0,100.0
+ED-1,Cadmium (Cd),unsampled,Yes,g,summer,0.06995494326635211,0.09520358173003549,0.11026010925425037,0.005001664499999981,0.010529819999999959,0.014215256999999946,0.055739686266352166,0.08467376173003553,0.10525844475425039,79.67941029431526,88.93968083064469,95.46375880286263
+ED-1,Total Suspended Solids,composite,Yes,g,autumn,8174.579541217711,10831.317892113468,13283.691754478781,113.25959999999336,113.25959999999336,113.25959999999336,8061.319941217718,10718.058292113474,13170.432154478787,98.61449020798051,98.95433223243812,99.14737858952645
+ED-1,Total Suspended Solids,composite,Yes,g,spring,38889.79856233705,54013.609114357016,67517.01139294627,7944.489599999986,7944.489599999986,7944.489599999986,30945.30896233706,46069.11951435703,59572.52179294628,79.5717903057131,85.29168902011342,88.23335121609074
+ED-1,Total Suspended Solids,composite,Yes,g,summer,73569.26305378167,84514.93389836873,98690.47482824372,9686.398799999897,9686.398799999897,9686.398799999897,63882.86425378178,74828.53509836884,89004.07602824383,86.83363350681003,88.53883171505757,90.18507225053112
+ED-1,Total Suspended Solids,composite,Yes,g,winter,2967.422066226142,10111.21592936315,12089.497306847245,943.3031999999993,943.3031999999993,943.3031999999993,2024.1188662261425,9167.912729363152,11146.194106847246,68.21135723373327,90.67072440555216,92.19733313918908
+ED-1,Total Suspended Solids,unsampled,No,g,autumn,12303.468267476239,16302.095454406019,19993.135934648893,0.0,0.0,0.0,12303.468267476239,16302.095454406019,19993.135934648893,100.0,100.0,100.0
+ED-1,Total Suspended Solids,unsampled,No,g,spring,18710.676114404632,25987.05015889532,32483.81269861915,0.0,0.0,0.0,18710.676114404632,25987.05015889532,32483.81269861915,100.0,100.0,100.0
+ED-1,Total Suspended Solids,unsampled,No,g,summer,12462.875999583159,14317.108770252851,16718.492194562776,0.0,0.0,0.0,12462.875999583159,14317.108770252851,16718.492194562776,100.0,100.0,100.0
+ED-1,Total Suspended Solids,unsampled,No,g,winter,6635.354560036708,22609.356278643598,27032.925985334732,0.0,0.0,0.0,6635.354560036708,22609.356278643598,27032.925985334732,100.0,100.0,100.0
+ED-1,Total Suspended Solids,unsampled,Yes,g,summer,18994.388569009516,21820.38296586215,25480.2773486713,895.0346999999966,1368.8765999999948,3975.007049999984,15019.381519009532,20451.506365862155,24585.242648671305,79.0727296350805,93.72661514629878,96.48734318016884
+LV-2,Cadmium (Cd),composite,Yes,g,autumn,0.011954559062848471,0.015370147366519461,0.018785735670190453,0.004440815999999998,0.004440815999999998,0.004440815999999998,0.007513743062848474,0.010929331366519465,0.014344919670190456,62.85253202018257,71.10752490458646,76.36070219466164
+LV-2,Cadmium (Cd),composite,Yes,g,spring,0.1758498893173804,0.28135982290780864,0.3985930824527289,0.078497475,0.078497475,0.078497475,0.09735241431738041,0.20286234790780866,0.3200956074527289,55.36108933322964,72.10068083326853,80.30636294113073
+LV-2,Cadmium (Cd),composite,Yes,g,summer,0.060641258068008894,0.0693042949348673,0.08663036866858413,0.06219351599999999,0.06219351599999999,0.06219351599999999,-0.0015522579319910967,0.007110778934867307,0.02443685266858414,-2.5597389985713135,10.260228376250089,28.20818270100008
+LV-2,Cadmium (Cd),unsampled,No,g,autumn,0.011207937088963046,0.01441020482866677,0.017612472568370497,0.0,0.0,0.0,0.011207937088963046,0.01441020482866677,0.017612472568370497,100.0,100.0,100.0
+LV-2,Cadmium (Cd),unsampled,No,g,spring,0.021172483962330353,0.03387597433972857,0.0479909636479488,0.0,0.0,0.0,0.021172483962330353,0.03387597433972857,0.0479909636479488,100.0,100.0,100.0
+LV-2,Cadmium (Cd),unsampled,No,g,summer,0.07147915429321866,0.08169046204939276,0.10211307756174094,0.0,0.0,0.0,0.07147915429321866,0.08169046204939276,0.10211307756174094,100.0,100.0,100.0
+LV-2,Cadmium (Cd),unsampled,Yes,g,winter,0.033489655269159466,0.033489655269159466,0.033489655269159466,0.0,0.0,0.0,0.033489655269159466,0.033489655269159466,0.033489655269159466,100.0,100.0,100.0
+LV-2,Total Suspended Solids,composite,Yes,g,autumn,1451.6250290601718,2134.7426897943697,2390.9118125696946,1225.8131999999991,1225.8131999999991,1225.8131999999991,225.8118290601726,908.9294897943705,1165.0986125696954,15.555796058874128,42.57794132003439,48.73030475003072
+LV-2,Total Suspended Solids,composite,Yes,g,spring,43376.306031620494,98475.93801773303,116060.92694947105,23295.867899999997,23295.867899999997,23295.867899999997,20080.438131620496,75180.07011773303,92765.05904947105,46.29356431822996,76.3435938068394,79.92789777550009
+LV-2,Total Suspended Solids,composite,Yes,g,summer,3465.214746743365,14294.01083031638,22090.744010488954,44554.4808,44554.4808,44554.4808,-41089.26605325663,-30260.469969683618,-22463.736789511044,-1185.7639152630477,-211.70034309407222,-101.68845729616436
+LV-2,Total Suspended Solids,unsampled,No,g,autumn,1360.963789374084,2001.4173373148294,2241.587417792609,0.0,0.0,0.0,1360.963789374084,2001.4173373148294,2241.587417792609,100.0,100.0,100.0
+LV-2,Total Suspended Solids,unsampled,No,g,spring,5222.546044041488,11856.591018904997,13973.839415138034,0.0,0.0,0.0,5222.546044041488,11856.591018904997,13973.839415138034,100.0,100.0,100.0
+LV-2,Total Suspended Solids,unsampled,No,g,summer,4084.5231024696377,16848.657797687254,26038.834778243938,0.0,0.0,0.0,4084.5231024696377,16848.657797687254,26038.834778243938,100.0,100.0,100.0
+LV-2,Total Suspended Solids,unsampled,Yes,g,winter,8439.393127828185,8439.393127828185,8439.393127828185,0.0,0.0,0.0,8439.393127828185,8439.393127828185,8439.393127828185,100.0,100.0,100.0
+"""
+
+
+@pytest.mark.parametrize("text, season", [(TOTALS_OVERALL, None), (TOTALS_BY_SEASON, "season")])
+def test_load_totals_on_all_known_rows(spark, text, season):
+    """Loads that add up to the known sums give the known reductions, group by group."""
+    keys = ["site", "parameter", "sampletype", "has_outflow", "load_units", *(["season"] if season else [])]
+    bounds = ("_lower", "", "_upper")
+    known = {}
+    for line in text.strip().splitlines():
+        cells = line.split(",")
+        known[tuple(cells[: len(keys)])] = [float(x) if x else None for x in cells[len(keys) :]]
+    rows = [(*k, *[share * x for x in v[:6]]) for k, v in known.items() for share in (0.25, 0.75)]
+    names = [f"load_{p}{b}" for p in ("inflow", "outflow") for b in bounds]
+    df = spark.createDataFrame(rows, ", ".join([f"{k} string" for k in keys] + [f"{n} double" for n in names]))
+    df = df.withColumns({f"load_{p}{b}": F.lit(None).cast("double") for p in ("runoff", "bypass") for b in bounds})
+    got = {tuple(r[k] for k in keys): r for r in summaries.load_totals(df, season).collect()}
+    assert set(got) == set(known)
+    for k, v in known.items():
+        assert [got[k][f"reduct_mass{b}"] for b in bounds] == pytest.approx(v[6:9], rel=1e-9, abs=1e-9)
+        for b, pct in zip(bounds, v[9:]):
+            assert got[k][f"reduct_pct{b}"] is None if pct is None else got[k][f"reduct_pct{b}"] == pytest.approx(pct, rel=1e-9)
+
+
 def totals_input(spark):
     rows = []
     for i, (inflow, outflow, *_) in enumerate(KNOWN_TOTALS):

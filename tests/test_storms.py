@@ -93,17 +93,48 @@ def test_edits_mute_and_shift(spark):
     }
 
 
-# start, depth, peak intensity, outflow -> runoff, bypass, inflow, outflow depth, estimated peak inflow
-KNOWN_STORMS = [
-    (35.0, 63.6, 51.7074, 190.54607179632484, 42.7, 147.84607179632485, 8.00920074349443, 58.02175, "Yes"),
-    (0.2, 1.2, None, 38.37072454922788, 0.244, 38.12672454922788, 0.0, 1.09475, "No"),
-    (30.0, 20.4, 3.1866, 151.35612484362088, 36.6, 114.75612484362088, 0.4935873605947955, 18.61075, "Yes"),
-]
+# --- fixed values: the known storms of one site ---
+STORM_FIELDS = "start_date end_date season grouped_season depth peak outflow_m3 runoff_m3 bypass_m3 inflow_m3 outflow_mm sm_est_peak_inflow has_outflow"
+KNOWN_STORMS = """
+2012-07-31 11:50:00,2012-07-31 22:30:00,summer,summer/autumn,35.0,63.6,51.70739999999944,190.54607179632484,42.699999999999996,147.84607179632485,8.009200743494336,58.02175,Yes
+2012-08-04 19:40:00,2012-08-04 19:50:00,summer,summer/autumn,0.2,1.2,0.0,38.37072454922788,0.244,38.12672454922788,0.0,1.09475,No
+2012-08-05 03:00:00,2012-08-05 04:00:00,summer,summer/autumn,0.6000000000000001,2.4,0.0,39.084089579240214,0.7320000000000001,38.352089579240214,0.0,2.1895,No
+2012-08-05 12:20:00,2012-08-05 14:30:00,summer,summer/autumn,1.2,2.4,0.0,40.179081084894,1.464,38.715081084894,0.0,2.1895,No
+2012-08-09 09:00:00,2012-08-11 16:50:00,summer,summer/autumn,55.99999999999999,55.2,103.79159999999779,501.18723362727246,68.32,432.86723362727247,16.07676579925616,50.3585,Yes
+2013-03-07 13:30:00,2013-03-07 13:40:00,winter,winter/spring,0.2,1.2,0.0,38.37072454922788,0.244,38.12672454922788,0.0,1.09475,No
+2013-03-07 22:00:00,2013-03-08 05:10:00,winter,winter/spring,1.4000000000000001,1.2,0.0,40.55085354483839,1.7080000000000002,38.84285354483839,0.0,1.09475,No
+2013-03-10 14:20:00,2013-03-13 01:30:00,winter,winter/spring,10.200000000000001,2.4,71.82479999999707,60.81350012787179,12.444,48.36950012787179,11.125278810408469,2.1895,Yes
+2013-03-13 08:50:00,2013-03-13 10:40:00,winter,winter/spring,0.4,1.2,0.0,38.72576449216173,0.488,38.23776449216173,0.0,1.09475,No
+2013-03-18 20:00:00,2013-03-18 23:50:00,winter,winter/spring,3.6,8.4,0.0,44.87453899331323,4.392,40.48253899331323,0.0,7.663250000000001,No
+2013-03-20 09:20:00,2013-03-20 10:20:00,winter,winter/spring,0.4,1.2,0.0,38.72576449216173,0.488,38.23776449216173,0.0,1.09475,No
+2013-03-31 22:20:00,2013-03-31 23:20:00,spring,winter/spring,1.5999999999999999,6.0,0.0,40.926065973001094,1.9519999999999997,38.974065973001096,0.0,5.473750000000001,No
+2013-04-01 09:20:00,2013-04-01 09:30:00,spring,winter/spring,0.2,1.2,0.0,38.37072454922788,0.244,38.12672454922788,0.0,1.09475,No
+2013-04-07 07:10:00,2013-04-07 07:20:00,spring,winter/spring,0.2,1.2,0.0,38.37072454922788,0.244,38.12672454922788,0.0,1.09475,No
+2013-04-08 15:20:00,2013-04-08 21:10:00,spring,winter/spring,10.8,13.2,0.0,62.51726927756859,13.176,49.341269277568585,0.0,12.04225,No
+2013-04-09 15:10:00,2013-04-10 17:10:00,spring,winter/spring,30.000000000000004,20.4,3.1866,151.35612484362088,36.6,114.75612484362088,0.4935873605947955,18.61075,Yes
+2013-04-11 06:00:00,2013-04-13 19:00:00,spring,winter/spring,31.800000000000004,8.4,41.3382,164.43717232149325,38.79600000000001,125.64117232149324,6.403066914498141,7.663250000000001,Yes
+2013-04-16 07:00:00,2013-04-16 07:10:00,spring,winter/spring,0.2,1.2,0.0,38.37072454922788,0.244,38.12672454922788,0.0,1.09475,No
+2013-04-17 22:20:00,2013-04-18 04:50:00,spring,winter/spring,4.4,7.2,0.0,46.55860935229591,5.368,41.19060935229591,0.0,6.5685,No
+2013-04-18 18:50:00,2013-04-18 23:50:00,spring,winter/spring,1.0,2.4,0.0,39.810717055349734,1.22,38.590717055349735,0.0,2.1895,No
+2013-04-19 07:50:00,2013-04-19 13:20:00,spring,winter/spring,2.0,3.6,0.0,41.68693834703355,2.44,39.246938347033556,0.0,3.28425,No
+2013-04-20 02:40:00,2013-04-20 08:20:00,spring,winter/spring,0.6000000000000001,1.2,0.0,39.084089579240214,0.7320000000000001,38.352089579240214,0.0,1.09475,No
+2013-04-24 10:30:00,2013-04-24 16:50:00,spring,winter/spring,13.799999999999999,7.2,0.0,71.77942912713618,16.836,54.943429127136184,0.0,6.5685,No
+2013-04-25 16:00:00,2013-04-25 18:20:00,spring,winter/spring,1.4,6.0,0.0,40.55085354483839,1.708,38.84285354483839,0.0,5.473750000000001,No
+2013-04-28 17:20:00,2013-04-29 08:20:00,spring,winter/spring,11.2,4.8,0.0,63.67955209079159,13.664,50.01555209079159,0.0,4.379,No
+2013-04-29 16:00:00,2013-04-29 21:10:00,spring,winter/spring,1.0,1.2,0.0,39.810717055349734,1.22,38.590717055349735,0.0,1.09475,No
+2013-04-30 14:10:00,2013-04-30 14:20:00,spring,winter/spring,0.2,1.2,0.0,38.37072454922788,0.244,38.12672454922788,0.0,1.09475,No
+"""
 
 
 def test_storm_table_on_known_storms(spark):
+    known = [dict(zip(STORM_FIELDS.split(), line.split(","))) for line in KNOWN_STORMS.strip().splitlines()]
+    assert len(known) == 27
+    rows = [
+        ("ED-1", i, dt.datetime.fromisoformat(k["start_date"]), dt.datetime.fromisoformat(k["end_date"]), 1.0, *[float(k[c]) for c in ("depth", "peak", "outflow_m3")])
+        for i, k in enumerate(known)
+    ]
     stats = spark.createDataFrame(
-        [("ED-1", i, at(0), at(60), 1.0, d, p, o) for i, (d, p, o, *_) in enumerate(KNOWN_STORMS)],
+        rows,
         "site string, storm_number int, start_date timestamp_ntz, end_date timestamp_ntz, duration_hours double, "
         "total_precip_depth double, peak_precip_intensity double, total_outflow_m3 double",
     ).withColumns({c: F.lit(None).cast("double") for c in ("antecedent_days", "peak_outflow", "centroid_lag_hours", "peak_lag_hours")})
@@ -113,10 +144,11 @@ def test_storm_table_on_known_storms(spark):
         bypass=volumes.linear_volume(depth=1.22), inflow=volumes.net_volume("runoff_m3", "bypass_m3"),
     )
     assert tuple(table.columns) == storms.STORM_COLUMNS
-    for row, known in zip(table.orderBy("storm_number").collect(), KNOWN_STORMS, strict=True):
-        got = [row[c] for c in ("runoff_m3", "bypass_m3", "inflow_m3", "outflow_mm", "sm_est_peak_inflow")]
-        assert got == pytest.approx(known[3:8], rel=1e-9) and row["has_outflow"] == known[8]
-        assert (row["season"], row["grouped_season"], row["year"]) == ("winter", "winter/spring", "2024")
+    numbers = ("runoff_m3", "bypass_m3", "inflow_m3", "outflow_mm", "sm_est_peak_inflow")
+    for row, k in zip(table.orderBy("storm_number").collect(), known, strict=True):
+        assert [row[c] for c in numbers] == pytest.approx([float(k[c]) for c in numbers], rel=1e-9)
+        assert [row[c] for c in ("season", "grouped_season", "has_outflow")] == [k[c] for c in ("season", "grouped_season", "has_outflow")]
+        assert row["year"] == k["start_date"][:4]
 
 
 def test_per_site_expressions(spark):
