@@ -168,6 +168,7 @@ def test_groupings_in_one_pass_equal_the_single_reports(spark):
 
 
 def test_storm_stats_describe(spark):
+    # --- fixed values: known storms and their statistics ---
     rows = """2,3.1041,2011-07-28 08:30,2.000,6.0,5.0000,16.4213
     3,0.6458,2011-07-29 02:00,10.333,3.6,2.2,7.22535
     5,2.6736,2011-08-03 03:20,2.000,12.0,12.8,42.0384
@@ -176,6 +177,8 @@ def test_storm_stats_describe(spark):
     10,0.3472,2011-08-09 22:50,0.833,14.4,5.800,19.04865
     14,0.4027,2011-08-21 13:50,2.833,28.8,6.0,19.7055
     17,0.4166,2011-08-24 20:20,2.166,27.6,11.2,36.7836
+    19,6.7430,2011-09-01 01:10,1.333,4.8,5.0,16.42125
+    21,1.8402,2011-09-03 09:20,5.500,14.4,4.4,14.4507
     24,0.2638,2011-09-04 19:00,0.833,10.8,4.0,13.137"""
     parsed = [r.strip().split(",") for r in rows.splitlines()]
     df = spark.createDataFrame(
@@ -189,6 +192,8 @@ def test_storm_stats_describe(spark):
     for quantity, known in {
         "antecedent_days": (4, 1.7726, 1.1310, 0.4166, 1.0520, 1.9687, 2.689225, 2.7361),
         "duration_hours": (4, 8.0417, 8.3681, 2.0, 2.125, 5.16667, 11.08275, 19.833),
+        "peak_precip_intensity": (4, 24.6, 11.19285, 12.0, 18.3, 24.0, 30.3, 38.4),
+        "runoff_m3": (4, 69.9545, 36.9260, 36.7836, 40.7247, 64.6997, 93.92955, 113.635),
         "total_precip_depth": (4, 21.3, 11.24334, 11.2, 12.4, 19.7, 28.6, 34.6),
         "year": (4, 2011.0, 0.0, 2011.0, 2011.0, 2011.0, 2011.0, 2011.0),
     }.items():
@@ -307,20 +312,30 @@ def test_histogram_has_open_ends(spark):
 
 
 def test_sample_table(spark):
+    # --- fixed values: results of one sample and their texts ---
     cases = [
         ("Aluminum (Al)", "ug/L", "g", 786.0, 0.5, 40.642016399999555, ("786 ug/L", "0.500 ug/L", "40.6 g")),
         ("Cadmium (Cd)", "ug/L", "g", 0.16, 0.01, 0.0082731839999999109, ("0.160 ug/L", "0.0100 ug/L", "0.00827 g")),
+        ("Copper (Cu)", "ug/L", "g", 8.60, 0.20, 0.44468363999999516, ("8.60 ug/L", "0.200 ug/L", "0.445 g")),
         ("Dissolved Chloride (Cl)", "mg/L", "g", 140.0, 1.0, 7239.0359999999218, ("140 mg/L", "1.00 mg/L", "7,240 g")),
         ("Escherichia coli", "CFU/100mL", "CFU", 9000.0, None, 4653665999.9999495, None),
         ("Iron (Fe)", "ug/L", "g", 1350.0, 5.0, 69.80498999999925, ("1,350 ug/L", "5.00 ug/L", "69.8 g")),
+        ("Lead (Pb)", "ug/L", "g", 6.13, 0.05, 0.31696636199999656, ("6.13 ug/L", "0.0500 ug/L", "0.317 g")),
+        ("Nickel (Ni)", "ug/L", "g", 2.20, 0.2, 0.11375627999999877, ("2.20 ug/L", "0.200 ug/L", "0.114 g")),
+        ("Nitrate (N)", "mg/L", "g", 1.40, 0.1, 72.390359999999205, ("1.40 mg/L", "0.100 mg/L", "72.4 g")),
+        ("Nitrate + Nitrite", "mg/L", "g", 1.5, 0.1, 77.561099999999158, ("1.50 mg/L", "0.100 mg/L", "77.6 g")),
         ("Orthophosphate (P)", "mg/L", "g", 0.052, 0.002, 2.6887847999999708, ("0.0520 mg/L", "0.00200 mg/L", "2.69 g")),
+        ("Total Kjeldahl Nitrogen (TKN)", "mg/L", "g", 1.2, 0.1, 62.048879999999322, ("1.20 mg/L", "0.100 mg/L", "62.0 g")),
+        ("Total Oil & Grease", "mg/L", "g", 0.5, 0.5, 0.025853699999999719, ("0.500 mg/L", "0.500 mg/L", "0.0259 g")),
+        ("Total Phosphorus", "mg/L", "g", 0.13, 0.1, 6.7219619999999276, ("0.130 mg/L", "0.100 mg/L", "6.72 g")),
         ("Total Suspended Solids", "mg/L", "g", 110.0, 3.0, 5687.8139999999385, ("110 mg/L", "3.00 mg/L", "5,690 g")),
+        ("Zinc (Zn)", "ug/L", "g", 43.4, 0.5, 2.2441011599999756, ("43.4 ug/L", "0.500 ug/L", "2.24 g")),
     ]
     tidy = spark.createDataFrame([("s", "x", *c[:2], c[2], *c[3:6]) for c in cases] * 2,
                                  "site string, sample string, parameter string, units string, load_units string, concentration double, detectionlimit double, load_outflow double")
     guide = spark.createDataFrame([(c[0], 10.0) for c in cases], "parameter string, upper_limit double")
     got = {r["parameter"]: r for r in reports.wq_tables(tidy, guide).collect()}
-    assert len(got) == 6
+    assert len(got) == 15
     for name, units, _, _, _, _, texts in cases:
         if texts:
             r = got[name]
