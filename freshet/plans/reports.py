@@ -48,9 +48,9 @@ def wq_tables(tidy: DataFrame, standards: DataFrame, keys: tuple[str, ...] = ("s
     return (
         tidy.filter(F.col("parameter") != "Escherichia coli")
         .join(guideline, "parameter", "inner")
-        # numbers are shuffled rather than texts, and equal rows meet in one partition
+        # equal numbers are merged before they are shuffled; different numbers may still have equal texts
         .select(*keys, "parameter", "units", "load_units", "_guideline", "detectionlimit", "concentration", "load_outflow")
-        .repartition(*keys, "parameter")
+        .dropDuplicates()
         .select(
             *keys,
             "parameter",
