@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet import workers
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a missing integer id inside an operator: after every other id.
 LAST_ID = 2**63 - 1
@@ -28,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if top is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         top = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{top.rstrip('/')}/freshet-{uuid.uuid4().hex}"
@@ -63,6 +65,12 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python this many rows at a time at most: they are whole texts, and two workers share an executor's rest."""
+    workers.ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def text_bytes(name: str = "text") -> Column:
     return F.col(f"`{name}`").cast("binary")
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import text_bytes, written
+from freshet.llm.common import text_batches, text_bytes, unused, written
 
 BITS = 14
 FEATURES = 1 << BITS
@@ -138,6 +138,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     a hash of the id, language by language. No such document gives a model
     that answers ``und``.
     """
+    text_batches(docs.sparkSession)
     known = docs.select(
         F.xxhash64(F.lit("language"), F.col(f"`{id_col}`")).alias("deal"), text_bytes(text_col).alias("text"), F.col(f"`{lang_col}`").alias("lang"),
         held_out(id_col).alias("held"), F.col(f"`{id_col}`").isNull().alias("unnamed"),
@@ -236,7 +237,8 @@ def predicted(model: Model, text_col: str = "text") -> Column:
         langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
         return pa.StructArray.from_arrays([langs, scores], ["lang", "score"])
 
-    return predict(text_bytes(text_col))
+    # Else Spark predicts again for every use of the answer.
+    return predict.asNondeterministic()(text_bytes(text_col))
 
 
 def keep_identified(
@@ -248,6 +250,7 @@ def keep_identified(
     and repeated rows get the same answer.
     """
     model = train(docs, id_col, text_col, lang_col)
-    judged = docs.withColumn("_told", predicted(model, text_col))
-    columns = [F.col("_told.lang").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns]
-    return judged.where((F.col("_told.lang") != UNKNOWN) & (F.col("_told.score") >= min_score)).select(*columns)
+    told = unused(docs, "told")
+    judged = docs.withColumn(told, predicted(model, text_col))
+    columns = [F.col(f"{told}.lang").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns]
+    return judged.where((F.col(f"{told}.lang") != UNKNOWN) & (F.col(f"{told}.score") >= min_score)).select(*columns)
