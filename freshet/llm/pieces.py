@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import text_bytes
+from freshet.llm.common import text_batches, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: An unknown character costs this much more than the rarest piece.
 UNKNOWN_COST = 10.0
 #: Segmented words that a worker remembers; what it forgets is segmented anew.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 _LONGEST_REMEMBERED = 48
 
 
@@ -187,30 +187,43 @@ def _codec(pieces) -> Codec:
     return _codecs[id(pieces.value)]
 
 
+def _ids_array(found: list[np.ndarray | None]) -> pa.Array:
+    lengths = np.array([0 if ids is None else len(ids) for ids in found], np.int64)
+    missing = np.array([ids is None for ids in found] + [False])
+    offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32(), mask=missing)
+    values = np.concatenate([np.zeros(0, np.int32), *(ids for ids in found if ids is not None)])
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))
+
+
+_IDS = T.ArrayType(T.IntegerType())
+
+
 def codec_columns(docs: DataFrame, pieces: Pieces):
-    """Functions from a column of texts to their ids, and from ids to the texts.
+    """Column functions: texts to ``struct<ids, back>``, their ids and what those decode to; ids to texts.
 
     Null stays null; an empty text has no ids. The piece table, bounded by the
-    vocabulary, is broadcast.
+    vocabulary, is broadcast. Both directions of the first share one Python
+    worker, as each worker has a table of its own.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @F.arrow_udf(T.StructType([T.StructField("ids", _IDS), T.StructField("back", T.BinaryType())]))
     def encode(texts: pa.Array) -> pa.Array:
         codec = _codec(shared)
         found = [None if t is None else codec.encode(t) for t in (text.as_py() for text in texts)]
-        lengths = np.array([0 if ids is None else len(ids) for ids in found], np.int64)
-        offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32(), mask=np.array([ids is None for ids in found] + [False]))
-        values = np.concatenate([np.zeros(0, np.int32), *(ids for ids in found if ids is not None)])
-        return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))
+        back = pa.array([None if ids is None else codec.decode(ids) for ids in found], pa.binary())
+        return pa.StructArray.from_arrays([_ids_array(found), back], ["ids", "back"])
 
     @F.arrow_udf(T.BinaryType())
     def decode(ids: pa.Array) -> pa.Array:
         codec = _codec(shared)
         return pa.array([codec.decode(row.values.to_numpy()) if row.is_valid else None for row in ids], pa.binary())
 
+    once = encode.asNondeterministic()  # else Spark encodes again for every use of the ids
+
     def encoded(text_col: str = "text") -> Column:
-        return encode(text_bytes(text_col))
+        return once(text_bytes(text_col))
 
     def decoded(ids_col: str) -> Column:
         return decode(F.col(f"`{ids_col}`")).cast("string")

@@ -29,11 +29,11 @@ def query(name: str, sql: str | None = None):
 @query("op1_sentencepiece")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded, decoded = pieces.codec_columns(docs, pieces.load())
-    coded = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), encoded().alias("ids"))
+    encoded, _ = pieces.codec_columns(docs, pieces.load())
+    coded = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), encoded().alias("coded"))
     return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
-        F.sha2(decoded("ids"), 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"),
+        "doc_id", F.size("coded.ids").cast("long").alias("n_ids"), "coded.ids",
+        F.sha2("coded.back", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"),
     )
 
 
