@@ -18,11 +18,11 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import text_bytes
+from freshet.llm.common import text_batches, text_bytes
 
 SHORT_CHARS, LONG_CHARS = 70, 200
 MAX_LINKS, MAX_LINKS_IN_ARTICLE = 0.2, 0.5
@@ -238,4 +238,5 @@ def _main_text(pages: pa.Array) -> pa.Array:
 
 def extracted(html_col: str = "html") -> Column:
     """The main text of a column of pages; null pages give an empty text."""
+    text_batches(SparkSession.active())
     return _main_text(text_bytes(html_col)).alias("text")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import LAST_ID, shared_folder, text_bytes, unused, written
+from freshet.llm.common import LAST_ID, shared_folder, text_batches, text_bytes, unused, written
 
 #: Keys with fewer code points are never dropped.
 MIN_POINTS = 10
@@ -101,10 +101,17 @@ class LineIndex:
             old, self.levels[level] = self.levels[level], []
             runs = reduce(DataFrame.unionAll, [self._run(name) for name in old])
             self._write_run(runs.repartition(self.buckets, "key"), level + 1)
+            for name in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             level += 1
         self._commit()
         return found
 
+    def forget(self) -> None:
+        """Take the runs out of the session's catalog; their files stay in the folder."""
+        for name in (name for runs in self.levels for name in runs):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def owners(self) -> DataFrame:
         """``(key, owner)`` of every key."""
         return reduce(DataFrame.unionAll, [self._run(name) for runs in self.levels for name in runs])
@@ -133,6 +140,7 @@ def repeated_lines(lines: DataFrame, batches: int = BATCHES, fanout: int = FANOU
         shared.append(
             found.where("seen IS NOT NULL OR owner <> last").select("key", F.coalesce("seen", "owner").alias("owner"))
         )
+    index.forget()
     owners = reduce(DataFrame.unionAll, shared).distinct()
     return lines.join(owners, "key").where("id <> owner").groupBy("id").agg(F.collect_set("key").alias("keys"))
 
@@ -177,6 +185,7 @@ def drop_repeated_lines(
     one document, and rows without an id count as the last one. An empty table
     gives an empty table.
     """
+    text_batches(docs.sparkSession)
     lines = written(document_lines(docs, id_col, text_col))
     drop_id, drop_keys, made = (unused(docs, name) for name in ("drop_id", "drop_keys", "made"))
     drops = repeated_lines(lines, batches, fanout).toDF(drop_id, drop_keys)
