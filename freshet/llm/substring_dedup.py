@@ -12,6 +12,7 @@ the words around seeds, however many documents share a passage.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import LAST_ID, text_bytes, written
+from freshet.llm.common import LAST_ID, shared_folder, text_batches, text_bytes, write_table, written
 
 WINDOW = 13
-GRAM = 5
+GRAM = 6
+#: Windows are compared in so many rounds by their hash, so that one round's shuffle is on disk at a time.
+ROUNDS = 4
 _A, _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -98,12 +101,17 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     several = anchors.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     seeds = written(several.select("anchor"))
     seeded = written(anchors.join(seeds, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("seeds")))
-    windows = written(
-        picked.join(seeded, "id").select("id", "text", "seeds").mapInArrow(_windows, "one long, two int, id long, at int")
-    )
-    owned = windows.groupBy("one", "two").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner <> last")
-    owners = written(owned.drop("last"))
-    return windows.join(owners, ["one", "two"]).where("id <> owner").groupBy("id").agg(F.collect_set("at").alias("starts"))
+    windows = picked.join(seeded, "id").select("id", "text", "seeds").mapInArrow(_windows, "one long, two int, id long, at int")
+    path = shared_folder(docs.sparkSession)
+    write_table(windows.withColumn("round", F.pmod("one", F.lit(ROUNDS)).cast("int")), path, ["round"])
+    stored = docs.sparkSession.read.schema("one long, two int, id long, at int, round int").parquet(path)
+    found = []
+    for k in range(ROUNDS):
+        part = stored.where(F.col("round") == k)
+        owned = part.groupBy("one", "two").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
+        later = part.join(owned.where("owner <> last"), ["one", "two"]).where("id <> owner")
+        found.append(written(later.groupBy("id").agg(F.collect_set("at").alias("starts"))))
+    return reduce(DataFrame.unionAll, found).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 _CUT = T.StructType(
@@ -147,6 +155,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     went, as word positions. Null texts have no words. Texts shorter than a
     window stay whole. An empty table gives an empty table.
     """
+    text_batches(docs.sparkSession)
     starts = repeated_windows(docs, id_col, text_col).withColumnRenamed("id", "start_id")
     picked = _identified(docs, id_col, text_col)
     made = picked.join(starts, F.col("id") == F.col("start_id"), "left").select("id", _cut("text", "starts").alias("cut"))
