@@ -109,7 +109,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for k in range(ROUNDS):
         part = stored.where(F.col("round") == k)
         owned = part.groupBy("one", "two").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
-        later = part.join(owned.where("owner <> last"), ["one", "two"]).where("id <> owner")
+        # Written, so that the join has two plain shuffles, of which Spark can split a window that many documents have.
+        owners = written(owned.where("owner <> last").drop("last"))
+        later = part.join(owners, ["one", "two"]).where("id <> owner")
         found.append(written(later.groupBy("id").agg(F.collect_set("at").alias("starts"))))
     return reduce(DataFrame.unionAll, found).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
