@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import shared_folder, text_bytes, write_table, written
+from freshet.llm.common import shared_folder, text_batches, text_bytes, write_table, written
 
 #: Text bytes that a bucket holds before it is split.
 CAPACITY = 32 << 20
@@ -185,7 +185,7 @@ class ExactIndex:
             kept = {p for p in self.directory if p in grown and p not in touched}
             moved = self.entries().where(~F.col("bucket").isin([f"b{p}" for p in kept]))
             arrivals = arrivals.unionAll(moved.mapInArrow(_owned(names, bounds), entry))
-        owners = arrivals.repartition("bucket").sortWithinPartitions("bucket", "hash")
+        owners = arrivals.repartition(len(prefixes), "bucket").sortWithinPartitions("bucket", "hash")
         self.version += 1
         write_table(owners.mapInArrow(_owned(names, bounds), entry), f"{self.folder}/v{self.version}", ["bucket"])
         self.directory = {
@@ -205,6 +205,7 @@ def exact_duplicates(
     others and comes back as null; of rows with the same id and text one stays.
     An empty table gives an empty table.
     """
+    text_batches(docs.sparkSession)
     marks = written(signatures(docs, id_col, text_col))
     index = ExactIndex(docs.sparkSession, shared_folder(docs.sparkSession), capacity)
     index.insert(docs, marks, id_col, text_col)
