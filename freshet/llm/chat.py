@@ -67,18 +67,17 @@ def maximal(prefixes: DataFrame) -> DataFrame:
     """``(conv, n_turns, n_logged)``: the conversations that no longer one starts with.
 
     Of equal conversations the smallest id stays (null last); ``n_logged``
-    says how many there are. Prefixes are made distinct before the anti-join,
-    so a first turn that many share is one row there.
+    says how many there are. Equal conversations and equal prefixes are one row
+    before the anti-join, so what many share is no hot key there.
     """
     last = prefixes.groupBy("conv").agg(F.max(F.struct("place", "one", "two")).alias("end")).select("conv", "end.*")
     ended = last.select(F.col("conv").alias("conv_of"), F.col("place").alias("length"))
     inner = prefixes.join(ended, same(F.col("conv"), F.col("conv_of"))).where("place < length")
     inner = inner.select("place", "one", "two").distinct()
-    kept = last.join(inner, ["place", "one", "two"], "left_anti")
     least = F.min(F.struct(F.col("conv").isNull().alias("unnamed"), "conv"))
-    return kept.groupBy("place", "one", "two").agg(least.alias("least"), F.count("*").alias("n_logged")).select(
-        F.col("least.conv").alias("conv"), F.col("place").alias("n_turns"), "n_logged"
-    )
+    equal = last.groupBy("place", "one", "two").agg(least.alias("least"), F.count("*").alias("n_logged"))
+    kept = equal.join(inner, ["place", "one", "two"], "left_anti")
+    return kept.select(F.col("least.conv").alias("conv"), F.col("place").alias("n_turns"), "n_logged")
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -107,10 +106,10 @@ def format_chats(
     a, b = _hashes(F.col("role"), F.col("text"))
     prefixes = written(turn_prefixes(picked.select("conv", "turn", a.alias("a"), b.alias("b"))))
     kept = written(maximal(prefixes)).withColumnRenamed("conv", "conv_of")
-    turns = picked.join(kept, same(F.col("conv"), F.col("conv_of"))).distinct()
+    turns = picked.join(kept, same(F.col("conv"), F.col("conv_of")))
     order = F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", *[h.alias(n) for h, n in zip(_hashes(F.col("role"), F.col("text")), "ab")], rendered(F.col("role"), F.col("text")).alias("said"))
     parts = turns.groupBy("conv", "n_turns", "n_logged", _blocked(F.col("turn")).alias("block")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda t: t["said"]), "").alias("chat")
+        F.array_join(F.transform(F.array_sort(F.collect_set(order)), lambda t: t["said"]), "").alias("chat")
     )
     by_conv = Window.partitionBy("conv").orderBy("block")
     return parts.select("conv", (F.row_number().over(by_conv) - 1).alias("part"), "n_turns", "n_logged", "chat")
