@@ -119,7 +119,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Columns stay as they are. Rows with the same id are one document, of which
     one row stays. Rows without an id cannot be told apart and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents that name a component of ``found``, which has ``id`` and ``component`` of every row of ``docs``."""
     kept_id = unused(docs, "kept_id")
     kept = found.where(F.col("id") == F.col("component")).select(F.col("id").alias(kept_id)).distinct()
     named = docs.join(kept, F.col(f"`{id_col}`") == F.col(kept_id), "left_semi").dropDuplicates([id_col])
