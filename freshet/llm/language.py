@@ -32,7 +32,7 @@ TEMPERATURES = [round(1.15**k, 4) for k in range(-10, 21)]
 #: Documents that score less are rejected by the filter.
 MIN_SCORE = 0.4
 
-_LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
+_LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 _STEP, _MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -42,7 +42,7 @@ def term_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
     What is no letter counts as a space.
     """
     points = np.frombuffer((text or b"").decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
-    letter = _LETTER[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    letter = _LETTER[points]
     if not letter.any():
         return None
     one = np.concatenate(([np.uint32(32)], np.where(letter, points, np.uint32(32)), [np.uint32(32)]))
