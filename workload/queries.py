@@ -521,6 +521,14 @@ def _(v: Views) -> DataFrame:
     return stats.select("site", "storm_number", volumes.by_site(equations).alias("runoff_m3"))
 
 
+@query("storm_volumes_all_sites", final(f"(SELECT site, storm_number, {_RUNOFF} AS runoff_m3 FROM v_stats)", "site storm_number", "runoff_m3"))
+def _(v: Views) -> DataFrame:
+    """The storms of every site, with the regression of the site's kind."""
+    equations = {"0": volumes.power_volume(1.58, depth=0.0169), "1": volumes.linear_volume(12.05, depth=2.873, duration=0.863)}
+    stats = v.storm_stats.withColumn("kind", (F.col("site").cast("int") % 2).cast("string"))
+    return stats.select("site", "storm_number", volumes.by_site(equations, "kind").alias("runoff_m3"))
+
+
 @query("storm_table", final("v_storm_table", _STORM_KEYS, _STORM_DOUBLES))
 def _(v: Views) -> DataFrame:
     return v.storm_table
