@@ -67,44 +67,47 @@ def window_anchors(words: np.ndarray) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(window_anchors(word_hashes(text.as_py()))) for text in batch.column(1)]
-        ids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+        found = [np.unique(window_anchors(word_hashes(text.as_py()))) for text in batch.column(2)]
+        ids, rows = (np.repeat(batch.column(k).to_numpy(), [len(f) for f in found]) for k in range(2))
         anchors = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(ids, pa.int64())], ["anchor", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(ids, pa.int64()), pa.array(rows, pa.int64())], ["anchor", "id", "row"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i, text, seeds in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+        for i, row, text, seeds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
             words = word_hashes(text.as_py())
             at = np.isin(window_anchors(words), seeds.values.to_numpy().view(np.uint64)).nonzero()[0]
             one, two = gram_hashes(words, WINDOW)[at], gram_hashes(_mixed(words), WINDOW, _B)[at]
-            parts.append((one, two, np.full(len(at), i, np.int64), at))
-        one, two, ids, at = map(np.concatenate, zip(*parts))
-        columns = [one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), ids, at.astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "id", "at"])
+            parts.append((one, two, np.full(len(at), i, np.int64), np.full(len(at), row, np.int64), at))
+        one, two, ids, rows, at = map(np.concatenate, zip(*parts))
+        columns = [one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), ids, rows, at.astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "id", "row", "at"])
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("id"), text_bytes(text_col).alias("text"))
+    """``(id, row, text)``: the id tells which document is earlier; together with the hash of the text it names the row."""
+    text = text_bytes(text_col)
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, starts)``: where the windows of a document start that a document with a smaller id has too.
+    """``(id, row, starts)``: where the windows of a text start that a document with a smaller id has too.
 
-    Starts count words from 0. Documents without such a window have no row; a
-    null id counts as the largest, and rows with the same id are one document.
+    Starts count words from 0. Texts without such a window have no row; a null
+    id counts as the largest. Rows with the same id do not cut each other, and
+    each text among them (``row``) has starts of its own.
     """
     picked = _identified(docs, id_col, text_col)
-    anchors = picked.mapInArrow(_anchors, "anchor long, id long")
+    anchors = picked.mapInArrow(_anchors, "anchor long, id long, row long")
     several = anchors.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     seeds = written(several.select("anchor"))
-    seeded = written(anchors.join(seeds, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("seeds")))
-    windows = picked.join(seeded, "id").select("id", "text", "seeds").mapInArrow(_windows, "one long, two int, id long, at int")
+    seeded = written(anchors.join(seeds, "anchor").groupBy("id", "row").agg(F.collect_set("anchor").alias("seeds")))
+    windows = picked.join(seeded, ["id", "row"]).select("id", "row", "text", "seeds").mapInArrow(_windows, "one long, two int, id long, row long, at int")
     path = shared_folder(docs.sparkSession)
     write_table(windows.withColumn("round", F.pmod("one", F.lit(ROUNDS)).cast("int")), path, ["round"])
-    stored = docs.sparkSession.read.schema("one long, two int, id long, at int, round int").parquet(path)
+    stored = docs.sparkSession.read.schema("one long, two int, id long, row long, at int, round int").parquet(path)
     found = []
     for k in range(ROUNDS):
         part = stored.where(F.col("round") == k)
@@ -112,8 +115,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # Written, so that the join has two plain shuffles, of which Spark can split a window that many documents have.
         owners = written(owned.where("owner <> last").drop("last"))
         later = part.join(owners, ["one", "two"]).where("id <> owner")
-        found.append(written(later.groupBy("id").agg(F.collect_set("at").alias("starts"))))
-    return reduce(DataFrame.unionAll, found).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        found.append(written(later.groupBy("id", "row").agg(F.collect_set("at").alias("starts"))))
+    return reduce(DataFrame.unionAll, found).groupBy("id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 _CUT = T.StructType(
@@ -158,9 +161,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     window stay whole. An empty table gives an empty table.
     """
     text_batches(docs.sparkSession)
-    starts = repeated_windows(docs, id_col, text_col).withColumnRenamed("id", "start_id")
+    starts = repeated_windows(docs, id_col, text_col)
     picked = _identified(docs, id_col, text_col)
-    made = picked.join(starts, F.col("id") == F.col("start_id"), "left").select("id", _cut("text", "starts").alias("cut"))
+    made = picked.join(starts, ["id", "row"], "left").select("id", _cut("text", "starts").alias("cut"))
     return made.select(
         F.when(F.col("id") != LAST_ID, F.col("id")).alias("id"), F.col("cut.text").cast("string").alias("text"),
         "cut.n_words", "cut.n_removed", "cut.spans",
