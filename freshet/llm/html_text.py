@@ -14,6 +14,7 @@ article counts as good, that of a body as bad.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -44,6 +45,17 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
+# Where HTML lets authors leave out end tags.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+_ENDS_P = _HEADINGS | frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li "
+    "listing main menu nav ol p pre search section summary table ul xmp".split()
+)
+_ITEMS = {"li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"])}
+_CELLS = frozenset(["td", "th"])
+_ROWS = _CELLS | {"tr"}
+_ROW_GROUPS = _ROWS | {"caption", "colgroup", "tbody", "thead", "tfoot"}
+_IN_TABLE = {"td": _CELLS, "th": _CELLS, "tr": _ROWS, "tbody": _ROW_GROUPS, "thead": _ROW_GROUPS, "tfoot": _ROW_GROUPS}
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # Words of class names and ids that tell what an element is for.
 _NAMED = frozenset(
@@ -133,19 +145,18 @@ class _Blocks(HTMLParser):
             return
         if tag in ("td", "th"):
             self.parts.append(" ")
+        self._imply_ends(tag)
         if tag in _BLOCK:
             self._end_block()
-            if tag in ("p", "li"):
-                self._close(tag, within=True)
             self.heading = tag in _HEADINGS
         if tag in _VOID:
             return
         out, region = self._state()
-        element = _Element(tag, out or _dropped(tag, dict(attrs), region > 0))
-        if tag in ("article", "main") and not element.dropped and not region:
+        element = _Element(tag, _dropped(tag, dict(attrs), region > 0))
+        if tag in ("article", "main") and not out and not element.dropped and not region:
             self.regions += 1
             element.region = self.regions
-        if tag in _BLOCK or tag == "a" or element.dropped:
+        if tag in _BLOCK or tag == "a" or out or element.dropped:
             self.open.append(element)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -153,13 +164,47 @@ class _Blocks(HTMLParser):
         if tag not in _VOID:
             self.handle_endtag(tag)
 
-    def _close(self, tag: str, within: bool = False) -> None:
-        """Close the nearest open element of a name; ``within`` looks no further than the next other block but lists' own."""
+    def _imply_ends(self, tag: str) -> None:
+        """Close what the start of an element ends in HTML: the head, items of a list, parts of a table, a paragraph."""
+        if tag == "body" or tag not in _IN_HEAD:
+            self._end_head(anywhere=tag == "body")
+        if tag in _ITEMS:
+            self._end_nearest(_ITEMS[tag], through=("address", "div", "p"))
+        if tag in _IN_TABLE:
+            tables = [k for k, e in enumerate(self.open) if e.tag == "table"]
+            inner = [k for k in range(tables[-1] + 1 if tables else len(self.open), len(self.open)) if self.open[k].tag in _IN_TABLE[tag]]
+            if inner:
+                self._end(inner[0])
+        if tag in _ENDS_P:
+            self._end_nearest(("p",))
+
+    def _end_head(self, anywhere: bool = False) -> None:
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
+            if self.open[k].tag == "head":
                 del self.open[k:]
+            if not anywhere:
                 return
-            if within and self.open[k].tag in _BLOCK:
+
+    def _end_nearest(self, tags: Collection[str], through: Collection[str] = ()) -> None:
+        """End the nearest open element of these names, if only inline elements and those of ``through`` are open in it."""
+        for k in range(len(self.open) - 1, -1, -1):
+            tag = self.open[k].tag
+            if tag in tags:
+                self._end(k)
+                return
+            if tag in _SKIPPED or tag in _BLOCK and tag not in through:
+                return
+
+    def _end(self, k: int) -> None:
+        """End an element without its end tag; a link that is open in it goes on."""
+        self._end_block()
+        self.open[k:] = [e for e in self.open[k + 1 :] if e.tag == "a"]
+
+    def _close(self, tag: str) -> None:
+        """Close the nearest open element of a name."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k].tag == tag:
+                del self.open[k:]
                 return
 
     def handle_endtag(self, tag: str) -> None:
@@ -168,6 +213,8 @@ class _Blocks(HTMLParser):
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if self._state()[0]:
             return
         if data.strip():
