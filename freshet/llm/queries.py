@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, exact_dedup, html_text, language, line_dedup, mixing, pieces, quality, simhash, substring_dedup
+from freshet.llm import chat, exact_dedup, html_text, language, line_dedup, mixing, pieces, quality, simhash, substring_dedup, whitening
 from freshet.llm.common import WORD, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     told = docs.select("doc_id", language.held_out().alias("held_out"), language.predicted(language.train(docs)).alias("told"))
     return told.select("doc_id", "held_out", F.col("told.lang").alias("lang_pred"), "told.score")
+
+
+@query("op13_whitening")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    return whitening.whitened(vectors, model).select(
+        F.col("id").alias("vec_id"), "component", F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", "explained",
+        F.lit(whitening.identity_error(vectors, model)).alias("identity_error"),
+    )
