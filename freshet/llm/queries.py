@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, exact_dedup, html_text, language, line_dedup, mixing, pieces, quality, simhash, substring_dedup, whitening
+from freshet.llm import chat, exact_dedup, html_text, language, line_dedup, mixing, pieces, quality, simhash, substring_dedup, superminhash, whitening
 from freshet.llm.common import WORD, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,6 +230,35 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", F.col("told.lang").alias("lang_pred"), "told.score")
 
 
+_SHINGLES = f"""WITH split AS (SELECT doc_id, row_number() OVER () AS r,
+        regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '{WORD}') AS words FROM documents),
+    shingles AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN []::VARCHAR[]
+        WHEN len(words) < {superminhash.SHINGLE} THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - {superminhash.SHINGLE - 2}), lambda k: array_to_string(words[k:k + {superminhash.SHINGLE - 1}], ' ')) END)) AS held
+        FROM split)"""
+
+
+@query(
+    "op12_superminhash",
+    f"""{_SHINGLES.replace("WITH", "WITH RECURSIVE", 1)},
+    sets AS (SELECT held, md5(array_to_string(held, chr(10))) AS s, len(held) AS n, min(doc_id) AS least FROM shingles WHERE len(held) > 0 GROUP BY held),
+    elements AS (SELECT s, n, unnest(held) AS e FROM sets),
+    pairs AS (SELECT a.s, b.s AS t FROM elements a JOIN elements b USING (e) WHERE a.s <> b.s
+        GROUP BY a.s, b.s, a.n, b.n HAVING 100 * count(*) >= {superminhash.PERCENT} * (a.n + b.n - count(*))),
+    reached AS (SELECT s, s AS t FROM sets UNION SELECT reached.s, pairs.t FROM reached JOIN pairs ON reached.t = pairs.s),
+    named AS (SELECT reached.s, min(least) AS component_id FROM reached JOIN sets ON reached.t = sets.s GROUP BY reached.s)
+    SELECT doc_id, len(shingles.held)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+        doc_id = coalesce(component_id, doc_id) AS kept
+    FROM shingles LEFT JOIN sets ON shingles.held = sets.held LEFT JOIN named USING (s)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        (F.col("id") == F.col("component")).alias("kept"),
+    )
+
+
 @query("op13_whitening")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
