@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, exact_dedup, html_text, language, line_dedup, mixing, pieces, quality, simhash, substring_dedup, superminhash, whitening
+from freshet.llm import chat, exact_dedup, html_text, language, line_dedup, mixing, phrases, pieces, quality, simhash, substring_dedup, superminhash, whitening
 from freshet.llm.common import WORD, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,6 +230,33 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", F.col("told.lang").alias("lang_pred"), "told.score")
 
 
+@query(
+    "op11_phrases",
+    f"""WITH pieces AS (SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+    spans AS (SELECT lang, array_to_string(words[k:k + w - 1], ' ') AS phrase, w FROM (
+        SELECT lang, words, w, unnest(range(1, len(words) - w + 2)) AS k FROM split, range(1, {phrases.LONGEST + 1}) t(w))),
+    counts AS (SELECT lang, phrase, w, count(*)::HUGEINT AS f FROM spans GROUP BY ALL),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE w = 1 GROUP BY lang),
+    candidates AS (SELECT lang, phrase, w, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE w > 1 AND f >= {phrases.MIN_COUNT}),
+    cuts AS (SELECT lang, phrase, a, k, array_to_string(words[:k], ' ') AS lp, array_to_string(words[k + 1:], ' ') AS rp
+        FROM (SELECT *, unnest(range(1, w)) AS k FROM candidates)),
+    scored AS (SELECT cuts.*, l.f AS l, r.f AS r, (1000000 * a * a) // (l.f * r.f) AS score FROM cuts
+        JOIN counts l ON l.lang = cuts.lang AND l.phrase = lp JOIN counts r ON r.lang = cuts.lang AND r.phrase = rp),
+    weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (SELECT lang, array_to_string(words[k:k + v - 1], ' ') AS phrase, max(a) AS around FROM (
+        SELECT *, unnest(range(1, w - v + 2)) AS k FROM candidates, range(2, {phrases.LONGEST}) t(v) WHERE v < w) GROUP BY ALL),
+    kept AS (SELECT weakest.* FROM weakest LEFT JOIN inside USING (lang, phrase)
+        WHERE around IS NULL OR 100 * around < {phrases.COVERED} * a),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+    FROM placed JOIN totals USING (lang) WHERE rank <= {phrases.TOP}""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 _SHINGLES = f"""WITH split AS (SELECT doc_id, row_number() OVER () AS r,
         regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '{WORD}') AS words FROM documents),
     shingles AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN []::VARCHAR[]
@@ -243,7 +270,7 @@ _SHINGLES = f"""WITH split AS (SELECT doc_id, row_number() OVER () AS r,
     f"""{_SHINGLES.replace("WITH", "WITH RECURSIVE", 1)},
     sets AS (SELECT held, md5(array_to_string(held, chr(10))) AS s, len(held) AS n, min(doc_id) AS least FROM shingles WHERE len(held) > 0 GROUP BY held),
     elements AS (SELECT s, n, unnest(held) AS e FROM sets),
-    pairs AS (SELECT a.s, b.s AS t FROM elements a JOIN elements b USING (e) WHERE a.s <> b.s
+    pairs AS (SELECT a.s, b.s AS t FROM elements a JOIN elements b ON a.e = b.e AND a.s <> b.s AND 100 * a.n >= {superminhash.PERCENT} * b.n AND 100 * b.n >= {superminhash.PERCENT} * a.n
         GROUP BY a.s, b.s, a.n, b.n HAVING 100 * count(*) >= {superminhash.PERCENT} * (a.n + b.n - count(*))),
     reached AS (SELECT s, s AS t FROM sets UNION SELECT reached.s, pairs.t FROM reached JOIN pairs ON reached.t = pairs.s),
     named AS (SELECT reached.s, min(least) AS component_id FROM reached JOIN sets ON reached.t = sets.s GROUP BY reached.s)

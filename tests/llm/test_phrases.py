@@ -1,0 +1,108 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from freshet.llm.phrases import Trie, _run, collocations, phrase_counts
+from freshet.llm.queries import QUERIES
+
+
+def plain_counts(rows, longest=3):
+    counts = Counter()
+    for lang, text in rows:
+        for piece in re.split(rb"[.,;:!?\n-\r]", (text or "").encode().lower()):
+            words = re.findall(rb"[^ \t]+", piece)
+            counts[lang or "und", b""] += len(words)
+            for w in range(1, longest + 1):
+                for k in range(len(words) - w + 1):
+                    counts[lang or "und", b" ".join(words[k : k + w])] += 1
+    return {key: n for key, n in counts.items() if n}
+
+
+def plain_collocations(rows, longest=3, min_count=10, top=2000):
+    counts = plain_counts(rows, longest)
+    found = {}
+    for (lang, phrase), a in counts.items():
+        words = phrase.split(b" ")
+        if a < min_count or len(words) < 2:
+            continue
+        cuts = []
+        for k in range(1, len(words)):
+            l, r = counts[lang, b" ".join(words[:k])], counts[lang, b" ".join(words[k:])]
+            cuts.append((1_000_000 * a * a // (l * r), k, l, r))
+        found[lang, phrase] = (a, *min(cuts))
+    dropped = set()
+    for (lang, phrase), (around, *_) in found.items():
+        words = phrase.split(b" ")
+        for w in range(2, len(words)):
+            for k in range(len(words) - w + 1):
+                part = lang, b" ".join(words[k : k + w])
+                if 100 * around >= 50 * found[part][0]:
+                    dropped.add(part)
+    out = []
+    for lang in {key[0] for key in found}:
+        kept = sorted((-f[1], -f[0], p, f) for (g, p), f in found.items() if g == lang and (g, p) not in dropped)
+        for rank, (_, _, p, (a, score, _, l, r)) in enumerate(kept[:top], 1):
+            out.append((lang, rank, p.decode(), a, l, r, counts[lang, b""], score))
+    return sorted(out)
+
+
+def texts(seed, n=120):
+    rng = random.Random(seed)
+    words = ["the", "of", "é", "Ab", "x1", "#", "e f"] + [f"w{k}" for k in range(30)]
+    out = []
+    for _ in range(n):
+        said = [rng.choice(["new york city", "of the", rng.choice(words), rng.choice(words) + rng.choice(" .,;:!?\n\t\x0b\x0c\r")]) for _ in range(60)]
+        out.append((rng.choice(["en", "fr", None, "und"]), " ".join(said)))
+    return out + [("en", None), ("de", ""), ("de", " \t\n"), ("en", "one " * 500), (None, None), out[0], out[0]]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(k, *r, 1) for k, r in enumerate(rows)], "doc_id long, lang string, text string, n long").repartition(3)
+
+
+@pytest.mark.parametrize("burst, spill", [(2048, 400_000), (1, 50), (3, 1)])
+def test_counts_do_not_depend_on_bursts_and_spills(spark, burst, spill):
+    rows = texts(burst)
+    found = phrase_counts(frame(spark, rows), burst=burst, spill=spill).collect()
+    assert {(r.lang, r.phrase.encode()): r.n for r in found} == plain_counts(rows) and len(found) == len(plain_counts(rows))
+
+
+@pytest.mark.parametrize("longest, top", [(3, 2000), (4, 2000), (2, 5)])
+def test_collocations_are_those_of_plain_python(spark, longest, top):
+    rows = texts(7)
+    found = collocations(frame(spark, rows), longest=longest, top=top, burst=4, spill=200).collect()
+    assert sorted(map(tuple, found)) == plain_collocations(rows, longest, top=top)
+    assert len(found) > 10
+
+
+def test_no_phrase_is_frequent(spark):
+    schema = "text string, lang string, phrase string"
+    assert collocations(spark.createDataFrame([], schema)).collect() == []
+    assert collocations(spark.createDataFrame([(None, None, "x"), ("a b", "en", None)], schema)).collect() == []
+
+
+def test_products_beyond_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    big = 3_000_000_000
+    row = spark.createDataFrame([(big, big + 1, big)], "a long, l long, r long").select(
+        F.expr("(1000000 * CAST(a AS DECIMAL(20,0)) * CAST(a AS DECIMAL(20,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
+    )
+    assert row.first()[0] == 1_000_000 * big * big // ((big + 1) * big)
+
+
+def test_trie_bursts_and_gives_whole_subtrees():
+    trie = Trie(3, burst=2)
+    for _ in range(2):
+        trie.add([1, 2, 3, 1, 2, 4, 1, 2, 5, 1, 3])
+    names = [b"", b"a", b"b", b"c", b"d", b"e"]
+    assert dict(_run(trie, 1, names)) == {b"a": 8, b"a b": 6, b"a b c": 2, b"a b d": 2, b"a b e": 2, b"a c": 2}
+    assert 1 not in trie.roots and trie.size() == 3 + 1 + 1 + 2
+
+
+def test_query_over_the_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.lang, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted(map(tuple, QUERIES["op11_phrases"](spark, sf).collect())) == plain_collocations(rows)
