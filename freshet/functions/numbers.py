@@ -6,6 +6,7 @@ Text arguments are column names or SQL expressions.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -136,6 +137,39 @@ def bootstrap_rank(n: int, r: int, level: float) -> int:
     return low - 1
 
 
+def bca_levels(n: int, below: int, upto: int, acceleration: float, tail: float) -> tuple[float, float]:
+    """The levels of the bootstrap distribution at which bias-corrected, accelerated bounds of a median lie.
+
+    ``below`` and ``upto`` count the rows below the median and up to it.
+    """
+    chances = [_chance_at_least(n, r, k / n) for r in ((n + 1) // 2, n // 2 + 1) for k in (below, upto) if k]
+    share = min(max(sum(chances) / 4, 1e-300), 1 - 1e-16)
+    normal = NormalDist()
+    bias = normal.inv_cdf(share)
+
+    def level(z: float) -> float:
+        room = 1 - acceleration * (bias + z)
+        return normal.cdf(bias + (bias + z) / room) if room > 0 else float(z > 0)
+
+    return level(normal.inv_cdf(tail)), level(normal.inv_cdf(1 - tail))
+
+
+def bca_ranks(size: str, below: str, upto: str, acceleration: str, tail: float) -> Column:
+    """``struct<low, high>``: 0-based ranks of the rows at the levels of :func:`bca_levels`."""
+    workers.ship(SparkSession.active())
+
+    @F.arrow_udf(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
+    def ranks(sizes: pa.Array, belows: pa.Array, uptos: pa.Array, accelerations: pa.Array) -> pa.Array:
+        low, high = [], []
+        for n, lt, le, a in zip(*(x.to_pylist() for x in (sizes, belows, uptos, accelerations))):
+            first, last = bca_levels(n, lt, le, a, tail)
+            low.append(bootstrap_rank(n, (n + 1) // 2, first))
+            high.append(bootstrap_rank(n, n // 2 + 1, last))
+        return pa.StructArray.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["low", "high"])
+
+    return ranks(*[F.col(c).cast("long") for c in (size, below, upto)], F.col(acceleration))
+
+
 def median_ranks(size: str, tail: float) -> Column:
     """``struct<low, high>``: 0-based ranks of the rows that bound the median of ``size`` redrawn rows."""
     workers.ship(SparkSession.active())

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from freshet.functions import bins, pollutants, volumes
 from freshet.functions.numbers import sig_figs
-from freshet.operators import censored, hydro, samples, storms
+from freshet.operators import censored, hydro, resampling, samples, storms
 from freshet.operators.lineage import cut
 from freshet.operators.spread import quantiles
 from freshet.plans import charts, external, quality, reports, summaries
@@ -509,16 +509,17 @@ _STORM_DOUBLES = " ".join(c for c in storms.STORM_COLUMNS if c not in _STORM_KEY
 _RUNOFF = "CASE WHEN CAST(site AS INT) % 2 = 0 THEN pow(10, CAST(1.58 AS DOUBLE) + CAST(0.0169 AS DOUBLE) * total_precip_depth) ELSE greatest(0.0, CAST(12.05 AS DOUBLE) + CAST(2.873 AS DOUBLE) * total_precip_depth + CAST(0.863 AS DOUBLE) * duration_hours) END"
 
 
+_RUNOFF_NAMED = _RUNOFF.replace("CAST(site AS INT) % 2 = 0", "site IN ('2', '4')")
+
+
 @query(
     "storm_volumes_by_site",
-    final(f"(SELECT site, storm_number, {_RUNOFF} AS runoff_m3 FROM v_stats WHERE CAST(site AS INT) BETWEEN 1 AND 8)", "site storm_number", "runoff_m3"),
+    final(f"(SELECT site, storm_number, {_RUNOFF_NAMED} AS runoff_m3 FROM v_stats)", "site storm_number", "runoff_m3"),
 )
 def _(v: Views) -> DataFrame:
-    """Each site with the regression of its own kind."""
-    kinds = (volumes.power_volume(1.58, depth=0.0169), volumes.linear_volume(12.05, depth=2.873, duration=0.863))
-    equations = {str(site): kinds[site % 2] for site in range(1, 9)}
-    stats = v.storm_stats.where(F.col("site").isin(*equations))
-    return stats.select("site", "storm_number", volumes.by_site(equations).alias("runoff_m3"))
+    """Named sites with a regression of their own, every other site with the common one."""
+    power, linear = volumes.power_volume(1.58, depth=0.0169), volumes.linear_volume(12.05, depth=2.873, duration=0.863)
+    return v.storm_stats.select("site", "storm_number", volumes.by_site({"2": power, "4": power}, default=linear).alias("runoff_m3"))
 
 
 @query("storm_volumes_all_sites", final(f"(SELECT site, storm_number, {_RUNOFF} AS runoff_m3 FROM v_stats)", "site storm_number", "runoff_m3"))
@@ -949,6 +950,83 @@ def _(v: Views) -> DataFrame:
     return censored.bootstrap_median_bounds(_composites(v), _BOOT_BY.split())
 
 
+_BCA_POINTS = f"""SELECT {_BOOT_KEYS}, n, median, lt, le, n // 2 AS c, low_x, high_x, before_x, after_x FROM (
+        SELECT {_BOOT_KEYS}, n, quantile_cont(r, 0.5) AS median, max(r) FILTER (k = (n + 1) // 2) AS low_x, max(r) FILTER (k = n // 2 + 1) AS high_x,
+            max(r) FILTER (k = greatest((n + 1) // 2 - 1, 1)) AS before_x, max(r) FILTER (k = least(n // 2 + 2, n)) AS after_x
+        FROM boot_ranked GROUP BY ALL)
+    JOIN (SELECT {_BOOT_KEYS}, count(*) FILTER (r < m) AS lt, count(*) FILTER (r <= m) AS le
+        FROM (SELECT *, quantile_cont(r, 0.5) OVER (PARTITION BY {_BOOT_KEYS}) AS m FROM boot_ranked) GROUP BY ALL) USING ({_BOOT_KEYS})"""
+_Z = "1.959963984540054"
+
+
+def _cdf(z: str) -> str:
+    """Normal distribution at ``z``, by the series of odd powers over odd double factorials."""
+    term = f"exp((2 * i + 1) * ln(abs({z})) - (lgamma(2 * i + 2) - i * ln(2) - lgamma(i + 1)))"
+    return f"""CASE WHEN {z} = 0 THEN 0.5 ELSE 0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi())
+        * list_sum(list_transform(range(0, 200), lambda i: {term})) END"""
+
+
+@query(
+    "median_bounds_bca",
+    final("v_bca", f"{_BOOT_BY} n", "lower median upper acceleration"),
+    **_BOOT_ROS,
+    boot_ranked=f"""SELECT {_BOOT_KEYS}, r, row_number() OVER (PARTITION BY {_BOOT_KEYS} ORDER BY r) AS k,
+        count(*) OVER (PARTITION BY {_BOOT_KEYS}) AS n FROM ros""",
+    boot_sizes="SELECT DISTINCT n, (n + 1) // 2 AS low_r, n // 2 + 1 AS high_r FROM boot_ranked",
+    boot_chances="""SELECT n, k, sum(chance) FILTER (j >= low_r) AS low, sum(chance) FILTER (j >= high_r) AS high
+        FROM (SELECT n, low_r, high_r, k, j, exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / n)
+                + CASE WHEN k = n THEN CASE WHEN j = n THEN 0 ELSE -1e9 END ELSE (n - j) * ln(1 - k / n) END) AS chance
+            FROM (SELECT *, unnest(range(low_r, n + 1)) AS j FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM boot_sizes)))
+        GROUP BY n, k""",
+    bca_points=_BCA_POINTS,
+    bca_shares=f"""SELECT p.*, (coalesce(b.low, 0) + coalesce(b.high, 0) + coalesce(u.low, 0) + coalesce(u.high, 0)) / 4 AS share
+        FROM bca_points p LEFT JOIN boot_chances b ON b.n = p.n AND b.k = lt LEFT JOIN boot_chances u ON u.n = p.n AND u.k = le""",
+    bca_biased=oracle.normal_quantile("share", "bca_shares"),
+    bca_left=f"""SELECT {_BOOT_KEYS}, unnest(CASE WHEN n % 2 = 1 THEN [{{'m': (low_x + after_x) / 2, 'c': c}}, {{'m': (before_x + low_x) / 2, 'c': c}},
+            {{'m': (before_x + after_x) / 2, 'c': 1}}] ELSE [{{'m': high_x, 'c': c}}, {{'m': low_x, 'c': c}}] END, recursive := true), median FROM bca_biased""",
+    bca_moved=f"""SELECT {_BOOT_KEYS}, CASE WHEN sum(d * d * c) > pow(max(median) * 1e-9, 2) AND sum(c) > 2 THEN sum(d * d * d * c) / (6 * pow(sum(d * d * c), 1.5)) ELSE 0 END AS a
+        FROM (SELECT *, sum(m * c) OVER (PARTITION BY {_BOOT_KEYS}) / sum(c) OVER (PARTITION BY {_BOOT_KEYS}) - m AS d FROM bca_left) GROUP BY ALL""",
+    bca_points_z=f"""SELECT *, z + (z - {_Z}) / (1 - a * (z - {_Z})) AS z_low, z + (z + {_Z}) / (1 - a * (z + {_Z})) AS z_high
+        FROM bca_biased JOIN bca_moved USING ({_BOOT_KEYS})""",
+    bca_levels=f"SELECT *, {_cdf('z_low')} AS p_low, {_cdf('z_high')} AS p_high FROM bca_points_z",
+    bca_ranks=f"""SELECT {_BOOT_KEYS}, min(k) FILTER (low >= p_low) AS low_k, min(k) FILTER (high >= p_high) AS high_k
+        FROM bca_levels JOIN boot_chances USING (n) GROUP BY ALL""",
+    v_bca=f"""SELECT {_BOOT_KEYS}, p.n, max(r) FILTER (k = low_k) AS lower, median, max(r) FILTER (k = high_k) AS upper, a AS acceleration
+        FROM bca_levels p JOIN bca_ranks USING ({_BOOT_KEYS}) JOIN boot_ranked USING ({_BOOT_KEYS}) GROUP BY {_BOOT_KEYS}, p.n, median, a""",
+)
+def _(v: Views) -> DataFrame:
+    return resampling.bca_median_bounds(_composites(v), _BOOT_BY.split())
+
+
+_POISSON = " ".join(f"WHEN g < {limit} THEN {k}" for k, limit in enumerate(resampling.poisson_limits()))
+_POISSON = f"CASE {_POISSON} ELSE {len(resampling.poisson_limits())} END"
+_RESAMPLED = "primary_landuse, parameter, season"
+_RESAMPLED_STATS = {"mean": "mean", "cov": "cov", "p90": 0.9}
+_RESAMPLED_BOUNDS = ", ".join(
+    f"quantile_cont({k}, {p}) AS {k}_{side}" for k in _RESAMPLED_STATS for side, p in (("lower", resampling.TAIL), ("upper", 1 - resampling.TAIL))
+)
+
+
+@query(
+    "bootstrap_statistics",
+    final(
+        f"""(SELECT * FROM (SELECT {_RESAMPLED}, count(*) AS n, avg(v) AS mean, stddev_samp(v) / nullif(avg(v), 0) AS cov, quantile_cont(v, 0.9) AS p90
+                FROM boot_rows GROUP BY ALL)
+            JOIN (SELECT {_RESAMPLED}, {_RESAMPLED_BOUNDS} FROM boot_replicates GROUP BY ALL) USING ({_RESAMPLED}))""",
+        f"{_RESAMPLED.replace(',', '')} n",
+        " ".join(f"{k}{side}" for k in _RESAMPLED_STATS for side in ("", "_lower", "_upper")),
+    ),
+    boot_rows=f"""SELECT {_RESAMPLED}, res AS v, md5('{resampling.SEED}:' || {resampling.row_key(["row_id"]).format(text="VARCHAR")}) AS h
+        FROM v_landuse_raw WHERE res IS NOT NULL AND parameter IS NOT NULL""",
+    boot_draws=f"""SELECT {_RESAMPLED}, v, b, (('0x' || h[1:8])::BIGINT + b * ('0x' || h[9:16])::BIGINT) % {resampling.PRIME} AS g
+        FROM boot_rows, range({resampling.REPLICATES}) t(b)""",
+    boot_replicates=f"""SELECT {_RESAMPLED}, b, avg(v) AS mean, stddev_samp(v) / nullif(avg(v), 0) AS cov, quantile_cont(v, 0.9) AS p90
+        FROM (SELECT *, unnest(range({_POISSON})) FROM boot_draws) GROUP BY ALL""",
+)
+def _(v: Views) -> DataFrame:
+    return resampling.bootstrap_bounds(v.landuse_raw, _RESAMPLED.split(", "), "res", _RESAMPLED_STATS, ["row_id"])
+
+
 _SITE_SEASON_ROS = oracle.ros(_WQ_COMPOSITES, "site parameter units season", "concentration", "qualifier = '<'")
 _SITE_LOAD_ROS = oracle.ros(_WQ_COMPOSITES, "site parameter load_units year", "load_outflow", "qualifier = '<'")
 
