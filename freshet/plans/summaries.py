@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from freshet.functions import options
 from freshet.functions.numbers import pct_reduction, ratio, sig_figs
-from freshet.operators.lineage import broadcast_if_small
+from freshet.operators.lineage import broadcast_if_small, cut
 from freshet.operators.spread import (
     GROUP_ROWS,
     count_values,
@@ -75,21 +76,55 @@ GROUPINGS = {
 }
 
 
-def _by(fixed: Sequence[str], groupby_col: str | None, extra: Sequence[str] = ()) -> list[str]:
-    """Group keys of a report: its own, a time group, and those that :func:`at_groupings` adds."""
+def _by(fixed: Sequence[str], groupby_col: str | None) -> list[str]:
+    """Group keys of a report: its own and a time group."""
     time = options.time_group(groupby_col)
-    return [*fixed, *([time] if time else []), *extra]
+    return [*fixed, *([time] if time else [])]
 
 
-def prevalence_counts(
-    wq: DataFrame, rescol: str = "concentration", groupby_col: str | None = None, extra: Sequence[str] = ()
+def _times(groupings: dict[str, str | None] | None) -> list[str]:
+    return list(dict.fromkeys(c for c in (groupings or GROUPINGS).values() if c))
+
+
+def roll_up(
+    finest: DataFrame, by: Sequence[str], sums: Sequence[str], groupings: dict[str, str | None] | None = None
 ) -> DataFrame:
+    """Sums at the finest key, rolled up to every grouping.
+
+    ``finest`` has ``sums`` per ``by`` and time columns of the ``groupings``,
+    and is cheap to read again (see :func:`freshet.operators.lineage.cut`).
+    Each grouping gives rows with the keys ``grouping`` and ``group_value``: the
+    time column's value as text, "All" overall. A row counts in every grouping
+    whose value it has. What is read per grouping are sums, not rows.
+    """
+    levels = []
+    for name, column in (groupings or GROUPINGS).items():
+        level = finest if column is None else finest.filter(F.col(column).isNotNull())
+        value = F.lit("All") if column is None else F.col(column).cast("string")
+        keyed = level.select(*by, F.lit(name).alias("grouping"), value.alias("group_value"), *sums)
+        levels.append(keyed.groupBy(*by, "grouping", "group_value").agg(*[F.sum(c).alias(c) for c in sums]))
+    return reduce(DataFrame.unionAll, levels)
+
+
+_CELL = ["grouping", "group_value"]
+
+
+def prevalence_counts(wq: DataFrame, rescol: str = "concentration", groupby_col: str | None = None) -> DataFrame:
     """Composite results per site [and time] and parameter, whatever parameters there are."""
-    by = _by(["site"], groupby_col, extra)
+    by = _by(["site"], groupby_col)
     composite = drop_null_keys(wq.filter(F.col("sampletype") == "composite"), [*by, "parameter"])
     return composite.groupBy(*by, "parameter").agg(F.count(rescol).alias("n"))
 
 
+def prevalence_at_groupings(
+    wq: DataFrame, rescol: str = "concentration", groupings: dict[str, str | None] | None = None
+) -> DataFrame:
+    """:func:`prevalence_counts` at several temporal groupings, from one count (see :func:`roll_up`)."""
+    composite = drop_null_keys(wq.filter(F.col("sampletype") == "composite"), ["site", "parameter"])
+    finest = composite.groupBy("site", "parameter", *_times(groupings)).agg(F.count(rescol).alias("n"))
+    return roll_up(cut(finest), ["site", "parameter"], ["n"], groupings).select("site", *_CELL, "parameter", "n")
+
+
 def prevalence_table(
     wq: DataFrame,
     rescol: str = "concentration",
@@ -135,31 +170,39 @@ def load_reduction_pct(
     load_inflow_upper: str = "load_inflow_upper",
     load_outflow_lower: str = "load_outflow_lower",
     load_outflow_upper: str = "load_outflow_upper",
-    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Percent load reduction of summed loads.
 
     The lower bound sets the low influent against the high effluent, the
     upper bound the reverse. Groups without all three values are left out.
     """
-    by = _by(["site", "parameter", "load_units"], groupby_col, extra)
+    by = _by(["site", "parameter", "load_units"], groupby_col)
     cols = {
         "_in": load_inflow, "_in_lo": load_inflow_lower, "_in_hi": load_inflow_upper,
         "_out": load_outflow, "_out_lo": load_outflow_lower, "_out_hi": load_outflow_upper,
     }
-    return (
-        drop_null_keys(wq, by)
-        .groupBy(*by)
-        .agg(*[F.sum(c).alias(a) for a, c in cols.items()], F.count(F.lit(1)).alias("count"))
-        .select(
-            *by,
-            pct_reduction("_in", "_out").alias("load_red"),
-            pct_reduction("_in_lo", "_out_hi").alias("load_red_lower"),
-            pct_reduction("_in_hi", "_out_lo").alias("load_red_upper"),
-            "count",
-        )
-        .na.drop(subset=["load_red", "load_red_lower", "load_red_upper"])
+    sums = drop_null_keys(wq, by).groupBy(*by).agg(*[F.sum(c).alias(a) for a, c in cols.items()], F.count(F.lit(1)).alias("count"))
+    return _reduction_pct(sums, by)
+
+
+def load_reduction_at_groupings(wq: DataFrame, groupings: dict[str, str | None] | None = None) -> DataFrame:
+    """:func:`load_reduction_pct` at several temporal groupings, from one summation (see :func:`roll_up`)."""
+    by = ["site", "parameter", "load_units"]
+    cols = {f"_{side}{short}": f"load_{side}flow{bound}" for side in ("in", "out") for short, bound in (("", ""), ("_lo", "_lower"), ("_hi", "_upper"))}
+    finest = drop_null_keys(wq, by).groupBy(*by, *_times(groupings)).agg(
+        *[F.sum(c).alias(a) for a, c in cols.items()], F.count(F.lit(1)).alias("count")
     )
+    return _reduction_pct(roll_up(cut(finest), by, [*cols, "count"], groupings), [*by, *_CELL])
+
+
+def _reduction_pct(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    return sums.select(
+        *by,
+        pct_reduction("_in", "_out").alias("load_red"),
+        pct_reduction("_in_lo", "_out_hi").alias("load_red_lower"),
+        pct_reduction("_in_hi", "_out_lo").alias("load_red_upper"),
+        "count",
+    ).na.drop(subset=["load_red", "load_red_lower", "load_red_upper"])
 
 
 def reduction_ranges(reductions: DataFrame, parameters: Sequence[str]) -> DataFrame:
@@ -226,29 +269,63 @@ def storm_stats(
     groupby_col: str | None = None,
     exclude_keys: Sequence[str] = ("storm_number",),
     group_rows: int = GROUP_ROWS,
-    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Descriptive statistics of every numeric storm quantity, one row each.
 
     Storms must exceed ``minprecip``. A ``year`` kept as a number is described
     like any other quantity; the storm number is not.
     """
-    by = _by(["site"], groupby_col, extra)
+    by = _by(["site"], groupby_col)
+    long = _quantities(hydro, by, by, minprecip, excluded_dates, exclude_keys)
+    return _describe(long, [*by, "quantity"], "value", _STORM_POINTS, group_rows)
+
+
+def storm_stats_at_groupings(
+    hydro: DataFrame,
+    minprecip: float = 0,
+    excluded_dates: object = None,
+    exclude_keys: Sequence[str] = ("storm_number",),
+    group_rows: int = GROUP_ROWS,
+    groupings: dict[str, str | None] | None = None,
+) -> DataFrame:
+    """:func:`storm_stats` at several temporal groupings, from one count of values (see :func:`roll_up`)."""
+    times = _times(groupings)
+    long = _quantities(hydro, ["site", *times], ["site"], minprecip, excluded_dates, exclude_keys)
+    return _describe_at_groupings(long, ["site", "quantity"], "value", _STORM_POINTS, group_rows, {}, groupings)
+
+
+_STORM_POINTS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
+def _quantities(
+    hydro: DataFrame, keys: Sequence[str], known: Sequence[str], minprecip: float, excluded_dates: object, exclude_keys: Sequence[str]
+) -> DataFrame:
+    """Storms over ``minprecip`` as rows of ``quantity`` and ``value``; the ``known`` keys are not null."""
     numeric = [
         f.name
         for f in hydro.schema.fields
-        if isinstance(f.dataType, T.NumericType) and f.name not in {*by, "storm_number"}
+        if isinstance(f.dataType, T.NumericType) and f.name not in {*keys, "storm_number"}
     ]
     kept = drop_null_keys(
         exclude_storms(hydro, excluded_dates, "start_date", exclude_keys).filter(
             F.col("total_precip_depth") > minprecip
         ),
-        by,
+        known,
+    )
+    return kept.select(*keys, *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
+        list(keys), numeric, "quantity", "value"
     )
-    long = kept.select(*by, *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
-        by, numeric, "quantity", "value"
+
+
+def _describe_at_groupings(
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], group_rows: int, counters: dict[str, Column], groupings: dict[str, str | None] | None
+) -> DataFrame:
+    """:func:`_describe` at several groupings: values are counted once, with all time columns."""
+    finest = drop_null_keys(df, by).groupBy(*by, *_times(groupings), value).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in counters.items()]
     )
-    return _describe(long, [*by, "quantity"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, group_rows)
+    counted = cut(roll_up(cut(finest), [*by, value], ["n", *counters], groupings))
+    return _describe_counted(counted, [*by, *_CELL], value, probs, group_rows, list(counters))
 
 
 def _describe(
@@ -265,11 +342,17 @@ def _describe(
     comes from those. Deviations are taken from the mean before squaring.
     """
     counted = count_values(df, by, value, counters)
+    return _describe_counted(counted, by, value, probs, group_rows, list(counters or {}))
+
+
+def _describe_counted(
+    counted: DataFrame, by: list[str], value: str, probs: dict[str, float], group_rows: int, counters: Sequence[str]
+) -> DataFrame:
     known = F.when(F.col(value).isNotNull(), F.col("n"))
     basic = broadcast_if_small(
         counted.groupBy(*by).agg(
             F.coalesce(F.sum(known), F.lit(0)).alias("count"),
-            *[F.sum(c).alias(c) for c in counters or {}],
+            *[F.sum(c).alias(c) for c in counters],
             ratio(F.sum(F.col(value) * F.col("n")), F.sum(known).cast("double")).alias("mean"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),
@@ -292,60 +375,60 @@ def _describe(
     )
 
 
+_WQ_POINTS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+
 def wq_summary(
     wq: DataFrame,
     rescol: str = "concentration",
     sampletype: str = "composite",
     groupby_col: str | None = None,
     group_rows: int = GROUP_ROWS,
-    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Concentration or load statistics per site, parameter [and time].
 
     Any qualifier but ``=`` counts as a non-detect, a missing one included.
     """
     rescol, unitscol = options.result_column(rescol)
-    by = _by(["site", "parameter", unitscol], groupby_col, extra)
-    rows = drop_null_keys(wq.filter(F.col("sampletype") == options.sample_type(sampletype)), by)
-    nondetects = {"count_nds": (~F.col("qualifier").eqNullSafe(F.lit("="))).cast("bigint")}
-    probs = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    stats = _describe(rows, by, rescol, probs, group_rows, nondetects)
+    by = _by(["site", "parameter", unitscol], groupby_col)
+    stats = _describe(_of_type(wq, sampletype, by), by, rescol, _WQ_POINTS, group_rows, _nondetects())
     return stats.withColumn("cov", ratio(F.col("std"), F.col("mean"))).select(*by, *WQ_SUMMARY_HEADINGS)
 
 
-def load_totals(
-    wq: DataFrame, groupby_col: str | None = None, na_value: float | None = 0.0, extra: Sequence[str] = ()
+def wq_summary_at_groupings(
+    wq: DataFrame,
+    rescol: str = "concentration",
+    sampletype: str = "composite",
+    group_rows: int = GROUP_ROWS,
+    groupings: dict[str, str | None] | None = None,
 ) -> DataFrame:
+    """:func:`wq_summary` at several temporal groupings, from one count of values (see :func:`roll_up`)."""
+    rescol, unitscol = options.result_column(rescol)
+    by = ["site", "parameter", unitscol]
+    stats = _describe_at_groupings(_of_type(wq, sampletype, by), by, rescol, _WQ_POINTS, group_rows, _nondetects(), groupings)
+    return stats.withColumn("cov", ratio(F.col("std"), F.col("mean"))).select(*by, *_CELL, *WQ_SUMMARY_HEADINGS)
+
+
+def _of_type(wq: DataFrame, sampletype: str, by: Sequence[str]) -> DataFrame:
+    return drop_null_keys(wq.filter(F.col("sampletype") == options.sample_type(sampletype)), by)
+
+
+def _nondetects() -> dict[str, Column]:
+    return {"count_nds": (~F.col("qualifier").eqNullSafe(F.lit("="))).cast("bigint")}
+
+
+def load_totals(wq: DataFrame, groupby_col: str | None = None, na_value: float | None = 0.0) -> DataFrame:
     """Summed loads with reductions in mass and percent, and their bounds.
 
     Sums without any load become ``na_value``; None leaves them null. A
     reduction of a zero influent load has no percentage.
     """
-    by = _by(["site", "parameter", "sampletype", "has_outflow", "load_units"], groupby_col, extra)
+    by = _by(["site", "parameter", "sampletype", "has_outflow", "load_units"], groupby_col)
     total = (lambda c: F.sum(c)) if na_value is None else (lambda c: F.coalesce(F.sum(c), F.lit(float(na_value))))
     sums = drop_null_keys(wq, by).groupBy(*by).agg(*[total(c).alias(c) for c in LOADS])
     return load_reductions(sums).select(*by, *LOAD_TOTAL_HEADINGS)
 
 
-def at_groupings(
-    report: Callable[..., DataFrame], df: DataFrame, groupings: dict[str, str | None] | None = None, **options
-) -> DataFrame:
-    """One report at several temporal groupings, from one scan.
-
-    The report gets the keys ``grouping`` and ``group_value``: a row counts in
-    every grouping whose value it has, under that value as text ("All" overall).
-    """
-    cells = F.array(
-        *[
-            F.struct(F.lit(name).alias("grouping"), (F.lit("All") if c is None else F.col(c).cast("string")).alias("group_value"))
-            for name, c in (groupings or GROUPINGS).items()
-        ]
-    )
-    grouped = df.withColumn("_cell", F.explode(F.filter(cells, lambda c: c["group_value"].isNotNull())))
-    keyed = grouped.select(*df.columns, "_cell.grouping", "_cell.group_value")
-    return report(keyed, extra=("grouping", "group_value"), **options)
-
-
 def load_totals_at_groupings(
     wq: DataFrame, time_columns: Sequence[str] = ("year", "season", "grouped_season", "storm_bin"), na_value: float = 0.0
 ) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tidy tables, summaries, external data, plot and report tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,15 +159,64 @@ def test_load_totals_reproduce_known_reductions(spark):
 def test_groupings_in_one_pass_equal_the_single_reports(spark):
     df = totals_input(spark)
     one = summaries.load_totals_at_groupings(df)
-    many = summaries.at_groupings(summaries.load_totals, df)
-    names = {"overall": "Overall", "year": "By Year", "season": "By Season", "grouped_season": "By Grouped Season", "storm_bin": "By Storm Size"}
-    for tag, name in names.items():
+    for tag, column in {"overall": None, "year": "year", "season": "season", "grouped_season": "grouped_season"}.items():
         a = one.filter(F.col("grouping") == tag).select("site", "load_inflow", "reduct_pct").orderBy("site").collect()
-        b = many.filter(F.col("grouping") == name).select("site", "load_inflow", "reduct_pct").orderBy("site").collect()
+        b = summaries.load_totals(df, column).select("site", "load_inflow", "reduct_pct").orderBy("site").collect()
         assert [tuple(r) for r in a] == [tuple(r) for r in b]
     assert one.filter("grouping = 'storm_bin'").count() == 0  # its key is unknown everywhere
 
 
+def grouped_input(spark):
+    rng, rows = random.Random(2), []
+    for k in range(600):
+        season = rng.choice(["winter", "spring", "summer", None])
+        rows.append((
+            rng.choice(["A", "B", None]), rng.choice(["Zn", "Cu"]), "ug/L", "g", rng.choice(["composite", "grab"]), rng.choice(["=", "<", None]),
+            rng.choice([None, 1.0, 2.0, 2.5, rng.random()]), season, season and f"{season}+", rng.choice(["2012", "2013"]),
+            None if k % 2 else rng.choice(["small", "large"]), k, 5.0 + k % 3, *(rng.random() for _ in range(6)),
+        ))
+    loads = ", ".join(f"load_{side}{b} double" for side in ("inflow", "outflow") for b in ("_lower", "", "_upper"))
+    return spark.createDataFrame(
+        rows, "site string, parameter string, units string, load_units string, sampletype string, qualifier string, concentration double, "
+        f"season string, grouped_season string, year string, storm_bin string, storm_number int, total_precip_depth double, {loads}"
+    ).withColumn("start_date", F.lit("2012-01-01").cast("timestamp"))
+
+
+REPORTS = {
+    "prevalence": (summaries.prevalence_at_groupings, summaries.prevalence_counts),
+    "reduction": (summaries.load_reduction_at_groupings, summaries.load_reduction_pct),
+    "quality": (summaries.wq_summary_at_groupings, summaries.wq_summary),
+    "storms": (lambda df: summaries.storm_stats_at_groupings(df, 5.5), lambda df, groupby_col: summaries.storm_stats(df, 5.5, None, groupby_col)),
+}
+
+
+@pytest.mark.parametrize("report", REPORTS)
+def test_rolled_up_groupings_equal_the_single_reports(spark, report):
+    df = grouped_input(spark)
+    all_at_once, single = REPORTS[report]
+    found = all_at_once(df)
+    names = [c for c in found.columns if c not in ("grouping", "group_value")]
+    rows = found.collect()
+    assert {r.grouping for r in rows} == set(summaries.GROUPINGS)
+
+    def key(values):
+        return tuple(round(v, 9) if isinstance(v, float) else v for v in values)
+
+    for name, column in summaries.GROUPINGS.items():
+        mine = sorted(repr((r.group_value, *key(r[c] for c in names))) for r in rows if r.grouping == name)
+        theirs = single(df, groupby_col=column).collect()
+        assert mine == sorted(repr((r[column] if column else "All", *key(r[c] for c in names))) for r in theirs), name
+    assert all_at_once(df.limit(0)).count() == 0
+
+
+def test_rows_are_not_multiplied_by_the_groupings(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(summaries, "cut", lambda df: counted.append(df) or df)
+    summaries.prevalence_at_groupings(grouped_input(spark))
+    plan = counted[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan and "Union" not in plan
+
+
 def test_storm_stats_describe(spark):
     # --- fixed values: known storms and their statistics ---
     rows = """2,3.1041,2011-07-28 08:30,2.000,6.0,5.0000,16.4213

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.functions import bins, pollutants, volumes
+from freshet.functions import bins, clock, pollutants, volumes
 from freshet.functions.numbers import sig_figs
-from freshet.operators import censored, hydro, resampling, samples, storms
+from freshet.operators import censored, hydro, resampling, samples, sketches, storms
 from freshet.operators.lineage import cut
 from freshet.operators.spread import quantiles
 from freshet.plans import charts, external, quality, reports, summaries
@@ -295,7 +295,7 @@ _GROUP_KEYS = "grouping group_value"
     **_GROUPED,
 )
 def _(v: Views) -> DataFrame:
-    return summaries.at_groupings(summaries.prevalence_counts, _sized(v))
+    return summaries.prevalence_at_groupings(_sized(v))
 
 
 @query(
@@ -307,12 +307,12 @@ def _(v: Views) -> DataFrame:
     **_GROUPED,
 )
 def _(v: Views) -> DataFrame:
-    return summaries.at_groupings(summaries.load_reduction_pct, _sized(v))
+    return summaries.load_reduction_at_groupings(_sized(v))
 
 
 @query("wq_summary_at_groupings", _wq_summary_sql("concentration", "units", _GROUP_KEYS, "v_grouped"), **_GROUPED)
 def _(v: Views) -> DataFrame:
-    return summaries.at_groupings(summaries.wq_summary, _sized(v))
+    return summaries.wq_summary_at_groupings(_sized(v))
 
 
 @query(
@@ -322,7 +322,7 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     sized = bins.classify_storms(v.storms, "total_precip_depth", "storm_bin").drop("storm_bin_idx")
-    return summaries.at_groupings(summaries.storm_stats, sized, minprecip=1.9999, excluded_dates=EXCLUDED)
+    return summaries.storm_stats_at_groupings(sized, 1.9999, EXCLUDED)
 
 
 _WINSOR = """SELECT * REPLACE (least(greatest(duration_hours, lo), hi) AS duration_hours) FROM (SELECT s.*, b.lo, b.hi
@@ -395,6 +395,29 @@ def _(v: Views) -> DataFrame:
     return summaries.sample_counts(v.wq, SEASONS)
 
 
+_SKETCHED = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+_SKETCH_BY = ["site", "parameter", "units", "season"]
+
+
+@query(
+    "sketched_percentiles_by_season",
+    final(
+        f"""(SELECT {", ".join(_SKETCH_BY)}, count(*) AS n, min(concentration) AS min, max(concentration) AS max,
+            {", ".join(f"true AS {p}_near" for p in _SKETCHED)} FROM v_wq
+        WHERE sampletype = 'composite' AND parameter IS NOT NULL AND concentration IS NOT NULL GROUP BY ALL)""",
+        f"{' '.join(_SKETCH_BY)} n {' '.join(f'{p}_near' for p in _SKETCHED)}", "min max",
+    ),
+)
+def _(v: Views) -> DataFrame:
+    """Sketches by site and day, rolled up to seasons; a percentile is near if its rank is off by twice the usual error at most."""
+    rows = v.wq.filter("sampletype = 'composite'")
+    daily = cut(sketches.sketch_values(rows, _SKETCH_BY[:3], "concentration")).withColumn("season", clock.season("day"))
+    found = cut(sketches.approx_percentiles(sketches.merge_sketches(daily, _SKETCH_BY), _SKETCH_BY, _SKETCHED))
+    errors = sketches.rank_errors(rows, _SKETCH_BY, "concentration", found, _SKETCHED)
+    near = [(F.col(p) <= 2 * sketches.rank_error()).alias(f"{p}_near") for p in _SKETCHED]
+    return found.select(*_SKETCH_BY, "n", "min", "max").join(errors.select(*_SKETCH_BY, *near), _SKETCH_BY)
+
+
 _MEDIANS = """(SELECT season, parameter, units, quantile_cont(concentration, 0.5) AS median FROM v_wq
     WHERE sampletype = 'composite' AND parameter IS NOT NULL AND concentration IS NOT NULL GROUP BY ALL)"""
 
