@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import language, line_dedup, pieces, similar
+from freshet.llm import language, line_dedup, pieces, simhash
 from freshet.llm.common import table, written
 from freshet.llm.queries import mixed
 
@@ -25,8 +25,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of their five-word shingles, or more) stays."""
-    return similar.keep_one(docs)
+    """One document of each group whose fingerprints are linked stays, the one with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
