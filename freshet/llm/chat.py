@@ -91,13 +91,15 @@ def rendered(role: Column, text: Column) -> Column:
 def format_chats(
     log: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """``(conv, part, n_turns, n_logged, chat)``: maximal conversations as chat text.
-
-    A conversation is one row per block of turn numbers, in the order of
-    ``part``: a single row unless turns are numbered beyond ``BLOCK``. The
-    parts joined are the whole text. Null roles and texts are rendered as
-    empty but differ from empty ones; rows without an id are one conversation;
-    repeated rows count once. An empty log gives an empty table.
+    """``(conv, part, n_turns, n_logged, chat)``: maximal conversations as chat text, one row each.
+
+    Blocks of turn numbers are sorted and rendered on their own and joined in
+    their order, so what a task sorts is a block, however long a conversation;
+    ``part`` is 0. Null roles and texts are rendered as empty but differ from
+    empty ones; rows without an id are one conversation, and turns without a
+    number come first, as one block; repeated rows count once. An empty log
+    gives an empty table. A conversation is one text, so it has to fit into a
+    row, the one of the rows without an id too.
     """
     picked = log.select(
         F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"),
@@ -111,5 +113,6 @@ def format_chats(
     parts = turns.groupBy("conv", "n_turns", "n_logged", _blocked(F.col("turn")).alias("block")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_set(order)), lambda t: t["said"]), "").alias("chat")
     )
-    by_conv = Window.partitionBy("conv").orderBy("block")
-    return parts.select("conv", (F.row_number().over(by_conv) - 1).alias("part"), "n_turns", "n_logged", "chat")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "chat"))), lambda b: b["chat"]), "")
+    chats = parts.groupBy("conv", "n_turns", "n_logged").agg(whole.alias("chat"))
+    return chats.select("conv", F.lit(0).alias("part"), "n_turns", "n_logged", "chat")

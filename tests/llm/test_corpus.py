@@ -138,5 +138,5 @@ def test_stages_keep_the_columns_of_documents(spark):
 
 def test_queries_are_registered_once_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)

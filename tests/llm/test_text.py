@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, html_text, language, quality
+from freshet.llm import chat, html_text, language, quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,17 +91,35 @@ def logged(seed):
 
 
 def test_chats(spark):
-    rows = logged(3)
+    rows = logged(3)  # turns 510 and on lie in two blocks
     log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv string")
-    parts = defaultdict(list)
-    for x in chat.format_chats(log).collect():
-        parts[x["conv"], x["n_turns"], x["n_logged"]].append((x["part"], x["chat"]))
-    got = [(*key, "".join(c for _, c in sorted(ps))) for key, ps in parts.items()]
+    got = [(x["conv"], x["n_turns"], x["n_logged"], x["chat"]) for x in chat.format_chats(log).collect()]
     assert sorted(got, key=repr) == brute_chats(rows)
-    assert any(len(ps) > 1 for ps in parts.values())  # turns 510 and on lie in two blocks
     assert chat.format_chats(log.where("turn > 9999")).collect() == []
 
 
+def test_a_long_conversation_is_one_row(spark):
+    """A conversation over many blocks, a snapshot of it, and one that leaves it late."""
+    turns = [(k, ["user", "assistant"][k % 2], f"turn {k} " + "x" * (k % 7)) for k in range(5000)]
+    rows = [(1, *t, "") for t in turns] + [(2, *t, "") for t in turns[:600]] + [(3, *t, "") for t in turns[:599]] + [(3, 599, "user", "else", ""), (4, *turns[0], "")]
+    log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, x string").repartition(3)
+    got = [(x["conv"], x["n_turns"], x["n_logged"], x["chat"]) for x in chat.format_chats(log).collect()]
+    assert sorted(got) == brute_chats(rows) and [g[1] for g in sorted(got)] == [5000, 600]
+
+
+def test_long_conversations_equal_the_sql(spark, tmp_path):
+    turns = [(k, ["user", "assistant"][k % 2], f"turn {k}") for k in range(600)]
+    rows = [(1, *t) for t in turns] + [(2, *t) for t in turns[:513]] + [(3, *turns[0]), (3, 1, None, "a"), (5, 700, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = queries.QUERIES["op6_chat_format"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    theirs = con.execute(queries.ORACLES["op6_chat_format"])
+    names = [d[0] for d in theirs.description]
+    assert sorted(names) == sorted(found.columns)
+    assert sorted(theirs.fetchall()) == sorted(tuple(r) for r in found.select(*names).collect())
+
+
 def test_chats_are_plain_dataframe_work(spark):
     log = spark.createDataFrame(logged(4), "conv_id long, turn long, role string, text string, x string")
     plan = chat.format_chats(log)._jdf.queryExecution().toString()
