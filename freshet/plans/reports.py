@@ -48,9 +48,9 @@ def wq_tables(tidy: DataFrame, standards: DataFrame, keys: tuple[str, ...] = ("s
     return (
         tidy.filter(F.col("parameter") != "Escherichia coli")
         .join(guideline, "parameter", "inner")
-        # equal numbers are merged before they are shuffled; different numbers may still have equal texts
+        # numbers are shuffled, not texts: they are written out by all tasks, and equal texts meet where they are written
         .select(*keys, "parameter", "units", "load_units", "_guideline", "detectionlimit", "concentration", "load_outflow")
-        .dropDuplicates()
+        .repartition(*keys, "parameter")
         .select(
             *keys,
             "parameter",

@@ -13,7 +13,7 @@ from freshet.functions.numbers import sig_figs
 from freshet.operators import censored, hydro, resampling, samples, sketches, storms
 from freshet.operators.lineage import cut
 from freshet.operators.spread import quantiles
-from freshet.plans import charts, external, quality, reports, summaries
+from freshet.plans import charts, curves, external, quality, reports, summaries
 from workload import oracle
 from workload.oracle import final
 from workload.views import GRID_MINUTES, LOADS, PARAMETERS, Views, with_views
@@ -1250,6 +1250,59 @@ def _(v: Views) -> DataFrame:
     return charts.ts_points(v.wq, "samplestart", "concentration", ["S0", "S2"], METALS)
 
 
+_THIN_COLUMNS = 40
+_PIXELS = f"""SELECT site, ts, level_mm, (x - lo) * {_THIN_COLUMNS} // (hi - lo + 1) AS pixel, x
+    FROM (SELECT *, min(x) OVER (PARTITION BY site) AS lo, max(x) OVER (PARTITION BY site) AS hi
+        FROM (SELECT site, ts, level_mm, epoch_us(ts) AS x FROM v_readings WHERE level_mm IS NOT NULL))"""
+
+
+@query(
+    "level_points_thinned",
+    final(
+        f"""(SELECT DISTINCT site, unnest([arg_min({{'ts': ts, 'level_mm': level_mm}}, (x, level_mm)), arg_max({{'ts': ts, 'level_mm': level_mm}}, (x, level_mm)),
+                arg_min({{'ts': ts, 'level_mm': level_mm}}, (level_mm, x)), arg_max({{'ts': ts, 'level_mm': level_mm}}, (level_mm, x))], recursive := true)
+            FROM pixels GROUP BY site, pixel)""",
+        "site ts", "level_mm",
+    ),
+    pixels=_PIXELS,
+)
+def _(v: Views) -> DataFrame:
+    """The levels of every site, thinned to a chart of a few columns."""
+    return curves.thinned_points(v.readings, ["site"], "ts", "level_mm", _THIN_COLUMNS)
+
+
+def _density_sql(steps: dict[str, float]) -> str:
+    """The direct sum over all cells at every cell in reach of one."""
+    names = list(steps)
+    cells = ", ".join(f"CAST(floor({q} / {s}) AS BIGINT) AS i_{q}" for q, s in steps.items())
+    widths = ", ".join(f"coalesce(nullif(stddev_samp({q}) * pow(count(*), {-1 / (len(steps) + 4)!r}), 0), {s}) AS h_{q}" for q, s in steps.items())
+    reach = ", ".join(f"i_{q} + o_{q}.o AS g_{q}" for q in names)
+    offsets = " ".join(f", LATERAL (SELECT unnest(range(-CAST(ceil(h_{q} / {s} * {curves.REACH}) AS BIGINT), CAST(ceil(h_{q} / {s} * {curves.REACH}) AS BIGINT) + 1)) AS o) o_{q}" for q, s in steps.items())
+    kernel = " * ".join(f"exp(-pow((g_{q} - i_{q}) * {s} / h_{q}, 2) / 2) / (h_{q} * sqrt(2 * pi()))" for q, s in steps.items())
+    grid = ", ".join(f"g_{q}" for q in names)
+    centres = ", ".join(f"CAST((g_{q} + 0.5) * {s} AS DOUBLE) AS {q}" for q, s in steps.items())
+    known = " AND ".join(f"{q} IS NOT NULL" for q in names)
+    return final(
+        f"""(WITH rows AS (SELECT site, {", ".join(names)} FROM v_storms WHERE {known}),
+            cells AS (SELECT site, {cells}, count(*) AS m FROM rows GROUP BY ALL),
+            widths AS (SELECT site, count(*) AS n, {widths} FROM rows GROUP BY site),
+            grid AS (SELECT DISTINCT site, {reach} FROM cells JOIN widths USING (site) {offsets})
+            SELECT site, {centres}, sum(m * {kernel}) / n AS density FROM grid JOIN cells USING (site) JOIN widths USING (site)
+            GROUP BY site, {grid}, n)""",
+        f"site {' '.join(names)}", "density", 9,
+    )
+
+
+@query("depth_density", _density_sql({"total_precip_depth": 1.0}), digits=9)
+def _(v: Views) -> DataFrame:
+    return curves.density(v.storms, ["site"], {"total_precip_depth": 1.0})
+
+
+@query("joint_density", _density_sql({"total_precip_depth": 5.0, "duration_hours": 12.0}), digits=9)
+def _(v: Views) -> DataFrame:
+    return curves.density(v.storms, ["site"], {"total_precip_depth": 5.0, "duration_hours": 12.0})
+
+
 @query(
     "prob_positions",
     final(
