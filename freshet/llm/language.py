@@ -135,8 +135,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model of the documents that are not held out and have a text, a language and an id.
 
     Languages are the distinct values of ``lang_col``. The sample is taken by
-    a hash of the id, language by language. No such document gives a model
-    that answers ``und``.
+    a hash of the id, language by language; repeated rows are sampled together.
+    Texts without a letter give a language its name but nothing to learn, and a
+    shard without documents counts as one whose weights are zero. No such
+    document gives a model that answers ``und``.
     """
     text_batches(docs.sparkSession)
     known = docs.select(
@@ -229,7 +231,13 @@ _PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField(
 
 
 def predicted(model: Model, text_col: str = "text") -> Column:
-    """``struct<lang, score>`` of the whole text."""
+    """``struct<lang, score>`` of the whole text.
+
+    Null and empty texts and those without a letter give ``und`` and 0; of
+    languages that score alike the first by name wins. Repeated rows get the
+    same answer, an empty table gives no rows. The model, terms times
+    languages, reaches the workers as one of Spark's broadcasts.
+    """
 
     @F.arrow_udf(_PREDICTED)
     def predict(texts: pa.Array) -> pa.Array:

@@ -98,7 +98,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``(id, measures..., failed)`` of every row: what was measured and the bits of the rules it fails.
 
     Policies are applied to the ledger; no text is read again for them. Null
-    texts count as empty, null ids stay null, repeated rows have a line each.
+    texts count as empty, null ids stay null, repeated rows have a line each;
+    ids must be numbers. An empty table gives no lines, and texts of any length
+    are measured whole.
     """
     text_batches(docs.sparkSession)
     picked = docs.select(F.col(f"`{id_col}`").cast("long"), text_bytes(text_col))

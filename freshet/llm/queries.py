@@ -71,9 +71,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-@query(
-    "op4_quality",
-    f"""WITH split AS (SELECT doc_id, text, {_WORDS} AS words, string_split(coalesce(text, ''), chr(10)) AS all_lines,
+_MEASURED = f"""WITH split AS (SELECT doc_id, text, {_WORDS} AS words, string_split(coalesce(text, ''), chr(10)) AS all_lines,
         row_number() OVER () AS r FROM documents),
     lined AS (SELECT *, list_filter(all_lines, lambda x: regexp_matches(x, '{WORD}')) AS lines FROM split),
     windows AS (SELECT r, unnest(range(1, len(words) - 1)) AS k, words FROM split),
@@ -83,19 +81,55 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
-        FROM lined LEFT JOIN covered USING (r))
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-        NOT (base_failed OR 2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines) AS kept
-    FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)""",
+        FROM lined LEFT JOIN covered USING (r))"""
+#: The rules once more, in SQL.
+_RULE_SQL = {
+    "few_words": "n_words < 50",
+    "repeated_words": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "2 * n_symbols > n_words",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
+    "short_words": "word_chars < 2 * n_words",
+    "long_words": "word_chars > 15 * n_words",
+}
+_FAILED = " + ".join(f"CASE WHEN {rule} THEN {quality.BIT[name]} ELSE 0 END" for name, rule in _RULE_SQL.items())
+
+
+def _policy_fails(policy: str) -> str:
+    return "(" + " OR ".join(_RULE_SQL[rule] for rule in quality.POLICIES[policy]) + ")"
+
+
+@query(
+    "op4_quality",
+    f"""{_MEASURED}
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_policy_fails("base")} AS base_failed,
+        NOT {_policy_fails(POLICY)} AS kept, ({_FAILED})::BIGINT AS failed, NOT {_policy_fails("v2")} AS kept_v2 FROM measured""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = written(quality.ledger(table(spark, sf_dir, "documents")))
     return book.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        quality.fails("base").alias("base_failed"), (~quality.fails(POLICY)).alias("kept"),
+        quality.fails("base").alias("base_failed"), (~quality.fails(POLICY)).alias("kept"), "failed", (~quality.fails("v2")).alias("kept_v2"),
     )
 
 
+_CASES = ", ".join(
+    f"('{policy}', '{rule}', {quality.policy_mask(rules)}, {quality.BIT[rule]})" for policy, rules in quality.POLICIES.items() for rule in rules
+)
+
+
+@query(
+    "quality_ablations",
+    f"""{_MEASURED},
+    book AS (SELECT {_FAILED} AS failed FROM measured)
+    SELECT policy, rule, count(*) AS n_docs, count(*) FILTER (failed & mask <> 0) AS n_dropped,
+        count(*) FILTER (failed & mask & ~bit <> 0) AS n_without, count(*) FILTER (failed & mask = bit) AS n_only
+    FROM book, (VALUES {_CASES}) c(policy, rule, mask, bit) GROUP BY policy, rule""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from the ledger of all documents."""
+    return quality.ablations(written(quality.ledger(table(spark, sf_dir, "documents"))))
+
+
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
