@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+_rows: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,13 +29,25 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="freshet-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    seen = Observation()
+    kept = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint()
+    _rows[kept] = seen.get["rows"]
+    return kept
+
+
+def rows_of(kept: DataFrame) -> int | None:
+    """The rows of a frame from :func:`cut`, counted while it was computed; None for other frames."""
+    return _rows.get(kept)
+
+
+def marked(kept: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A frame from :func:`cut`, marked for broadcast up to ``limit`` rows."""
+    return F.broadcast(kept) if rows_of(kept) <= limit else kept
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, computed and counted; marked for broadcast up to ``limit`` rows."""
-    kept = cut(df)
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    """The frame, computed and counted in one go; marked for broadcast up to ``limit`` rows."""
+    return marked(cut(df), limit)
 
 
 def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

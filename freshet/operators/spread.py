@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.operators.lineage import broadcast_if_small, cut
+from freshet.operators.lineage import broadcast_if_small, cut, rows_of
 
 CELL = "_cell"
 GROUP_ROWS = 1_000_000
@@ -43,15 +43,18 @@ def largest_group(values: DataFrame, by: Sequence[str]) -> int:
 
 
 def cut_groups(
-    values: DataFrame, by: Sequence[str], value: str, group_rows: int = GROUP_ROWS, slots: int = SLOTS
+    values: DataFrame, by: Sequence[str], value: str, group_rows: int = GROUP_ROWS, slots: int = SLOTS, rows: int | None = None
 ) -> DataFrame:
     """Add ``_cell`` to the values if some group is too large for one task.
 
     ``values`` holds each (group, value) once, no nulls in either, and is
     cheap to read again (see :func:`freshet.operators.lineage.cut`). Groups of
-    up to ``group_rows`` values are one cell, -1.
+    up to ``group_rows`` values are one cell, -1. ``rows`` bounds the number of
+    values where it is known; groups are counted only if one can be too large.
     """
     by = list(by)
+    if rows is not None and rows <= group_rows:
+        return values
     largest = largest_group(values, by)
     if largest <= group_rows:
         return values
@@ -182,11 +185,11 @@ def count_values(
 
 
 def rank_counted(
-    counted: DataFrame, by: Sequence[str], value: str, group_rows: int = GROUP_ROWS
+    counted: DataFrame, by: Sequence[str], value: str, group_rows: int = GROUP_ROWS, rows: int | None = None
 ) -> DataFrame:
     """Add ranks to counted values without nulls (see :func:`ranked_values`)."""
     return running(
-        cut_groups(counted, by, value, group_rows),
+        cut_groups(counted, by, value, group_rows, rows=rows),
         by,
         value,
         [Running("n_below", "sum_before", F.col("n")), Running("n_total", "sum_overall", F.col("n"))],
@@ -208,7 +211,7 @@ def ranked_values(
     before they are shuffled; null values and null keys are left out.
     """
     counted = count_values(df.na.drop(subset=[value]), by, value, counters)
-    return rank_counted(counted, by, value, group_rows)
+    return rank_counted(counted, by, value, group_rows, rows_of(counted))
 
 
 def numbered(df: DataFrame, keys: Sequence[str], count: str, number: str, block: int = BLOCK_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from freshet.functions import options, pollutants
 from freshet.functions.volumes import load
 from freshet.operators import censored
-from freshet.operators.lineage import broadcast_if_small
+from freshet.operators.lineage import broadcast_if_small, cut, marked
 
 BOUNDS = ("lower", "median", "upper")
 INFLUENT = tuple(f"influent_{b}" for b in BOUNDS)
@@ -103,10 +103,10 @@ def tidy_loads(
         .withColumn("units", pollutants.attribute("parameter", "conc_units"))
     )
     keys = ["site", "parameter", "season", "units"]
-    medians = broadcast_if_small(
+    medians = cut(
         influent.select(*keys, *INFLUENT).join(effluent.select(*keys, *EFFLUENT), keys, "full")
     )
-    estimated = storms.join(params, "site", "inner").join(medians, keys, "left")
+    estimated = storms.join(params, "site", "inner").join(marked(medians), keys, "left")
     composite = wq.filter(F.col("sampletype") == "composite").select(
         *_MATCH, "parameter", "units", *_SAMPLE_COLUMNS
     )

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from freshet.functions import options
 from freshet.functions.numbers import pct_reduction, ratio, sig_figs
-from freshet.operators.lineage import broadcast_if_small, cut
+from freshet.operators.lineage import broadcast_if_small, cut, rows_of
 from freshet.operators.spread import (
     GROUP_ROWS,
     count_values,
@@ -358,7 +358,7 @@ def _describe_counted(
             F.max(value).alias("max"),
         )
     )
-    ranked = rank_counted(counted.filter(F.col(value).isNotNull()), by, value, group_rows)
+    ranked = rank_counted(counted.filter(F.col(value).isNotNull()), by, value, group_rows, rows_of(counted))
     deviation = F.col(value) - F.col("mean")
     spread = (
         ranked.join(basic.select(*by, "mean"), by, "inner")

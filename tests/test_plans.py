@@ -10,6 +10,7 @@ from freshet.plans import charts, external, quality, reports, summaries
 
 
 def test_prevalence(spark):
+    # --- fixed values: composite results and their counts ---
     rows = [
         ("A", "pA", "Fall", 1, "composite"), ("A", "pA", "Fall", 1, "composite"), ("A", "pA", "Summer", 1, "composite"),
         ("A", "pA", "Summer", 1, "composite"), ("A", "pA", "Spring", 1, "composite"), ("A", "pA", "Winter", 1, "composite"),
@@ -36,6 +37,7 @@ def test_remove_loads(spark):
 
 
 def test_load_reduction(spark):
+    # --- fixed values: loads with bounds and their reductions ---
     cols = "A A_lo A_hi B B_lo B_hi".split()
     rows = [(75, 70, 80, 50, 45, 55, "A"), (50, 45, 55, 50, 45, 55, "B"), (25, 20, 30, 10, 5, 15, "A"), (10, 5, 15, 20, 15, 25, "B")]
     df = spark.createDataFrame([(*map(float, r[:6]), r[6], "A", "g", "summer") for r in rows],
@@ -393,6 +395,7 @@ def test_sample_table(spark):
 
 
 def test_storm_report(spark):
+    # --- fixed values: a storm and the lines of its report ---
     storm = spark.createDataFrame(
         [("test", 2, dt.datetime(2013, 5, 19, 6, 10), 0.17708333, 5.75, 41.0, 1.32, 0.75, 876600.0, 291900.0, 1.39)],
         "site string, storm_number int, start_date timestamp_ntz, antecedent_days double, duration_hours double, peak_outflow double, "
@@ -409,6 +412,7 @@ def test_storm_report(spark):
 
 
 def test_report_names(spark):
+    # --- fixed values: a sample and the names of its tables ---
     df = spark.createDataFrame(
         [("Test Site", "x", "composite", dt.datetime(2013, 2, 24, 16, 59), 3), ("Test Site", "y", "composite", dt.datetime(2013, 2, 24), None)],
         "site string, sample string, sampletype string, samplestart timestamp_ntz, storm_number int",

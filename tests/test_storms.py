@@ -158,6 +158,7 @@ def test_per_site_expressions(spark):
 
 
 def test_exclude_storms(spark):
+    # --- fixed values: storms, dates and how many are left ---
     start = dt.datetime(2014, 1, 1), dt.datetime(2014, 1, 3)
     rows = [(i, start[0] + dt.timedelta(hours=16 * i), start[1] + dt.timedelta(hours=12 * i)) for i in range(20)]
     df = spark.createDataFrame(rows, "storm_number long, datecol1 timestamp_ntz, datecol2 timestamp_ntz")
