@@ -4,7 +4,8 @@ from collections import Counter
 
 import pytest
 
-from freshet.llm.phrases import Trie, _run, collocations, phrase_counts
+from freshet.llm import phrases
+from freshet.llm.phrases import Trie, collocations, frequent_phrases, gram_hashes, part_filter, phrase_counts
 from freshet.llm.queries import QUERIES
 
 
@@ -65,7 +66,7 @@ def frame(spark, rows):
 @pytest.mark.parametrize("burst, spill", [(2048, 400_000), (1, 50), (3, 1)])
 def test_counts_do_not_depend_on_bursts_and_spills(spark, burst, spill):
     rows = texts(burst)
-    found = phrase_counts(frame(spark, rows), burst=burst, spill=spill).collect()
+    found = phrase_counts(frame(spark, rows), 3, burst=burst, spill=spill).collect()
     assert {(r.lang, r.phrase.encode()): r.n for r in found} == plain_counts(rows) and len(found) == len(plain_counts(rows))
 
 
@@ -94,12 +95,44 @@ def test_products_beyond_64_bits(spark):
 
 
 def test_trie_bursts_and_gives_whole_subtrees():
-    trie = Trie(3, burst=2)
-    for _ in range(2):
-        trie.add([1, 2, 3, 1, 2, 4, 1, 2, 5, 1, 3])
     names = [b"", b"a", b"b", b"c", b"d", b"e"]
-    assert dict(_run(trie, 1, names)) == {b"a": 8, b"a b": 6, b"a b c": 2, b"a b d": 2, b"a b e": 2, b"a c": 2}
-    assert 1 not in trie.roots and trie.size() == 3 + 1 + 1 + 2
+    for burst in (2, 100):
+        trie = Trie(3, burst)
+        for _ in range(2):
+            trie.add([1, 2, 3, 1, 2, 4, 1, 2, 5, 1, 3, 0, 2])
+        assert (type(trie.roots[1]) is phrases._Node) == (burst == 2)
+        assert sum(trie.sizes().values()) == 4 + 4 + 2 + 1 + 1
+        assert list(zip(*trie.run(1, names))) == [(b"a", 8), (b"a b", 6), (b"a b c", 2), (b"a b d", 2), (b"a b e", 2), (b"a c", 2)]
+        assert 1 not in trie.roots and 1 not in trie.sizes()
+    pairs = Trie(2)
+    pairs.add([1, 2, 1, 2, 1, 0, 1])
+    assert list(zip(*pairs.run(1, names))) == [(b"a", 4), (b"a b", 2)] and list(zip(*pairs.run(2, names))) == [(b"b", 2), (b"b a", 2)]
+
+
+def test_tokens_end_pieces_where_they_should():
+    assert phrases.tokens("Ab\tÉ..x\x1cy;\n ".encode()) == [w.encode() for w in ("ab", "É", ".", ".", "x\x1cy", ".", ".")]
+    assert phrases.tokens(None) == []
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 12])
+def test_a_full_filter_loses_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(phrases, "MAX_FILTER", bits)
+    monkeypatch.setattr(phrases, "FILTER_BITS", 16 if bits > 1 << 12 else 0)
+    rows = texts(11)
+    found = frequent_phrases(frame(spark, rows), 4, 3, spill=500).collect()
+    wanted = {k: n for k, n in plain_counts(rows, 4).items() if n >= 3 or not k[1]}
+    assert {(r.lang, r.phrase.encode()): r.n for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_filter_has_its_phrases_and_few_others(spark):
+    frequent = spark.createDataFrame([("en", f"a{k} b{k}", 1) for k in range(500)] + [("en", "one", 1), ("fr", "x y z", 1)], "lang string, phrase string, n long")
+    held = part_filter(frequent, 2)
+
+    def inside(lang, *words):
+        return bool(phrases._held(held, gram_hashes(phrases._hashes([w.encode() for w in words]), 2, lang)).all())
+
+    assert all(inside("en", f"a{k}", f"b{k}") for k in range(500))
+    assert sum(inside("fr", f"a{k}", f"b{k}") for k in range(500)) < 10 and sum(inside("en", f"b{k}", f"a{k}") for k in range(500)) < 10
 
 
 def test_query_over_the_table(spark):
