@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 _rows: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute the frame once and keep it in the shared checkpoint folder.
+def _checkpoints(spark: SparkSession) -> str:
+    """The checkpoint folder of the context: that of the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. A local session
-    without one gets a temporary folder; a cluster must name one, since a
-    folder of one machine would not outlive an executor.
+    A local session without one gets a temporary folder; a cluster must name
+    one, since a folder of one machine would not outlive an executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="freshet-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a new folder among the checkpoints, which all executors share."""
+    return f"{_checkpoints(spark)}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute the frame once and keep it in the shared checkpoint folder; its rows are counted on the way."""
+    _checkpoints(df.sparkSession)
     seen = Observation()
     kept = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint()
     _rows[kept] = seen.get["rows"]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from freshet.functions import bins, clock, pollutants, volumes
 from freshet.functions.numbers import sig_figs
-from freshet.operators import censored, hydro, resampling, samples, sketches, storms
+from freshet.operators import censored, hydro, lineage, refresh, resampling, samples, sketches, storms
 from freshet.operators.lineage import cut
 from freshet.operators.spread import quantiles
 from freshet.plans import charts, curves, external, quality, reports, summaries
@@ -532,6 +532,19 @@ _STORM_DOUBLES = " ".join(c for c in storms.STORM_COLUMNS if c not in _STORM_KEY
 _RUNOFF = "CASE WHEN CAST(site AS INT) % 2 = 0 THEN pow(10, CAST(1.58 AS DOUBLE) + CAST(0.0169 AS DOUBLE) * total_precip_depth) ELSE greatest(0.0, CAST(12.05 AS DOUBLE) + CAST(2.873 AS DOUBLE) * total_precip_depth + CAST(0.863 AS DOUBLE) * duration_hours) END"
 
 
+_REFRESHED = "duration_hours antecedent_days peak_precip_intensity total_precip_depth total_outflow_m3 peak_outflow"
+
+
+@query("storms_refreshed", final("v_stats", "site storm_number start_date end_date", _REFRESHED))
+def _(v: Views) -> DataFrame:
+    """The storms of a stored record that gets its bins in three parts, in no order of time."""
+    folder, record = lineage.shared_folder(v.spark), lineage.cut(v.record)
+    for part in range(3):
+        refresh.insert_bins(v.spark, folder, record.where(F.pmod(F.xxhash64("site", "ts"), F.lit(3)) == part), 6, GRID_MINUTES)
+    storms_now = refresh.stored_storms(v.spark, folder)
+    return storms_now.select("site", F.col("storm_number").cast("int"), "start_date", "end_date", *_REFRESHED.split())
+
+
 _RUNOFF_NAMED = _RUNOFF.replace("CAST(site AS INT) % 2 = 0", "site IN ('2', '4')")
 
 
