@@ -136,13 +136,16 @@ def joint_counts(
     ycol: str,
     xstep: float,
     ystep: float,
-    conditions: str | None = None,
+    conditions: str | Column | None = None,
     site: str | None = None,
 ) -> DataFrame:
-    """Counts over a grid of (x, y) per site, the data of a joint plot."""
+    """Counts over a grid of (x, y) per site, the data of a joint plot.
+
+    ``conditions`` is SQL, or a Column such as :func:`freshet.functions.conditions.condition` makes.
+    """
     df = hydro if site is None else hydro.filter(F.col("site") == site)
     if conditions is not None:
-        df = df.filter(F.expr(conditions))
+        df = df.filter(F.expr(conditions) if isinstance(conditions, str) else conditions)
 
     def lower_edge(c: str, step: float) -> Column:
         return F.floor(F.col(c) / F.lit(float(step))) * F.lit(float(step))

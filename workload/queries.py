@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.functions import bins, clock, pollutants, volumes
+from freshet.functions import bins, clock, conditions, pollutants, volumes
 from freshet.functions.numbers import sig_figs
 from freshet.operators import censored, hydro, lineage, refresh, resampling, samples, sketches, storms
 from freshet.operators.lineage import cut
@@ -1354,6 +1354,21 @@ def _(v: Views) -> DataFrame:
     return charts.joint_counts(v.storms, "total_precip_depth", "outflow_mm", 5, 2, "outflow_mm > 0")
 
 
+_CONDITION = "outflow_mm == 0 or season in ['winter', 'spring'] and not 5 < total_precip_depth <= @deep and `has_outflow` != 'No'"
+
+
+@query(
+    "joint_counts_condition",
+    """SELECT site, floor(total_precip_depth / 5) * 5 AS x_from, floor(duration_hours / 12) * 12 AS y_from, count(*) AS storms
+    FROM v_storms WHERE outflow_mm = 0 OR (season IN ('winter', 'spring') AND NOT (total_precip_depth > 5 AND total_precip_depth <= 20)
+        AND has_outflow <> 'No') GROUP BY 1, 2, 3""",
+)
+def _(v: Views) -> DataFrame:
+    """A joint plot of the storms that a condition of a notebook picks."""
+    picked = conditions.condition(_CONDITION, {"deep": 20})
+    return charts.joint_counts(v.storms, "total_precip_depth", "duration_hours", 5, 12, picked)
+
+
 @query(
     "pair_correlations",
     " UNION ALL ".join(
