@@ -37,7 +37,7 @@ LONGEST, MIN_COUNT, TOP = 3, 10, 2000
 COVERED = 50
 UNKNOWN = "und"
 #: Windows in a container before it bursts, and in a trie before it spills.
-BURST, SPILL = 2048, 600_000
+BURST, SPILL = 2048, 1_500_000
 #: Bits of the filter per frequent part, and of the whole filter at most (16 MB).
 FILTER_BITS, MAX_FILTER = 16, 1 << 27
 _RUN_ROWS, _BATCH_ROWS = 1 << 15, 300
