@@ -75,9 +75,12 @@ def gauged_record(
     :func:`join_gauge`), from one scan: readings are binned by the site that
     took them, and the bins, not the readings, go to that site as heads and to
     the sites of its gauge as rain. ``period_minutes=None`` merges readings of
-    the same time only.
+    the same time only. Readings that are stored by site and month
+    (:mod:`freshet.sources.buckets`) are binned without a shuffle, as long as a
+    bin lies in one month.
     """
-    bins = readings.groupBy(F.col("site").alias("_source"), _bin_start(period_minutes, ts).alias(ts)).agg(
+    month = ["month"] if "month" in readings.columns and period_minutes is not None and 1440 % period_minutes == 0 else []
+    bins = readings.groupBy(F.col("site").alias("_source"), *month, _bin_start(period_minutes, ts).alias(ts)).agg(
         F.avg("level_mm").alias("_level"), F.sum("precip_mm").alias("_precip")
     )
     heads = sites.select(F.col("site").alias("_source"), "site", "weir_height_mm", F.lit(False).alias("_rain"))

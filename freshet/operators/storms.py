@@ -72,7 +72,10 @@ def label_wet_bins(
     Dry bins are dropped before anything is sorted. The record is scanned in
     site-months; the months of a site meet only in a table with one row per
     site-month, so a long record is spread over as many tasks as it has months.
+    A record that is stored by site and month (:mod:`freshet.sources.buckets`)
+    has a ``month``, which spares the shuffle to site-months.
     """
+    stored = "month" in record.columns and edits is None
     wet = (
         with_flow_columns(record)
         .filter(is_wet())
@@ -80,9 +83,10 @@ def label_wet_bins(
     )
     if edits is not None:
         wet = wet.unionByName(_edit_marks(edits), allowMissingColumns=True)
-    wet = wet.withColumns({"_wet": F.col("_order") == 1, "_month": month_index("ts")})
-    # read twice below; wet bins are a small part of a record
-    wet = cut(wet.withColumn("_wet", F.col("_wet") & is_wet()))
+    wet = wet.withColumns({"_wet": F.col("_order") == 1, "_month": F.col("month") if stored else month_index("ts")})
+    wet = wet.withColumn("_wet", F.col("_wet") & is_wet())
+    if not stored:
+        wet = cut(wet)  # read twice below; wet bins are a small part of a record
 
     gap = F.lit(int(round((interevent_hours * 60 + period_minutes) * 60_000_000)))
 
