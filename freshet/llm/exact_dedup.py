@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.common import shared_folder, text_batches, text_bytes, write_table, written
+from freshet.operators.spread import numbered
 
 #: Text bytes that a bucket holds before it is split.
 CAPACITY = 32 << 20
@@ -203,7 +204,8 @@ def exact_duplicates(
     Texts are equal when their bytes are, A-Z in lower case; a null text is
     empty. The row with the largest id stays. A missing id is smaller than all
     others and comes back as null; of rows with the same id and text one stays.
-    An empty table gives an empty table.
+    Ids must be numbers. An empty table gives an empty table, and texts of any
+    length are compared whole.
     """
     text_batches(docs.sparkSession)
     marks = written(signatures(docs, id_col, text_col))
@@ -212,7 +214,8 @@ def exact_duplicates(
     classes = index.entries().select("hash", "sha256", "keep_id", "n")
     members = marks.join(classes, ["hash", "sha256"]).select("id", "keep_id", "n", "sha256")
     staying = members.where("id = keep_id").groupBy("id", "keep_id", "n", "sha256").agg(F.count("*").alias("rows"))
-    staying = staying.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    # rows without an id may be many: they are numbered in blocks, by several tasks
+    staying = numbered(staying, ["id", "sha256"], "rows", "row")
     judged = members.where("id <> keep_id").withColumn("kept", F.lit(False)).unionByName(
         staying.select("id", "keep_id", "n", "sha256", (F.col("row") == 1).alias("kept"))
     )

@@ -182,8 +182,9 @@ def drop_repeated_lines(
     owning document. Other columns stay as they are. ``stats`` names a struct
     column to add, with ``n_lines`` (before) and ``n_dropped``. Null or empty
     texts are one empty line and stay as they are; rows with the same id are
-    one document, and rows without an id count as the last one. An empty table
-    gives an empty table.
+    one document, and rows without an id count as the last one, so the keys
+    that this one drops are one array on each of its rows. Ids must be numbers.
+    An empty table gives an empty table.
     """
     text_batches(docs.sparkSession)
     lines = written(document_lines(docs, id_col, text_col))
