@@ -123,8 +123,12 @@ def bootstrap_bounds(
     if any(not 0 < p < 1 for p in points.values()):
         raise ValueError("percentiles lie between 0 and 1")
     known = drop_null_keys(df, by).na.drop(subset=[value]).select(
-        *[F.col(c) for c in by], F.col(value).cast("double").alias("_v"), poisson_weights(keys, replicates, seed).alias("_w")
+        *[F.col(c) for c in by], F.col(value).cast("double").alias("_v"), F.expr(row_key(keys).format(text="STRING")).alias("_key")
     )
+
+    def weighted(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_w", poisson_weights(["_key"], replicates, seed))
+
     groups = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("_mean"), F.stddev_samp("_v").alias("_std"))
     if points:
         ranked = ranked_values(known, by, "_v", group_rows=group_rows)
@@ -144,10 +148,11 @@ def bootstrap_bounds(
     if moments:
         sums |= {"_first": _sums(off, replicates), "_second": _sums(off * off, replicates)}
     sums |= {f"_below_{p}": _sums((F.col("_v") < F.col(f"_lo_{p}")).cast("double"), replicates) for p in points}
-    summed = cut(rows.groupBy(*by).agg(*[c.alias(k) for k, c in sums.items()]))
+    summed = cut(weighted(rows).groupBy(*by).agg(*[c.alias(k) for k, c in sums.items()]))
     out = groups.join(summed, by)
     for name, p in points.items():
-        out = out.join(_replicate_percentiles(rows, summed, by, name, p, replicates), by, "left")
+        band = weighted(rows.where(F.col("_v").between(F.col(f"_lo_{name}"), F.col(f"_hi_{name}"))))
+        out = out.join(_replicate_percentiles(band, summed, by, name, p, replicates), by, "left")
     stats = {"mean": F.col("_mean"), "std": F.col("_std"), "cov": ratio(F.col("_std"), F.col("_mean"))}
     columns = [stats[s].alias(k) if isinstance(s, str) else F.col(k) for k, s in statistics.items()]
     values = {k: F.expr(f"transform(arrays_zip(_weights, _first, _second), x -> {_of_sums(s)})") for k, s in moments.items()}
@@ -164,10 +169,10 @@ def _of_sums(kind: str) -> str:
     return {"mean": mean, "std": std, "cov": f"({std}) / nullif({mean}, 0D)"}[kind]
 
 
-def _replicate_percentiles(rows: DataFrame, summed: DataFrame, by: list[str], name: str, p: float, replicates: int) -> DataFrame:
+def _replicate_percentiles(band: DataFrame, summed: DataFrame, by: list[str], name: str, p: float, replicates: int) -> DataFrame:
     """``_values_<name>``: the percentile of each replicate, from the values of the band."""
-    band = rows.where(F.col("_v").between(F.col(f"_lo_{name}"), F.col(f"_hi_{name}"))).groupBy(*by, "_v").agg(_sums(None, replicates).alias("_w"))
-    lanes = band.join(summed.select(*by, F.arrays_zip("_weights", f"_below_{name}").alias("_sums")), by).select(
+    merged = band.groupBy(*by, "_v").agg(_sums(None, replicates).alias("_w"))
+    lanes = merged.join(summed.select(*by, F.arrays_zip("_weights", f"_below_{name}").alias("_sums")), by).select(
         *by, "_v", F.posexplode(F.arrays_zip("_w", "_sums")).alias("_b", "_lane")
     )
     upto = F.sum("_lane._w").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
