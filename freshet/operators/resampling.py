@@ -72,24 +72,6 @@ def poisson_weights(keys: Sequence[str], replicates: int = REPLICATES, seed: int
     return F.get(F.transform(hashes, weights), F.lit(0))
 
 
-def _sums(what: Column | None, replicates: int) -> Column:
-    """One weighted sum per replicate, as an array; of the weights themselves without an argument."""
-    weights = (F.get("_w", F.lit(b)) for b in range(replicates))
-    return F.array(*[F.sum(w.cast("long") if what is None else w.cast("double") * what) for w in weights])
-
-
-def _bound(sorted_values: str, tail: float) -> Column:
-    """The linearly interpolated percentile of a sorted array; null if it is empty."""
-    h = f"((size({sorted_values}) - 1) * {tail!r}D)"
-    low, high = (f"get({sorted_values}, CAST({side}({h}) AS INT))" for side in ("floor", "ceil"))
-    return F.expr(f"CASE WHEN size({sorted_values}) > 0 THEN {low} + ({h} - floor({h})) * ({high} - {low}) END")
-
-
-def _bounds(name: str, tail: float) -> list[Column]:
-    """Lower and upper bound from the statistic of each replicate, sorted in ``_<name>``."""
-    return [_bound(f"_{name}", tail).alias(f"{name}_lower"), _bound(f"_{name}", 1 - tail).alias(f"{name}_upper")]
-
-
 def bootstrap_bounds(
     df: DataFrame,
     by: Sequence[str],
@@ -109,7 +91,9 @@ def bootstrap_bounds(
     ``name_upper``, beside ``n``. ``keys`` name a row (see
     :func:`poisson_weights`). Null values and rows with a null group key are
     left out. Replicates in which a statistic is not defined, such as those
-    without rows, do not count; if it is in none, its bounds are null.
+    without rows, do not count; if it is in none, its bounds are null. A row
+    meets its weights as it is read; what is shuffled are sums, one row per
+    task, group and replicate at most.
 
     The percentile of a replicate lies near the one of the group: within five
     times the square root of n ranks and 25 more, ten standard deviations. Only
@@ -127,7 +111,9 @@ def bootstrap_bounds(
     )
 
     def weighted(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_w", poisson_weights(["_key"], replicates, seed))
+        """A row for each replicate that draws it, read on by the sums of the same task."""
+        drawn = rows.select(*[c for c in rows.columns if c != "_key"], F.posexplode(poisson_weights(["_key"], replicates, seed)).alias("_b", "_w"))
+        return drawn.where("_w > 0")
 
     groups = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("_mean"), F.stddev_samp("_v").alias("_std"))
     if points:
@@ -143,45 +129,43 @@ def bootstrap_bounds(
         groups = groups.join(ranked.groupBy(*by).agg(*edges), by)
     groups = cut(groups)
     rows = known.join(groups, by)
-    off = F.col("_v") - F.col("_mean")
-    sums = {"_weights": _sums(None, replicates)}
+    weight, off = F.col("_w").cast("double"), F.col("_v") - F.col("_mean")
+    sums = {"_weights": F.sum(F.col("_w").cast("long"))}
     if moments:
-        sums |= {"_first": _sums(off, replicates), "_second": _sums(off * off, replicates)}
-    sums |= {f"_below_{p}": _sums((F.col("_v") < F.col(f"_lo_{p}")).cast("double"), replicates) for p in points}
-    summed = cut(weighted(rows).groupBy(*by).agg(*[c.alias(k) for k, c in sums.items()]))
-    out = groups.join(summed, by)
+        sums |= {"_first": F.sum(weight * off), "_second": F.sum(weight * off * off)}
+    sums |= {f"_below_{p}": F.sum(F.when(F.col("_v") < F.col(f"_lo_{p}"), F.col("_w").cast("long")).otherwise(0)) for p in points}
+    replicate = cut(weighted(rows).groupBy(*by, "_b").agg(*[c.alias(k) for k, c in sums.items()]))
+    drawn = replicate
     for name, p in points.items():
         band = weighted(rows.where(F.col("_v").between(F.col(f"_lo_{name}"), F.col(f"_hi_{name}"))))
-        out = out.join(_replicate_percentiles(band, summed, by, name, p, replicates), by, "left")
+        drawn = drawn.join(_replicate_percentiles(band, replicate, by, name, p), [*by, "_b"], "left")
+    if moments:
+        drawn = drawn.join(groups.select(*by, "_mean"), by)
     stats = {"mean": F.col("_mean"), "std": F.col("_std"), "cov": ratio(F.col("_std"), F.col("_mean"))}
     columns = [stats[s].alias(k) if isinstance(s, str) else F.col(k) for k, s in statistics.items()]
-    values = {k: F.expr(f"transform(arrays_zip(_weights, _first, _second), x -> {_of_sums(s)})") for k, s in moments.items()}
-    values |= {k: F.col(f"_values_{k}") for k in points}
-    arrays = [F.sort_array(F.array_compact(v)).alias(f"_{k}") for k, v in values.items()]
-    bounds = [c for k in statistics for c in _bounds(k, tail)]
-    return out.select(*by, "n", *columns, *arrays).select(*by, "n", *statistics, *bounds)
+    found = {k: F.expr(_of_sums(s)) if isinstance(s, str) else F.col(f"_value_{k}") for k, s in statistics.items()}
+    bounds = [F.percentile(found[k], F.lit(t)).alias(f"{k}_{side}") for k in statistics for side, t in (("lower", tail), ("upper", 1 - tail))]
+    named = [f"{k}_{side}" for k in statistics for side in ("lower", "upper")]
+    return groups.select(*by, "n", *columns).join(drawn.groupBy(*by).agg(*bounds), by, "left").select(*by, "n", *statistics, *named)
 
 
 def _of_sums(kind: str) -> str:
-    """SQL of a replicate's statistic from ``x``, its sums around the mean of the group."""
-    mean = "CASE WHEN x._weights > 0 THEN _mean + x._first / x._weights END"
-    std = "CASE WHEN x._weights > 1 THEN sqrt(greatest(x._second - x._first * x._first / x._weights, 0D) / (x._weights - 1)) END"
+    """SQL of a replicate's statistic from its sums around the mean of the group."""
+    mean = "CASE WHEN _weights > 0 THEN _mean + _first / _weights END"
+    std = "CASE WHEN _weights > 1 THEN sqrt(greatest(_second - _first * _first / _weights, 0D) / (_weights - 1)) END"
     return {"mean": mean, "std": std, "cov": f"({std}) / nullif({mean}, 0D)"}[kind]
 
 
-def _replicate_percentiles(band: DataFrame, summed: DataFrame, by: list[str], name: str, p: float, replicates: int) -> DataFrame:
-    """``_values_<name>``: the percentile of each replicate, from the values of the band."""
-    merged = band.groupBy(*by, "_v").agg(_sums(None, replicates).alias("_w"))
-    lanes = merged.join(summed.select(*by, F.arrays_zip("_weights", f"_below_{name}").alias("_sums")), by).select(
-        *by, "_v", F.posexplode(F.arrays_zip("_w", "_sums")).alias("_b", "_lane")
-    )
-    upto = F.sum("_lane._w").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = lanes.withColumn("_upto", F.col(f"_lane._sums._below_{name}") + upto)
-    h = f"((_lane._sums._weights - 1) * {p!r}D)"
-    low, high = (F.min(F.expr(f"CASE WHEN _upto > {side}({h}) AND _lane._sums._weights > 0 THEN _v END")) for side in ("floor", "ceil"))
+def _replicate_percentiles(band: DataFrame, replicate: DataFrame, by: list[str], name: str, p: float) -> DataFrame:
+    """``_value_<name>``: the percentile of each replicate, from the values of the band."""
+    merged = band.groupBy(*by, "_b", "_v").agg(F.sum(F.col("_w").cast("long")).alias("_w"))
+    lanes = merged.join(replicate.select(*by, "_b", "_weights", F.col(f"_below_{name}").alias("_below")), [*by, "_b"])
+    upto = F.sum("_w").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    h = f"((_weights - 1) * {p!r}D)"
+    low, high = (F.min(F.expr(f"CASE WHEN _upto > {side}({h}) THEN _v END")) for side in ("floor", "ceil"))
+    placed = lanes.withColumn("_upto", F.col("_below") + upto)
     each = placed.groupBy(*by, "_b").agg(low.alias("_low"), high.alias("_high"), F.max(F.expr(f"{h} - floor({h})")).alias("_part"))
-    value = F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low"))
-    return each.groupBy(*by).agg(F.collect_list(value).alias(f"_values_{name}"))
+    return each.select(*by, "_b", (F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low"))).alias(f"_value_{name}"))
 
 
 def bca_median_bounds(

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from freshet.operators import resampling
 from freshet.operators.resampling import (
     PRIME,
     bca_median_bounds,
@@ -91,10 +92,14 @@ def test_empty_tables_and_wrong_names(spark):
             bootstrap_bounds(empty, ["g"], "v", wrong, ["id"])
 
 
-def test_nothing_is_multiplied_before_the_sums(spark):
+def test_weighted_rows_are_summed_before_they_are_shuffled(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(resampling, "cut", lambda df: kept.append(df) or df)
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id", F.rand(1).alias("v"))
-    plan = bootstrap_bounds(df, ["g"], "v", {"m": "mean"}, ["id"], 5)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Generate" not in plan
+    bootstrap_bounds(df, ["g"], "v", {"m": "mean"}, ["id"], 5)
+    plan = kept[1]._jdf.queryExecution().sparkPlan().toString().split("\n")
+    first = [line.split("(")[0].strip(" +-:*").split()[0] for line in plan if "Aggregate" in line or "Generate" in line][:3]
+    assert first == ["HashAggregate", "HashAggregate", "Generate"]  # final, partial, and below it the weights
 
 
 def plain_bca(values, tail=0.025):
