@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.operators.lineage import broadcast_if_small, cut, rows_of
+from freshet.operators.lineage import BROADCAST_ROWS, broadcast_if_small, cut, rows_of
 
 CELL = "_cell"
 GROUP_ROWS = 1_000_000
@@ -30,6 +30,9 @@ SLOTS = 256
 OVERSAMPLE = 16
 BLOCK_ROWS = 10_000
 STEP = 64
+#: Steps of the approximate percentiles around which values are kept; their error is a twenty-fifth of a step.
+GRID = 200
+BAND_ROWS = 20_000
 
 
 def drop_null_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -236,13 +239,75 @@ def value_at(rank: str, value: str) -> Column:
     return F.expr(_value_at(rank, value))
 
 
+def rank_of(prob: float) -> str:
+    """SQL of the 0-based rank, a fraction perhaps, of a linearly interpolated percentile."""
+    return f"((n_total - 1) * {float(prob)!r}D)"
+
+
 def interpolated(prob: float, value: str) -> Column:
     """Aggregate: the linearly interpolated percentile, over ranked values."""
-    h = f"((n_total - 1) * {float(prob)!r}D)"
+    h = rank_of(prob)
     low, high = _value_at(f"floor({h})", value), _value_at(f"ceil({h})", value)
     return F.expr(f"{low} + max({h} - floor({h})) * ({high} - {low})")
 
 
+def near_ranks(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    ranks: Sequence[str],
+    totals: dict[str, Column] | None = None,
+    group_rows: int = GROUP_ROWS,
+    band_rows: int = BAND_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """The groups, and their values around some ranks as :func:`ranked_values` has them.
+
+    ``ranks`` are SQL of 0-based ranks in terms of ``n_total``, the rows of the
+    group with a value. Approximate percentiles of known error bound the values
+    that can have a rank; all others, which no rank can fall on, are counted
+    into one row per gap before the shuffle. So ranks and values are exact, and
+    a few hundredths of the rows are sorted. Groups of up to ``band_rows`` rows
+    are kept whole.
+
+    The groups are read first and computed once, with ``n_total`` and the aggregates of
+    ``totals``, and hold those without values too. Rows with null keys are left out.
+    """
+    by, band_rows = list(by), min(band_rows, group_rows)
+    known = drop_null_keys(df, by)
+    number = F.when(~F.isnan(value), F.col(value))  # NaN sorts last, but has no place among percentiles
+    found = known.groupBy(*by).agg(
+        F.count(value).alias("n_total"), F.count(number).alias("_numbers"), *[c.alias(name) for name, c in (totals or {}).items()]
+    )
+    groups = cut(found.withColumn("_group", F.monotonically_increasing_id()))
+    values = known.select(*by, value).filter(F.col(value).isNotNull())
+
+    def of_groups(rows: DataFrame, few: DataFrame) -> DataFrame:
+        few = F.broadcast(few) if rows_of(groups) <= BROADCAST_ROWS else few
+        return rows.join(few, by) if by else rows.crossJoin(few)
+
+    large = groups.filter((F.col("n_total") > band_rows) & (F.col("_numbers") > 0))
+    if large.isEmpty():
+        return groups.drop("_group", "_numbers"), rank_counted(count_values(values, by, value), by, value, group_rows, band_rows)
+    # a sketch per number of a group, which is sorted faster than its keys where Spark sorts the rows
+    steps = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    numbers = of_groups(values, large.select(*by, "_group")).select("_group", number.alias("_number"))
+    grid = numbers.groupBy("_group").agg(F.percentile_approx("_number", steps, 25 * GRID).alias("_grid"))
+    edges = {}
+    for k, rank in enumerate(ranks):
+        low, high = f"floor(floor({rank}) * {GRID} / _numbers) - 1", f"ceil((ceil({rank}) + 1) * {GRID} / _numbers) + 1"
+        edges[f"_low_{k}"] = F.expr(f"CASE WHEN _grid IS NULL OR {low} < 0 THEN NULL ELSE _grid[CAST(least({low}, {GRID - 1}) AS INT)] END")
+        edges[f"_high_{k}"] = F.expr(f"CASE WHEN _grid IS NULL OR {high} > {GRID} THEN NULL ELSE _grid[CAST({high} AS INT)] END")
+    bands = cut(groups.join(grid, "_group", "left").select(*by, *[c.alias(name) for name, c in edges.items()]))
+    placed = of_groups(values, bands)
+    reached = " OR ".join(f"({value} >= coalesce(_low_{k}, {value}) AND {value} <= coalesce(_high_{k}, {value}))" for k in range(len(ranks)))
+    passed = " + ".join(f"CASE WHEN {value} > _high_{k} THEN 1 ELSE 0 END" for k in range(len(ranks)))
+    merged = placed.groupBy(
+        *by, F.expr(f"CASE WHEN {reached} THEN {value} END").alias("_kept"), F.expr(f"CASE WHEN {reached} THEN -1 ELSE {passed} END").alias("_gap")
+    ).agg(F.min(value).alias(value), F.count(F.lit(1)).alias("n"))
+    counted = cut(merged.drop("_kept", "_gap"))
+    return groups.drop("_group", "_numbers"), rank_counted(counted, by, value, group_rows, rows_of(counted))
+
+
 def quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -251,5 +316,5 @@ def quantiles(
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group, one column each."""
-    ranked = ranked_values(df, by, value, group_rows=group_rows)
+    _, ranked = near_ranks(df.na.drop(subset=[value]), by, value, [rank_of(p) for p in probs.values()], group_rows=group_rows)
     return ranked.groupBy(*by).agg(*[interpolated(p, value).alias(name) for name, p in probs.items()])

@@ -11,14 +11,14 @@ from pyspark.sql import types as T
 
 from freshet.functions import options
 from freshet.functions.numbers import pct_reduction, ratio, sig_figs
-from freshet.operators.lineage import broadcast_if_small, cut, rows_of
+from freshet.operators.lineage import cut
 from freshet.operators.spread import (
     GROUP_ROWS,
-    count_values,
     drop_null_keys,
     interpolated,
+    near_ranks,
     quantiles,
-    rank_counted,
+    rank_of,
 )
 from freshet.operators.storms import as_dates, exclude_storms
 
@@ -288,7 +288,7 @@ def storm_stats_at_groupings(
     group_rows: int = GROUP_ROWS,
     groupings: dict[str, str | None] | None = None,
 ) -> DataFrame:
-    """:func:`storm_stats` at several temporal groupings, from one count of values (see :func:`roll_up`)."""
+    """:func:`storm_stats` at several temporal groupings, in one pass."""
     times = _times(groupings)
     long = _quantities(hydro, ["site", *times], ["site"], minprecip, excluded_dates, exclude_keys)
     return _describe_at_groupings(long, ["site", "quantity"], "value", _STORM_POINTS, group_rows, {}, groupings)
@@ -320,12 +320,15 @@ def _quantities(
 def _describe_at_groupings(
     df: DataFrame, by: list[str], value: str, probs: dict[str, float], group_rows: int, counters: dict[str, Column], groupings: dict[str, str | None] | None
 ) -> DataFrame:
-    """:func:`_describe` at several groupings: values are counted once, with all time columns."""
-    finest = drop_null_keys(df, by).groupBy(*by, *_times(groupings), value).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in counters.items()]
-    )
-    counted = cut(roll_up(cut(finest), [*by, value], ["n", *counters], groupings))
-    return _describe_counted(counted, [*by, *_CELL], value, probs, group_rows, list(counters))
+    """:func:`_describe` at several groupings: a row is passed on once for each, to sums in the same task."""
+    cells = [
+        F.struct(F.lit(name).alias("grouping"), (F.lit("All") if column is None else F.col(column).cast("string")).alias("group_value"))
+        for name, column in (groupings or GROUPINGS).items()
+    ]
+    sums = {f"_counted_{name}": c for name, c in counters.items()}
+    rows = drop_null_keys(df, by).select(*by, F.explode(F.array(*cells)).alias("_cell"), value, *[c.alias(name) for name, c in sums.items()])
+    named = rows.select(*by, "_cell.*", value, *sums).filter(F.col("group_value").isNotNull())
+    return _describe(named, [*by, *_CELL], value, probs, group_rows, {name: F.col(f"_counted_{name}") for name in counters})
 
 
 def _describe(
@@ -338,41 +341,16 @@ def _describe(
 ) -> DataFrame:
     """Count, mean, sd, min, percentiles and max of ``value`` per group.
 
-    The rows are read once, into counts of distinct values; every statistic
-    comes from those. Deviations are taken from the mean before squaring.
+    The rows are read twice: for sums, and for the few values around the percentiles.
     """
-    counted = count_values(df, by, value, counters)
-    return _describe_counted(counted, by, value, probs, group_rows, list(counters or {}))
-
-
-def _describe_counted(
-    counted: DataFrame, by: list[str], value: str, probs: dict[str, float], group_rows: int, counters: Sequence[str]
-) -> DataFrame:
-    known = F.when(F.col(value).isNotNull(), F.col("n"))
-    basic = broadcast_if_small(
-        counted.groupBy(*by).agg(
-            F.coalesce(F.sum(known), F.lit(0)).alias("count"),
-            *[F.sum(c).alias(c) for c in counters],
-            ratio(F.sum(F.col(value) * F.col("n")), F.sum(known).cast("double")).alias("mean"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        )
-    )
-    ranked = rank_counted(counted.filter(F.col(value).isNotNull()), by, value, group_rows, rows_of(counted))
-    deviation = F.col(value) - F.col("mean")
-    spread = (
-        ranked.join(basic.select(*by, "mean"), by, "inner")
-        .groupBy(*by)
-        .agg(
-            F.sum(F.col("n") * deviation * deviation).alias("_squares"),
-            *[interpolated(p, value).alias(name) for name, p in probs.items()],
-        )
-    )
-    return (
-        basic.join(spread, by, "left")
-        .withColumn("std", F.when(F.col("count") > 1, F.sqrt(F.col("_squares") / (F.col("count") - 1))))
-        .drop("_squares")
-    )
+    totals = {
+        **{name: F.sum(c) for name, c in (counters or {}).items()},
+        "mean": F.avg(value), "min": F.min(value), "max": F.max(value), "std": F.stddev_samp(value),
+    }
+    groups, ranked = near_ranks(df, by, value, [rank_of(p) for p in probs.values()], totals, group_rows)
+    points = ranked.groupBy(*by).agg(*[interpolated(p, value).alias(name) for name, p in probs.items()])
+    named = groups.withColumnRenamed("n_total", "count").join(points, by, "left")
+    return named.select(*by, "count", *(counters or {}), "mean", "min", "max", *probs, "std")
 
 
 _WQ_POINTS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
@@ -402,7 +380,7 @@ def wq_summary_at_groupings(
     group_rows: int = GROUP_ROWS,
     groupings: dict[str, str | None] | None = None,
 ) -> DataFrame:
-    """:func:`wq_summary` at several temporal groupings, from one count of values (see :func:`roll_up`)."""
+    """:func:`wq_summary` at several temporal groupings, in one pass."""
     rescol, unitscol = options.result_column(rescol)
     by = ["site", "parameter", unitscol]
     stats = _describe_at_groupings(_of_type(wq, sampletype, by), by, rescol, _WQ_POINTS, group_rows, _nondetects(), groupings)

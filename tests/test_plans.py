@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from freshet.functions import clock
+from freshet.operators import spread
 from freshet.plans import charts, external, quality, reports, summaries
 
 
@@ -219,6 +221,21 @@ def test_rows_are_not_multiplied_by_the_groupings(spark, monkeypatch):
     assert "Generate" not in plan and "Expand" not in plan and "Union" not in plan
 
 
+def test_grouped_statistics_keep_few_values(spark, monkeypatch):
+    kept = []
+    for module in (summaries, spread):
+        monkeypatch.setattr(module, "cut", lambda df, real=module.cut: kept.append(real(df)) or kept[-1])
+    n = 12_000
+    df = spark.range(n).selectExpr(
+        "'A' AS site", "CAST(id AS INT) AS storm_number", "timestamp_ntz'2011-03-01' + make_dt_interval(CAST(id % 90 AS INT)) AS start_date",
+        "10 + id / 7 AS total_precip_depth", "CAST('a' AS STRING) AS storm_bin",
+    )
+    found = summaries.storm_stats_at_groupings(clock.with_time_groups(df, "start_date"), 1, group_rows=1000).collect()
+    overall = next(r for r in found if r.grouping == "Overall")
+    assert (overall["count"], overall.p25, overall.p50) == (n, pytest.approx(10 + (n - 1) / 28), pytest.approx(10 + (n - 1) / 14))
+    assert max(k.count() for k in kept) < n  # of 60,000 rows at five groupings
+
+
 def test_storm_stats_describe(spark):
     # --- fixed values: known storms and their statistics ---
     rows = """2,3.1041,2011-07-28 08:30,2.000,6.0,5.0000,16.4213

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import numbers
-from freshet.operators import censored
+from freshet.operators import censored, spread
 from freshet.operators.spread import CELL, cut_groups, numbered, quantiles, ranked_values
 
 
@@ -182,3 +182,22 @@ def test_cells_stay_as_large_when_rows_quadruple(spark):
         largest[n] = max(r["count"] for r in cells)
         assert len(cells) >= n // 200
     assert largest[12_000] < 1.7 * largest[3000]
+
+
+def test_only_values_near_the_ranks_are_kept(spark, monkeypatch):
+    """Exact percentiles from a few hundredths of the rows, ties, NaN and groups without values included."""
+    rng = random.Random(7)
+    rows = [("wide", rng.lognormvariate(0, 2)) for _ in range(6000)] + [("ties", float(rng.randrange(3))) for _ in range(900)]
+    rows += [("few", 1.0), ("few", 2.0), ("none", None), (None, 5.0)] + [("nan", math.nan if k % 3 == 0 else k / 7) for k in range(600)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = {"low": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "high": 1.0}
+    kept = []
+    monkeypatch.setattr(spread, "cut", lambda df, real=spread.cut: kept.append(real(df)) or kept[-1])
+    groups, ranked = spread.near_ranks(df, ["g"], "v", [spread.rank_of(p) for p in probs.values()], {"most": F.max("v")}, band_rows=100)
+    found = ranked.groupBy("g").agg(*[spread.interpolated(p, "v").alias(n) for n, p in probs.items()])
+    want = df.na.drop(subset=["g"]).where("v IS NOT NULL").groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probs.items()])
+    assert repr(as_set(found)) == repr(as_set(want))
+    assert {r.g: r.n_total for r in groups.collect()} == {"wide": 6000, "ties": 900, "few": 2, "none": 0, "nan": 600}
+    assert kept[2].where("g = 'wide'").count() < 600 and kept[2].where("g = 'wide'").agg(F.sum("n")).first()[0] == 6000
+    _, whole = spread.near_ranks(df, [], "v", [spread.rank_of(0.5)], band_rows=100)
+    assert whole.agg(spread.interpolated(0.5, "v")).first()[0] == df.where("v IS NOT NULL").agg(F.percentile("v", F.lit(0.5))).first()[0]
