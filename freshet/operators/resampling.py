@@ -14,16 +14,20 @@ distribution, and its jackknife has three values.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from freshet.functions.numbers import bca_ranks, ratio
 from freshet.operators.censored import ros_values
 from freshet.operators.lineage import cut
-from freshet.operators.spread import GROUP_ROWS, drop_null_keys, interpolated, ranked_values, value_at
+from freshet.operators.spread import GROUP_ROWS, drop_null_keys, interpolated, near_ranks, rank_of, ranked_values, value_at
+from freshet.workers import ship
 
 REPLICATES = 200
 TAIL = 0.025
@@ -31,6 +35,9 @@ SEED = 42
 #: Draws are below this prime, so that the weights of two replicates are independent.
 PRIME = 2**31 - 1
 MOMENTS = ("mean", "std", "cov")
+#: Rows that meet their weights at a time, and keys whose sums a task holds before it passes them on.
+CHUNK_ROWS = 2000
+HELD_KEYS = 1000
 
 
 def poisson_limits() -> list[int]:
@@ -48,14 +55,19 @@ def row_key(keys: Sequence[str]) -> str:
     return " || '|' || ".join(f"coalesce(CAST({k} AS {{text}}), '')" for k in keys)
 
 
+def _hashes(key: str, seed: int) -> list[Column]:
+    """``h1`` and ``h2`` of the row that the SQL ``key`` names."""
+    digest = F.md5(F.expr(f"'{seed}:' || {key}"))
+    return [F.conv(F.substring(digest, k, 8), 16, 10).cast("long") for k in (1, 9)]
+
+
 def poisson_weights(keys: Sequence[str], replicates: int = REPLICATES, seed: int = SEED) -> Column:
     """One weight per replicate of a row: the ``b``-th draw is ``(h1 + b * h2) mod PRIME``.
 
     ``h1`` and ``h2`` are the first two groups of eight hexadecimal digits of
     the MD5 of ``seed:key|key...``. Rows with the same key get the same weights.
     """
-    digest = F.md5(F.expr(f"'{seed}:' || {row_key(keys).format(text='STRING')}"))
-    h1, h2 = (F.conv(F.substring(digest, k, 8), 16, 10).cast("long") for k in (1, 9))
+    h1, h2 = _hashes(row_key(keys).format(text="STRING"), seed)
     hashes = F.array(F.struct(h1.alias("a"), h2.alias("b")))  # an argument of a lambda, so computed once a row
 
     def number(draw: Column) -> Column:
@@ -72,6 +84,66 @@ def poisson_weights(keys: Sequence[str], replicates: int = REPLICATES, seed: int
     return F.get(F.transform(hashes, weights), F.lit(0))
 
 
+def _drawn(h1: np.ndarray, h2: np.ndarray, replicates: int) -> np.ndarray:
+    """:func:`poisson_weights` of some rows, a line per replicate."""
+    prime = np.uint32(PRIME)
+    at, step = (h1 % PRIME).astype(np.uint32), (h2 % PRIME).astype(np.uint32)
+    draws = np.empty((replicates, len(at)), np.uint32)
+    for b in range(replicates):
+        draws[b] = at
+        at = at + step
+        at = np.minimum(at, at - prime)  # the smaller one is the remainder, since what is below zero wraps around
+    weights = np.zeros(draws.shape, np.uint8)
+    for limit in poisson_limits():
+        weights += draws >= np.uint32(limit)
+    return weights
+
+
+def _sums_by_key(keys: list[str], factors: list[str], replicates: int):
+    """Sums of the weights, and of their products with the factors, per key; of what a task holds at a time."""
+    names = ["_w", *factors]
+
+    def rows_of(held: dict) -> pa.RecordBatch:
+        sums = np.stack(list(held.values()))
+        offsets = np.arange(0, (len(held) + 1) * replicates, replicates, dtype=np.int32)
+        lists = [pa.ListArray.from_arrays(offsets, np.ascontiguousarray(sums[:, k]).ravel()) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([*[pa.array(column) for column in zip(*held)], *lists], [*keys, *names])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK_ROWS):
+                part = {c: batch.column(c).slice(start, CHUNK_ROWS).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+                order = np.lexsort([part[k] for k in reversed(keys)])
+                part = {c: v[order] for c, v in part.items()}
+                new = np.any([part[k][1:] != part[k][:-1] for k in keys], axis=0)
+                first = np.concatenate([[0], np.flatnonzero(new) + 1])
+                weights = _drawn(part["_h1"], part["_h2"], replicates).astype(np.float64)
+                sums = np.stack([np.add.reduceat(weights if f == "_w" else weights * part[f], first, axis=1) for f in names])
+                for k, key in enumerate(zip(*[part[k][first].tolist() for k in keys])):
+                    held[key] = held[key] + sums[:, :, k] if key in held else sums[:, :, k].copy()
+                if len(held) >= HELD_KEYS:
+                    yield rows_of(held)
+                    held = {}
+        if held:
+            yield rows_of(held)
+
+    return summed
+
+
+def _weighted(rows: DataFrame, keys: list[str], factors: list[str], replicates: int) -> DataFrame:
+    """Weighted sums of ``rows`` per key and replicate ``_b``: ``_w`` and the factors', in several parts that merge.
+
+    ``rows`` have numbers as keys, the factors and the hashes ``_h1`` and ``_h2``.
+    """
+    ship(rows.sparkSession)
+    arrays = {c: T.ArrayType(T.DoubleType()) for c in ["_w", *factors]}
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField(c, t) for c, t in arrays.items()])
+    parts = rows.select(*keys, *factors, "_h1", "_h2").mapInArrow(_sums_by_key(keys, factors, replicates), schema)
+    drawn = parts.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("_b", "_s")).select(*keys, "_b", "_s.*")
+    return drawn.where("_w > 0")
+
+
 def bootstrap_bounds(
     df: DataFrame,
     by: Sequence[str],
@@ -93,7 +165,7 @@ def bootstrap_bounds(
     left out. Replicates in which a statistic is not defined, such as those
     without rows, do not count; if it is in none, its bounds are null. A row
     meets its weights as it is read; what is shuffled are sums, one row per
-    task, group and replicate at most.
+    group and replicate from a task that reads few groups.
 
     The percentile of a replicate lies near the one of the group: within five
     times the square root of n ranks and 25 more, ten standard deviations. Only
@@ -109,38 +181,31 @@ def bootstrap_bounds(
     known = drop_null_keys(df, by).na.drop(subset=[value]).select(
         *[F.col(c) for c in by], F.col(value).cast("double").alias("_v"), F.expr(row_key(keys).format(text="STRING")).alias("_key")
     )
-
-    def weighted(rows: DataFrame) -> DataFrame:
-        """A row for each replicate that draws it, read on by the sums of the same task."""
-        drawn = rows.select(*[c for c in rows.columns if c != "_key"], F.posexplode(poisson_weights(["_key"], replicates, seed)).alias("_b", "_w"))
-        return drawn.where("_w > 0")
-
-    groups = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("_mean"), F.stddev_samp("_v").alias("_std"))
+    totals = {"_mean": F.avg("_v"), "_std": F.stddev_samp("_v")}
     if points:
-        ranked = ranked_values(known, by, "_v", group_rows=group_rows)
-        edges = []
+        ranks, edges = [], []
         for name, p in points.items():
-            h, margin = f"((n_total - 1) * {p!r}D)", "(5 * sqrt(n_total) + 25)"
-            edges += [
-                interpolated(p, "_v").alias(name),
-                value_at(f"greatest(floor({h} - {margin}), 0)", "_v").alias(f"_lo_{name}"),
-                value_at(f"least(ceil({h} + {margin}), n_total - 1)", "_v").alias(f"_hi_{name}"),
-            ]
-        groups = groups.join(ranked.groupBy(*by).agg(*edges), by)
-    groups = cut(groups)
-    rows = known.join(groups, by)
-    weight, off = F.col("_w").cast("double"), F.col("_v") - F.col("_mean")
-    sums = {"_weights": F.sum(F.col("_w").cast("long"))}
-    if moments:
-        sums |= {"_first": F.sum(weight * off), "_second": F.sum(weight * off * off)}
-    sums |= {f"_below_{p}": F.sum(F.when(F.col("_v") < F.col(f"_lo_{p}"), F.col("_w").cast("long")).otherwise(0)) for p in points}
-    replicate = cut(weighted(rows).groupBy(*by, "_b").agg(*[c.alias(k) for k, c in sums.items()]))
+            margin = "(5 * sqrt(n_total) + 25)"
+            low, high = f"greatest(floor({rank_of(p)} - {margin}), 0)", f"least(ceil({rank_of(p)} + {margin}), n_total - 1)"
+            ranks += [low, rank_of(p), high]
+            edges += [interpolated(p, "_v").alias(name), value_at(low, "_v").alias(f"_lo_{name}"), value_at(high, "_v").alias(f"_hi_{name}")]
+        found, ranked = near_ranks(known, by, "_v", ranks, totals, group_rows)
+        groups = found.withColumnRenamed("n_total", "n").join(ranked.groupBy(*by).agg(*edges), by)
+    else:
+        groups = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in totals.items()])
+    groups = cut(groups.withColumn("_group", F.monotonically_increasing_id()))
+    h1, h2 = _hashes("_key", seed)
+    rows = known.join(groups, by).withColumns({"_h1": h1, "_h2": h2, "_off": F.col("_v") - F.col("_mean")})
+    factors = {"_first": F.col("_off"), "_second": F.col("_off") * F.col("_off")} if moments else {}
+    factors |= {f"_below_{p}": (F.col("_v") < F.col(f"_lo_{p}")).cast("double") for p in points}
+    sums = _weighted(rows.withColumns(factors) if factors else rows, ["_group"], list(factors), replicates)
+    totalled = sums.groupBy("_group", "_b").agg(F.sum("_w").cast("long").alias("_weights"), *[F.sum(c).alias(c) for c in factors])
+    replicate = cut(totalled)
     drawn = replicate
     for name, p in points.items():
-        band = weighted(rows.where(F.col("_v").between(F.col(f"_lo_{name}"), F.col(f"_hi_{name}"))))
-        drawn = drawn.join(_replicate_percentiles(band, replicate, by, name, p), [*by, "_b"], "left")
-    if moments:
-        drawn = drawn.join(groups.select(*by, "_mean"), by)
+        band = _weighted(rows.where(F.col("_v").between(F.col(f"_lo_{name}"), F.col(f"_hi_{name}"))), ["_group", "_v"], [], replicates)
+        drawn = drawn.join(_replicate_percentiles(band, replicate, name, p), ["_group", "_b"], "left")
+    drawn = drawn.join(groups.select("_group", *by, "_mean"), "_group")
     stats = {"mean": F.col("_mean"), "std": F.col("_std"), "cov": ratio(F.col("_std"), F.col("_mean"))}
     columns = [stats[s].alias(k) if isinstance(s, str) else F.col(k) for k, s in statistics.items()]
     found = {k: F.expr(_of_sums(s)) if isinstance(s, str) else F.col(f"_value_{k}") for k, s in statistics.items()}
@@ -156,16 +221,17 @@ def _of_sums(kind: str) -> str:
     return {"mean": mean, "std": std, "cov": f"({std}) / nullif({mean}, 0D)"}[kind]
 
 
-def _replicate_percentiles(band: DataFrame, replicate: DataFrame, by: list[str], name: str, p: float) -> DataFrame:
+def _replicate_percentiles(band: DataFrame, replicate: DataFrame, name: str, p: float) -> DataFrame:
     """``_value_<name>``: the percentile of each replicate, from the values of the band."""
-    merged = band.groupBy(*by, "_b", "_v").agg(F.sum(F.col("_w").cast("long")).alias("_w"))
-    lanes = merged.join(replicate.select(*by, "_b", "_weights", F.col(f"_below_{name}").alias("_below")), [*by, "_b"])
-    upto = F.sum("_w").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    by = ["_group", "_b"]
+    merged = band.groupBy(*by, "_v").agg(F.sum("_w").cast("long").alias("_w"))
+    lanes = merged.join(replicate.select(*by, "_weights", F.col(f"_below_{name}").cast("long").alias("_below")), by)
+    upto = F.sum("_w").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     h = f"((_weights - 1) * {p!r}D)"
     low, high = (F.min(F.expr(f"CASE WHEN _upto > {side}({h}) THEN _v END")) for side in ("floor", "ceil"))
     placed = lanes.withColumn("_upto", F.col("_below") + upto)
-    each = placed.groupBy(*by, "_b").agg(low.alias("_low"), high.alias("_high"), F.max(F.expr(f"{h} - floor({h})")).alias("_part"))
-    return each.select(*by, "_b", (F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low"))).alias(f"_value_{name}"))
+    each = placed.groupBy(*by).agg(low.alias("_low"), high.alias("_high"), F.max(F.expr(f"{h} - floor({h})")).alias("_part"))
+    return each.select(*by, (F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low"))).alias(f"_value_{name}"))
 
 
 def bca_median_bounds(

@@ -143,3 +143,25 @@ def test_bca_is_plain_bca_on_fifty_groups(spark):
 
 def test_bca_of_nothing(spark):
     assert bca_median_bounds(spark.createDataFrame([], "g long, concentration double, qualifier string"), ["g"]).collect() == []
+
+
+def test_weights_of_many_rows_at_once(spark):
+    """Sums come from arrays of rows; the weights are those of the column, at the ends of the hashes too."""
+    rng = random.Random(2)
+    ends = [0, 1, PRIME - 1, PRIME, PRIME + 1, 2**32 - 1]
+    pairs = [(a, b) for a in ends for b in ends] + [(rng.randrange(2**32), rng.randrange(2**32)) for _ in range(50)]
+    h1, h2 = (np.array(x, dtype=np.int64) for x in zip(*pairs))
+    limits = poisson_limits()
+    want = [[sum((a + b * c) % PRIME >= x for x in limits) for a, c in pairs] for b in range(60)]
+    assert resampling._drawn(h1, h2, 60).tolist() == want
+
+
+def test_sums_do_not_depend_on_how_many_keys_a_task_holds(spark, monkeypatch):
+    rows = groups(5)
+    df = spark.createDataFrame(rows, "g string, id string, v double").repartition(3)
+    wanted = {k: s for k, (s, _) in STATISTICS.items()}
+    whole = {r.g: r for r in bootstrap_bounds(df, ["g"], "v", wanted, ["g", "id"], replicates=B).collect()}
+    monkeypatch.setattr(resampling, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(resampling, "HELD_KEYS", 2)
+    for r in bootstrap_bounds(df, ["g"], "v", wanted, ["g", "id"], replicates=B).collect():
+        assert [*r][1:] == pytest.approx([*whole[r.g]][1:])
