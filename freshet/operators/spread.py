@@ -29,7 +29,6 @@ GROUP_ROWS = 1_000_000
 SLOTS = 256
 OVERSAMPLE = 16
 BLOCK_ROWS = 10_000
-STEP = 64
 #: Steps of the approximate percentiles around which values are kept; their error is a twenty-fifth of a step.
 GRID = 200
 BAND_ROWS = 20_000
@@ -74,16 +73,15 @@ def cut_groups(
         .filter(F.col("_rows") > group_rows)
         .withColumn("_cuts", F.expr(f"filter(_picks, (c, i) -> (i + 1) % greatest(1, size(_picks) div {slots}) = 0)"))
         .drop("_rows", "_picks")
-        .withColumn("_steps", F.expr(f"filter(_cuts, (c, i) -> (i + 1) % {STEP} = 0)"))
     )
-    # search the coarse steps, then the cuts of one step
-    whole = f"{STEP} * size(filter(_steps, c -> c <= {value}))"
-    position = f"{whole} + size(filter(slice(_cuts, {whole} + 1, {STEP}), c -> c <= {value}))"
+    # binary search for the number of cuts up to the value; there are fewer than 2 * slots
+    halves = ", ".join(str(1 << k) for k in reversed(range((2 * slots).bit_length())))
+    position = f"aggregate(array({halves}), 0, (at, half) -> IF(get(_cuts, at + half - 1) <= {value}, at + half, at))"
     # one row of cuts per large group
     return (
         values.join(broadcast_if_small(cuts, 10_000), by, "left")
         .withColumn(CELL, F.expr(f"CASE WHEN _cuts IS NULL THEN -1 ELSE {position} END"))
-        .drop("_cuts", "_steps")
+        .drop("_cuts")
     )
 
 

@@ -201,3 +201,17 @@ def test_only_values_near_the_ranks_are_kept(spark, monkeypatch):
     assert kept[2].where("g = 'wide'").count() < 600 and kept[2].where("g = 'wide'").agg(F.sum("n")).first()[0] == 6000
     _, whole = spread.near_ranks(df, [], "v", [spread.rank_of(0.5)], band_rows=100)
     assert whole.agg(spread.interpolated(0.5, "v")).first()[0] == df.where("v IS NOT NULL").agg(F.percentile("v", F.lit(0.5))).first()[0]
+
+
+def test_cells_are_found_by_a_binary_search(spark):
+    """Cells follow each other in the order of the values; no value is held against all cuts of its group."""
+    values = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.xxhash64("id") / 1e9).alias("v"))
+    for slots in (1, 3, 37):
+        placed = cut_groups(values, ["g"], "v", group_rows=200, slots=slots)
+        rows = sorted((r.g, r.v, r[CELL]) for r in placed.collect())
+        assert all(a[2] <= b[2] for a, b in zip(rows, rows[1:]) if a[0] == b[0])
+        for g in (0, 1):
+            cells = {c for k, _, c in rows if k == g}
+            assert min(cells) == 0 and cells == set(range(max(cells) + 1)) and len(cells) > 10
+        plan = placed._jdf.queryExecution().optimizedPlan().toString()
+        assert "slice(" not in plan and "aggregate(" in plan.split("Join")[0]
