@@ -44,8 +44,9 @@ def join_on_grid(
     on = condition & (F.col(GRID) == F.col(f"_i_{GRID}"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_i_{k}"))
+    # Spark's size estimate leaves out the repetition, so it would broadcast intervals many times too large
     return (
         points.withColumn(GRID, point_cell)
-        .join(renamed, on, how)
+        .join(renamed.hint("merge"), on, how)
         .drop(GRID, f"_i_{GRID}", *[f"_i_{k}" for k in keys])
     )

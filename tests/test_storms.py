@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import volumes
 from freshet.operators import hydro, samples, storms
+from freshet.operators.intervals import join_on_grid
 
 T0 = dt.datetime(2024, 1, 30, 0, 0)
 RECORD = "site string, ts timestamp_ntz, precip_mm double, flow_lps double"
@@ -305,3 +306,13 @@ def test_storm_lists_are_sorted(spark):
     matched = spark.createDataFrame([("b", 2, "composite"), ("b", 1, "composite"), ("a", 10, "composite")], "site string, storm_number int, sampletype string")
     assert [tuple(r) for r in samples.storms_with_samples(storm_rows, matched).collect()] == [("a", 10), ("b", 1), ("b", 2)]
     assert [tuple(r) for r in samples.storms_without_samples(storm_rows, matched).collect()] == [("a", 9), ("c", 1)]
+
+
+def test_repeated_intervals_are_not_broadcast_by_their_size_before(spark):
+    """A small table of curves or storms may be large once it is repeated per grid cell."""
+    spans = spark.range(10).selectExpr("'a' AS site", "id * 10 AS low", "id * 10 + 5 AS high")
+    points = spark.range(100).selectExpr("'a' AS site", "id AS x")
+    inside = F.expr("x >= low AND x < high")
+    found = join_on_grid(points, spans, ["site"], F.col("x"), F.col("low"), F.col("high"), inside)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert found.where("low IS NOT NULL").count() == 50 and found.count() == 100

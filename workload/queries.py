@@ -16,7 +16,7 @@ from freshet.operators.spread import quantiles
 from freshet.plans import charts, curves, external, quality, reports, summaries
 from workload import oracle
 from workload.oracle import final
-from workload.views import GRID_MINUTES, LOADS, PARAMETERS, Views, with_views
+from workload.views import GRID_MINUTES, LOADS, LOOKBACK_HOURS, PARAMETERS, Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -850,7 +850,9 @@ def _tidy_wq(v: Views) -> DataFrame:
     sources = v.sites.selectExpr(
         "site", "CASE WHEN CAST(site AS BIGINT) % 2 = 0 THEN 'grab' ELSE 'composite' END AS source"
     ).join(v.kept_storms.select("site").distinct(), "site", "left_semi")
-    return quality.tidy_loads(cut(v.matched_lab), v.kept_storms, quality.assign_influent(medians, sources), _effluent(v))
+    matched = samples.match_storms(v.kept_lab, v.kept_storms, lookback_hours=LOOKBACK_HOURS)
+    effluent = quality.site_effluent(v.kept_lab, v.samples, groupby_col="season")
+    return quality.tidy_loads(cut(matched), v.kept_storms, quality.assign_influent(medians, sources), effluent)
 
 
 @query("tidy_loads", final("v_tidy_wq", _TIDY_KEYS, _TIDY_DOUBLES, 4), digits=4, **_TIDY_SUBQUERIES)

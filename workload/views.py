@@ -221,6 +221,11 @@ class Views:
     def lab(self) -> DataFrame:
         return wq_results(self.results, self.raw_samples)
 
+    @cached_property
+    def kept_lab(self) -> DataFrame:
+        """The lab results, computed once for the queries that read them often."""
+        return cut(self.lab)
+
     @cached_property
     def matched_samples(self) -> DataFrame:
         return samples.match_storms(self.samples, self.storm_stats, lookback_hours=LOOKBACK_HOURS)
